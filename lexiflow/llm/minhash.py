@@ -6,9 +6,11 @@
    first (optimal densification), so that the copies are spread evenly.
 2. Bands of ``ROWS`` bins are buckets. A bucket links its members only to one
    centre (a star), so a bucket of m members gives m - 1 candidates. Two star
-   rounds with different centres are followed by an exact one: members of
-   buckets that still hold several classes are compared with the members of
-   the bucket's other classes. No bucket is capped.
+   rounds with different centres are followed by an exact one: in buckets that
+   still hold several classes, members are compared with those members of the
+   other classes with which, by the sizes of their sets and the number of
+   shingles that each has for itself alone, they can reach the similarity at
+   all. No bucket is capped.
 3. Candidates are confirmed on their full shingle sets, and the classes are
    the connected components of the confirmed links, found by min-label
    hooking with pointer jumping, all in DataFrames.
@@ -36,6 +38,8 @@ from pyspark.sql import types as T
 from lexiflow.llm.common import checkpointed, table
 
 BANDS, ROWS = 32, 5
+#: Keys (16 bytes each) that are broadcast at most.
+KEYS = 2_000_000
 #: Word hashes that a task remembers at most.
 REMEMBERED = 500_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -158,6 +162,26 @@ def similar(a: pa.Array, b: pa.Array, percent: pa.Array) -> pa.Array:
     return pa.array(out, pa.bool_())
 
 
+def among(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows of ``df`` whose key is among ``keys``; up to ``KEYS`` keys are broadcast, more are shuffled."""
+    keys = checkpointed(keys.distinct())
+    return df.join(F.broadcast(keys) if keys.count() <= KEYS else keys, on, "left_semi")
+
+
+def solitary(sets: DataFrame) -> DataFrame:
+    """(h, own): how many shingles each text, named by the hash of its digest, has for itself alone among ``sets``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, len(b), 256):
+                h = b.column(0).slice(k, 256).to_numpy()
+                shingles = [np.frombuffer(x, np.int64) for x in b.column(1).slice(k, 256).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(h, [len(x) for x in shingles])), pa.array(np.concatenate(shingles))], ["h", "shingle"])
+
+    rows = sets.select(F.xxhash64("digest").alias("h"), "shingles").mapInArrow(run, "h long, shingle long")
+    return rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("h").alias("h")).where("n = 1").groupBy("h").agg(F.count("*").alias("own"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): connected components of (a, b), named by their smallest node.
 
@@ -195,18 +219,20 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, id_col:
     members = checkpointed(buckets.join(shared.drop("m"), "key"))
 
     # the sets of the texts that share a bucket with another one
-    wanted = members.select(F.col("it.node").alias("node")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    sets = shingle_sets(texts.join(wanted, "node", "left_semi"), words)
-    sets = checkpointed(sets.join(members.select(F.col("it.digest").alias("digest")).distinct(), "digest", "left_semi").dropDuplicates(["digest"]))
+    sets = shingle_sets(among(texts, members.select(F.col("it.node").alias("node")), "node"), words)
+    if known.groupBy("doc_id").count().where("count > 1").head(1):  # else each text comes once
+        sets = sets.dropDuplicates(["digest"])
+    sets = checkpointed(sets)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of candidates (x, y), the links (a, b) between their nodes that the full sets confirm."""
         fits = (F.col("x.size") * 100 >= F.col("y.size") * percent) & (F.col("y.size") * 100 >= F.col("x.size") * percent)
         pairs = pairs.where(fits).select(F.col("x.digest").alias("dx"), F.col("x.node").alias("a"), F.col("y.digest").alias("dy"), F.col("y.node").alias("b")).distinct()
-        left = sets.select(F.col("digest").alias("dx"), F.col("shingles").alias("sx"))
-        right = sets.select(F.col("digest").alias("dy"), F.col("shingles").alias("sy"))
-        return pairs.join(left, "dx").join(right, "dy").where(similar("sx", "sy", F.lit(percent))).select("a", "b")
+        pairs = checkpointed(pairs)
+        left, right = (sets.select(F.col("digest").alias(d), F.col("shingles").alias(d.replace("d", "s"))) for d in ("dx", "dy"))
+        joined = pairs.join(among(left, pairs.select("dx"), "dx"), "dx").join(among(right, pairs.select("dy"), "dy"), "dy")
+        return joined.where(similar("sx", "sy", F.lit(percent))).select("a", "b")
 
     links = checkpointed(confirmed(members.where("it.digest <> centre.digest").select(F.col("it").alias("x"), F.col("centre").alias("y"))))
     labels = components(links)
@@ -230,10 +256,15 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, id_col:
     # the rest: each member against its bucket's other classes; members of a bucket's largest class ask nobody
     if left.head(1):
         largest = left.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"))
-        named = left.join(largest, "key").withColumn("big", F.col("label") == F.col("top.label"))
-        asking = named.where("not big").select("key", F.col("it").alias("x"), F.col("label").alias("lx"))
-        asked = named.select("key", F.col("it").alias("y"), F.col("label").alias("ly"), "big")
-        more = checkpointed(confirmed(asking.join(asked, "key").where("lx <> ly and (big or x.digest < y.digest)")))
+        own = solitary(among(sets, left.select(F.col("it.digest").alias("digest")), "digest"))
+        named = left.join(largest, "key").withColumn("big", F.col("label") == F.col("top.label")).withColumn("h", F.xxhash64("it.digest"))
+        named = named.join(own, "h", "left").select("key", "it", "label", "big", (F.col("it.size") - F.coalesce("own", F.lit(0))).alias("open"))
+        asking = named.where("not big").select("key", F.col("it").alias("x"), F.col("label").alias("lx"), F.col("open").alias("ox"))
+        asked = named.select("key", F.col("it").alias("y"), F.col("label").alias("ly"), F.col("open").alias("oy"), "big")
+        # what only one text has can't be common: both and union are at best
+        both, union = F.least("ox", "oy"), F.greatest(F.col("x.size") + F.col("y.size") - F.col("oy"), F.col("y.size") + F.col("x.size") - F.col("ox"))
+        may = (F.col("lx") != F.col("ly")) & (F.col("big") | (F.col("x.digest") < F.col("y.digest"))) & (both * 100 >= union * percent)
+        more = checkpointed(confirmed(asking.join(asked, "key").where(may)))
         if more.head(1):
             labels = components(links.unionByName(more))
 
