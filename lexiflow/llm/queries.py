@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from lexiflow.llm import minhash, sentencepiece_bpe
+from lexiflow.llm import decontaminate, minhash, secrets, sentencepiece_bpe, toxicity
 
 QUERIES = {
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_secrets": secrets.op6_secrets,
+    "op7_decontamination": decontaminate.op7_decontamination,
     "op8_sentencepiece": sentencepiece_bpe.op8_sentencepiece,
     "op10_minhash": minhash.op10_minhash,
 }
