@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from lexiflow.llm import decontaminate, minhash, secrets, sentencepiece_bpe, toxicity
+from lexiflow.llm import audio, decontaminate, language, minhash, quality, secrets, sentencepiece_bpe, toxicity, url_rules, warc
 
 QUERIES = {
+    "op1_language": language.op1_language,
+    "op2_url_rules": url_rules.op2_url_rules,
+    "op3_audio": audio.op3_audio,
+    "op4_quality": quality.op4_quality,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_secrets": secrets.op6_secrets,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_sentencepiece": sentencepiece_bpe.op8_sentencepiece,
+    "op9_warc": warc.op9_warc,
     "op10_minhash": minhash.op10_minhash,
 }
 
