@@ -35,7 +35,7 @@ CLASSES = 12
 #: Seconds of a frame and between frames; range of frequencies that count; frames under a filter.
 FRAME, HOP, LOW, HIGH, SPAN = 0.256, 0.064, 100.0, 900.0, 16
 #: Equal integers at one offset, and the share of wrong bits, that make a match.
-VOTES, ERRORS = 4, 0.2
+VOTES, ERRORS = 2, 0.2
 #: Queries that are broadcast at a time.
 QUERIES = 20_000
 
