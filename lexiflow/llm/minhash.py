@@ -6,11 +6,11 @@
    first (optimal densification), so that the copies are spread evenly.
 2. Bands of ``ROWS`` bins are buckets. A bucket links its members only to one
    centre (a star), so a bucket of m members gives m - 1 candidates. Two star
-   rounds with different centres are followed by an exact one: in buckets that
-   still hold several classes, members are compared with those members of the
-   other classes with which, by the sizes of their sets and the number of
-   shingles that each has for itself alone, they can reach the similarity at
-   all. No bucket is capped.
+   rounds with different centres are followed by an exact one: where buckets
+   still hold several classes, their members are compared with those of the
+   other classes, block by block, unless they have so many shingles for
+   themselves alone that they can't be similar to anything. No bucket is
+   capped.
 3. Candidates are confirmed on their full shingle sets, and the classes are
    the connected components of the confirmed links, found by min-label
    hooking with pointer jumping, all in DataFrames.
@@ -40,6 +40,8 @@ from lexiflow.llm.common import checkpointed, table
 BANDS, ROWS = 32, 5
 #: Keys (16 bytes each) that are broadcast at most.
 KEYS = 2_000_000
+#: Texts that a task compares with as many others at a time.
+BLOCK = 256
 #: Word hashes that a task remembers at most.
 REMEMBERED = 500_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -182,6 +184,47 @@ def solitary(sets: DataFrame) -> DataFrame:
     return rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("h").alias("h")).where("n = 1").groupBy("h").agg(F.count("*").alias("own"))
 
 
+def compared(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between texts of different classes, of (top, it, label, asks): all that ask against all with the same ``top``.
+
+    Texts are dealt into blocks of about BLOCK, and each task compares one
+    block of askers with one of the others through an index of the askers'
+    shingles. Pairs aren't rows at any time, and of the links of a text with
+    one class only the first is given out.
+    """
+
+    def compare(group: pa.Table) -> pa.Table:
+        asks = np.array(group.column("side").to_pylist(), bool)
+        nodes, labels = group.column("node").to_numpy(), group.column("label").to_numpy()
+        found = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+        sizes = np.array([len(x) for x in found])
+        x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
+        out: dict[tuple[int, int], tuple[int, int]] = {}
+        if len(x) and len(y):
+            values, owner = np.concatenate([found[k] for k in x]), np.repeat(np.arange(len(x)), sizes[x])
+            order = np.argsort(values)
+            values, owner = values[order], owner[order]
+            for k in y:
+                low, high = np.searchsorted(values, found[k], "left"), np.searchsorted(values, found[k], "right")
+                n = high - low
+                at = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(x))
+                for j in np.flatnonzero((100 * both >= percent * (sizes[x] + sizes[k] - both)) & (labels[x] != labels[k])):
+                    out.setdefault((int(nodes[x[j]]), int(labels[k])), (int(nodes[x[j]]), int(nodes[k])))
+        return pa.table({"a": pa.array([a for a, _ in out.values()], pa.int64()), "b": pa.array([b for _, b in out.values()], pa.int64())})
+
+    named = checkpointed(named)
+    shingles = among(sets, named.select(F.col("it.digest").alias("digest")), "digest")
+    counts = named.groupBy("top").agg(F.sum(F.col("asks").cast("long")).alias("asking"), F.count("*").alias("all")).where("asking > 0")
+    counts = counts.select("top", F.ceil(F.col("asking") / BLOCK).alias("m"), F.ceil(F.col("all") / BLOCK).alias("n"))
+    rows = named.select("top", F.col("it.digest").alias("digest"), F.col("it.node").alias("node"), "label", "asks").join(counts, "top").join(shingles, "digest")
+    h = F.xxhash64("digest", F.lit(11))
+    both = [("asks", True, F.pmod(h, F.col("m")), F.col("n")), ("true", False, F.pmod(h, F.col("n")), F.col("m"))]
+    dealt = [rows.where(which).select("top", F.lit(side).alias("side"), "node", "label", "shingles", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), times - 1)).alias("other")) for which, side, own, times in both]
+    askers, others = dealt[0].withColumnsRenamed({"own": "i", "other": "j"}), dealt[1].withColumnsRenamed({"own": "j", "other": "i"})
+    return askers.unionByName(others).groupBy("top", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): connected components of (a, b), named by their smallest node.
 
@@ -243,28 +286,30 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, id_col:
         still = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
         return checkpointed(named.join(still, "key", "left_semi"))
 
-    # second stars, around the member with the least hash
+    # second stars, around the member that shares most of its shingles: it's nearest to the middle of its group
     left = undecided(labels)
     if left.head(1):
-        centres = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("it.digest", F.lit(2)).alias("h"), "it", "label")).alias("c"))
+        own = checkpointed(solitary(among(sets, left.select(F.col("it.digest").alias("digest")), "digest")))
+
+        def opened(rows: DataFrame) -> DataFrame:
+            """With ``open``: how many of a text's shingles other texts have, too."""
+            rows = rows.withColumn("h", F.xxhash64("it.digest")).join(own, "h", "left")
+            return rows.withColumn("open", F.col("it.size") - F.coalesce("own", F.lit(0))).drop("h", "own")
+
+        lonely = 1 - F.col("open") / F.col("it.size")
+        centres = opened(left).groupBy("key").agg(F.min(F.struct(lonely.alias("lonely"), "it", "label")).alias("c"))
         star = left.join(centres, "key").where("label <> c.label").select(F.col("it").alias("x"), F.col("c.it").alias("y"))
         more = checkpointed(confirmed(star))
         if more.head(1):
             links = links.unionByName(more)
             labels = components(links)
             left = undecided(labels)
-    # the rest: each member against its bucket's other classes; members of a bucket's largest class ask nobody
+    # the rest: each member against its bucket's other classes, in blocks; members of a bucket's largest class ask nobody
     if left.head(1):
         largest = left.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"))
-        own = solitary(among(sets, left.select(F.col("it.digest").alias("digest")), "digest"))
-        named = left.join(largest, "key").withColumn("big", F.col("label") == F.col("top.label")).withColumn("h", F.xxhash64("it.digest"))
-        named = named.join(own, "h", "left").select("key", "it", "label", "big", (F.col("it.size") - F.coalesce("own", F.lit(0))).alias("open"))
-        asking = named.where("not big").select("key", F.col("it").alias("x"), F.col("label").alias("lx"), F.col("open").alias("ox"))
-        asked = named.select("key", F.col("it").alias("y"), F.col("label").alias("ly"), F.col("open").alias("oy"), "big")
-        # what only one text has can't be common: both and union are at best
-        both, union = F.least("ox", "oy"), F.greatest(F.col("x.size") + F.col("y.size") - F.col("oy"), F.col("y.size") + F.col("x.size") - F.col("ox"))
-        may = (F.col("lx") != F.col("ly")) & (F.col("big") | (F.col("x.digest") < F.col("y.digest"))) & (both * 100 >= union * percent)
-        more = checkpointed(confirmed(asking.join(asked, "key").where(may)))
+        named = opened(left.join(largest, "key")).where(F.col("open") * 100 >= F.col("it.size") * percent)  # others have too much for themselves alone
+        named = named.groupBy(F.col("top.label").alias("top"), "it", "label").agg((~F.every(F.col("label") == F.col("top.label"))).alias("asks"))
+        more = checkpointed(compared(named, sets, percent))
         if more.head(1):
             labels = components(links.unionByName(more))
 
