@@ -59,7 +59,7 @@ def words(docs: DataFrame) -> DataFrame:
 
 def sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, sent_no, sentence), trimmed; blank ones are dropped."""
-    found = F.filter(F.transform(F.regexp_extract_all("text", F.lit("([^.!?\n]+[.!?]*)"), 1), F.trim), lambda s: s != "")
+    found = F.filter(F.transform(F.regexp_extract_all("text", F.lit("([^.!?\n]+[.!?]*)"), 1), lambda s: F.trim(s)), lambda s: s != "")
     return docs.select("doc_id", F.posexplode(found).alias("n", "sentence")).select("doc_id", (F.col("n") + 1).cast("long").alias("sent_no"), "sentence")
 
 

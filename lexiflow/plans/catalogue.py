@@ -2,5 +2,572 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from lexiflow.operators import dictionary, html, intervals, patterns, snapshots, text
+from lexiflow.plans.sql import LINES, PIECES, TOKENS, VOCABULARY, WORD, WORDS, with_
+from lexiflow.sources import tables
+from lexiflow.streaming import session
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def query(oracle: str | None = None):
+    """Register a function (tables by name -> DataFrame) under its own name."""
+
+    def register(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda name: tables.table(spark, sf_dir, name))
+
+        run.__doc__ = f.__doc__
+        QUERIES[f.__name__] = run
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def both(name: str, sql: str) -> None:
+    """Register a query that is the same SQL text for both engines."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(sql, **{n: tables.table(spark, sf_dir, n) for n in NAMES if "{" + n + "}" in sql})
+
+    QUERIES[name] = run
+    ORACLES[name] = sql.format(**{n: n for n in NAMES})
+
+
+def vocabulary(t) -> DataFrame:
+    return text.words(t("benchmark").withColumnRenamed("item_id", "doc_id")).select("w").distinct()
+
+
+def odd(df: DataFrame) -> DataFrame:
+    return df.where(F.pmod("doc_id", F.lit(2)) == 1)
+
+
+def even(df: DataFrame) -> DataFrame:
+    return df.where(F.pmod("doc_id", F.lit(2)) == 0)
+
+
+# text ---------------------------------------------------------------------------------------------------------------
+
+
+@query(with_(PIECES, query='select doc_id, cast(i as bigint) as i, kind, start, "end", surface from placed'))
+def segment_text(t):
+    """PRJ-3, WIN-1: segments with offsets."""
+    return text.segments(t("documents")).select("doc_id", "i", "kind", "start", "end", "surface")
+
+
+@query(with_(PIECES, query='select doc_id, cast(count(*) as bigint) as n, cast(max("end") as bigint) as total, max("end") = any_value(length(text)) as whole from placed join documents using (doc_id) group by doc_id'))
+def range_integrity(t):
+    """QA-11: segments tile the text."""
+    rows = text.segments(t("documents")).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("end").alias("total"))
+    return rows.join(t("documents").select("doc_id", F.length("text").alias("l")), "doc_id").select("doc_id", "n", "total", (F.col("total") == F.col("l")).alias("whole"))
+
+
+@query(with_(LINES, query="select doc_id, line_no, start, line from lines"))
+def line_chunks(t):
+    """STR-1: lines with offsets."""
+    return tables.lines(t("documents"))
+
+
+@query(with_(LINES, query="""select doc_id, cast(para as bigint) as para, count(*) as n_lines, cast(sum(length(line)) as bigint) as n_chars from (
+  select *, sum(fresh) over (partition by doc_id order by line_no) as para from (
+    select *, case when trim(line) <> '' and (lag(line) over (partition by doc_id order by line_no) is null or trim(lag(line) over (partition by doc_id order by line_no)) = '') then 1 else 0 end as fresh from lines)) where trim(line) <> '' group by doc_id, para"""))
+def paragraphs(t):
+    """PRJ-28, WIN-8: runs of lines."""
+    return text.paragraphs(t("documents"))
+
+
+@query("""select doc_id, cast(i as bigint) as sent_no, s as sentence from (select doc_id, unnest(l) as s, generate_subscripts(l, 1) as i from (
+  select doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?\\n]+[.!?]*'), lambda x: trim(x)), lambda x: x <> '') as l from documents))""")
+def sentence_split(t):
+    """WIN-7, SCL-23: sentences."""
+    return text.sentences(t("documents"))
+
+
+@query("""select doc_id, cast(p as bigint) as "at", substring(text, greatest(p - 24, 1), p - greatest(p - 24, 1)) || '【the】' || substring(text, p + 3, 24) as shown from (select *, instr(text, 'the') as p from documents) where p > 0""")
+def sentence_context(t):
+    """PRJ-25: a word in context."""
+    return text.context(t("documents"), "the", 24)
+
+
+@query(with_(LINES, query="select doc_id, line_no, start, line from lines where line_no between 4 and 6"))
+def paged_lines(t):
+    """SRC-2, SRT-8: the second page of three lines."""
+    return tables.line_page(t("documents"), 2, 3)
+
+
+@query(with_(LINES, query="select doc_id, line_no, start, line from lines where (line_no - 1) % 3 = 0 and trim(line) <> ''"))
+def sampled_lines(t):
+    """SRC-4: every third line."""
+    return tables.sampled_lines(t("documents"), 3)
+
+
+both("char_limit", "select doc_id, substring(text, 1, 100) as head, length(text) > 100 as truncated from {documents}")  # SRC-5, SCL-24
+both("cjk_counts", "select doc_id, cast(length(text) - length(regexp_replace(text, '[぀-ヿ一-鿿]', '', 'g')) as bigint) as cjk from {documents}")  # PRJ-16
+QUERIES["cjk_counts"] = lambda spark, d: tables.table(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit("[぀-ヿ一-鿿]")).cast("long").alias("cjk"))
+
+
+@query(with_(TOKENS, query="""select doc_id, pos, 't:' || start || ':' || "end" || ':' || w || ':' || (row_number() over (partition by doc_id, w order by pos) - 1) as token_id from tok"""))
+def stable_token_ids(t):
+    """WIN-5, SCL-11, INT-13: ids from places and ordinals."""
+    k = F.row_number().over(W.partitionBy("doc_id", "w").orderBy("pos")) - 1
+    return text.tokens(t("documents")).select("doc_id", "pos", F.concat(F.lit("t:"), F.concat_ws(":", F.col("start").cast("string"), F.col("end").cast("string"), "w", k.cast("string"))).alias("token_id"))
+
+
+@query(with_(WORDS, query="select w, cast(row_number() over (order by w) as bigint) as code, n from (select w, count(*) as n from words group by w)"))
+def string_interning(t):
+    """SNK-11: a number for each string. Ranks come from range partitions' counts, not from one global window."""
+    rows = dictionary.exposures(text.words(t("documents")))
+    parts = rows.repartitionByRange("w").withColumn("p", F.spark_partition_id())
+    parts = parts.withColumn("k", F.row_number().over(W.partitionBy("p").orderBy("w")))
+    sizes = parts.groupBy("p").agg(F.count("*").alias("c"))
+    before = sizes.alias("a").join(sizes.alias("b"), F.expr("b.p < a.p"), "left").groupBy("a.p").agg(F.coalesce(F.sum("b.c"), F.lit(0)).alias("before"))
+    return parts.join(F.broadcast(before), "p").select("w", (F.col("before") + F.col("k")).alias("code"), "n")
+
+
+# profile and dictionary ---------------------------------------------------------------------------------------------
+
+_EVEN, _ODD = (f"words where doc_id % 2 = {k}" for k in (0, 1))
+
+
+@query(with_(WORDS, query=f"select w, count(*) as n from {_EVEN} group by w"))
+def token_exposure(t):
+    """AGG-1: exposures of one half of the corpus."""
+    return dictionary.exposures(text.words(even(t("documents"))))
+
+
+@query(with_(WORDS, query="select w, count(*) as n from words group by w"))
+def exposure_upsert(t):
+    """DML-1: two halves merged; equal to counting the whole."""
+    return dictionary.upserted(*(dictionary.exposures(text.words(f(t("documents")))) for f in (even, odd)))
+
+
+_NOVELTY = f"""prof as (select w, count(*) as n from {_EVEN} group by w), nov as (select doc_id, w, times, round(0.5 + 0.5 * exp(-coalesce(n, 0) / 5.0), 6) as novelty from (select doc_id, w, count(*) as times from {_ODD} group by doc_id, w) left join prof using (w))"""
+
+
+@query(with_(WORDS, _NOVELTY, query="select doc_id, w, times, novelty, novelty < 0.55 as known from nov"))
+def novelty_score(t):
+    """JOIN-10, SCL-9: novelty of each word of a document."""
+    docs = t("documents")
+    return dictionary.novelty(text.words(odd(docs)), dictionary.exposures(text.words(even(docs))))
+
+
+@query(with_(WORDS, _NOVELTY, query="select doc_id, count(*) as n_words, cast(sum(round(novelty * 1000000)) as bigint) as millionths, round(sum(case when novelty < 0.55 then times else 0 end) / sum(times), 6) as known_rate from nov group by doc_id"))
+def novelty_by_doc(t):
+    """JOIN-10, AGG-2: known rate of each document."""
+    docs = t("documents")
+    rows = dictionary.novelty(text.words(odd(docs)), dictionary.exposures(text.words(even(docs))))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.sum(F.round(F.col("novelty") * 1000000).cast("long")).alias("millionths"), F.round(F.sum(F.when(F.col("known"), F.col("times")).otherwise(0)) / F.sum("times"), 6).alias("known_rate"))
+
+
+@query("""select user_id, round(list_reduce(list(case when event_type = 'signup' then 0.8 else -0.2 end::double order by ts, event_id), lambda s, x: case when x > 0 then least(1.0::double, s + x) else greatest(0.0::double, s + x) end, 0.0::double), 6) as confidence from events where event_type in ('signup', 'error') group by user_id""")
+def profile_event_fold(t):
+    """DML-2, DML-3, STR-8: ordered fold of events."""
+    return dictionary.fold_confidence(t("events"), "signup", "error")
+
+
+@query(with_(WORDS, VOCABULARY, query="select doc_id, count(*) as n from words where w in (select w from vocab) group by doc_id"))
+def dict_exact_semi(t):
+    """JOIN-1: words that are entries."""
+    return text.words(t("documents")).join(vocabulary(t), "w", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(with_(WORDS, f"refs as (select w, min(item_id) as first_item, count(distinct item_id) as items from (select item_id, lower(unnest(regexp_extract_all(text, '{WORD}+'))) as w from benchmark) group by w)", query="select doc_id, w, first_item, items from (select distinct doc_id, w from words) join refs using (w)"))
+def dict_refs(t):
+    """JOIN-2, JOIN-3: entries of a document's words, aggregated before they're joined."""
+    entries = text.words(t("benchmark").withColumnRenamed("item_id", "doc_id"))
+    refs = entries.groupBy("w").agg(F.min("doc_id").alias("first_item"), F.count_distinct("doc_id").alias("items"))
+    return text.words(t("documents")).distinct().join(refs, "w").select("doc_id", "w", "first_item", "items")
+
+
+_PLAIN = f"translate(w, '{dictionary.ACCENTED}', '{dictionary.PLAIN}')"
+
+
+@query(with_(WORDS, VOCABULARY, "q as (select distinct w from words)", f"s2 as (select {_PLAIN} as k, min(w) as m from vocab group by 1)", "s3 as (select substring(w, 1, 5) as k, min(w) as m from vocab where length(w) >= 5 group by 1)", query=f"""select q.w, cast(case when v.w is not null then 1 when s2.m is not null then 2 when s3.m is not null then 3 else 4 end as bigint) as stage, coalesce(v.w, s2.m, s3.m) as target
+from q left join vocab v on v.w = q.w left join s2 on s2.k = {_PLAIN.replace('(w', '(q.w')} left join s3 on length(q.w) >= 5 and s3.k = substring(q.w, 1, 5)"""))
+def dict_cascade_lookup(t):
+    """JOIN-4 to JOIN-8, SRT-7: staged lookup."""
+    return dictionary.cascade(text.words(t("documents")).select("w").distinct(), vocabulary(t))
+
+
+_SCORE = "case when p_size <= 10 then 160 when p_size <= 25 then 120 else 105 end + case when p_type like '%STEEL%' then 45 else 0 end - case when p_retailprice > 1500 then 60 else 0 end"
+
+
+@query(f"""select p_brand, p_partkey, cast(score as bigint) as score, rank, rank = 1 and score >= 80 and score - coalesce(nxt, 0) >= 16 as preferred from (
+  select *, row_number() over w as rank, lead(score) over w as nxt from (select *, {_SCORE} as score from part) window w as (partition by p_brand order by score desc, p_partkey))""")
+def dict_rank_preferred(t):
+    """SCL-6, WIN-6, SRT-3: ranks and the preferred entry."""
+    return dictionary.ranked(t("part"), ["p_brand"], F.expr(_SCORE).cast("long"), [F.col("p_partkey")]).select("p_brand", "p_partkey", "score", "rank", "preferred")
+
+
+both("form_matrix", "select p_brand, r_name, count(l_partkey) > 0 as available, count(l_partkey) as n from (select distinct p_brand from {part}) b cross join {region} r left join (select pp.p_brand as brand, r_regionkey as rk, l_partkey from {lineitem} join {part} pp on p_partkey = l_partkey join {supplier} on s_suppkey = l_suppkey join {nation} on n_nationkey = s_nationkey join {region} on r_regionkey = n_regionkey) x on x.brand = b.p_brand and x.rk = r.r_regionkey group by p_brand, r_name")  # JOIN-9
+
+
+@query(with_(WORDS, VOCABULARY, query="select count(*) as n, cast(sum(case when v.w is null then 0 else 1 end) as bigint) as matched, round(coalesce(sum(case when v.w is null then 0 else 1 end) / nullif(count(*), 0), 1.0), 6) as coverage from words left join vocab v using (w)"))
+def coverage_audit(t):
+    """AGG-2: coverage, 1 where there's nothing to cover."""
+    rows = dictionary.exposures(text.words(t("documents"))).join(vocabulary(t).withColumn("v", F.lit(1)), "w", "left")
+    return rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("v") == 1, F.col("n")).otherwise(0)), F.lit(0)).alias("matched")).withColumn("coverage", F.round(F.coalesce(F.try_divide("matched", "n"), F.lit(1.0)), 6))
+
+
+@query(with_(VOCABULARY, f"s as (select doc_id, unnest(regexp_extract_all(text, '{WORD}+')) as surface from documents)", query="select lower(surface) as w, count(*) as n, array_to_string(list_sort(list(distinct surface)), ' ') as surfaces from s where lower(surface) not in (select w from vocab) group by 1 order by n desc, w limit 100"))
+def missed_lexemes(t):
+    """AGG-3: the most frequent misses with their surfaces."""
+    s = t("documents").select(F.explode(F.regexp_extract_all("text", F.lit(f"({WORD}+)"), 1)).alias("surface")).groupBy("surface").agg(F.count("*").alias("k"))
+    missed = s.withColumn("w", F.lower("surface")).join(vocabulary(t), "w", "left_anti")
+    return missed.groupBy("w").agg(F.sum("k").alias("n"), F.array_join(F.array_sort(F.collect_set("surface")), " ").alias("surfaces")).orderBy(F.desc("n"), "w").limit(100)
+
+
+@query(with_(WORDS, VOCABULARY, query="select substring(w, 1, 1) as initial, cast(length(w) as bigint) as len, cast(sum(n) as bigint) as occurrences, count(*) as words, array_to_string(list_slice(list_sort(list(w)), 1, 4), ' ') as samples from (select w, count(*) as n from words where w not in (select w from vocab) group by w) group by 1, 2"))
+def residual_groups(t):
+    """SEQ-17, AGG-5: residuals by group with the first four of each. Ranks bound what a group keeps."""
+    rows = dictionary.exposures(text.words(t("documents")).join(vocabulary(t), "w", "left_anti"))
+    rows = rows.withColumns({"initial": F.substring("w", 1, 1), "len": F.length("w").cast("long")})
+    sums = rows.groupBy("initial", "len").agg(F.sum("n").alias("occurrences"), F.count("*").alias("words"))
+    first = rows.withColumn("k", F.row_number().over(W.partitionBy("initial", "len").orderBy("w"))).where("k <= 4").groupBy("initial", "len").agg(F.array_join(F.array_sort(F.collect_list("w")), " ").alias("samples"))
+    return sums.join(first, ["initial", "len"])
+
+
+@query(with_(LINES, query="""select doc_id, line_no, cast(3 * (case when regexp_matches(line, '[0-9]') then 1 else 0 end) + 5 * coalesce(toxic, 0) + (case when line like '%!!%' then 4 else 0 end) as bigint) as issue_score from lines left join labels using (doc_id)"""))
+def line_issue_score(t):
+    """AGG-6, SRT-12: weighted issues of each line."""
+    rows = tables.lines(t("documents")).join(t("labels"), "doc_id", "left")
+    score = 3 * F.col("line").rlike("[0-9]").cast("int") + 5 * F.coalesce("toxic", F.lit(0)) + 4 * F.col("line").contains("!!").cast("int")
+    return rows.select("doc_id", "line_no", score.cast("long").alias("issue_score"))
+
+
+# patterns -----------------------------------------------------------------------------------------------------------
+
+_AHEAD = "a as (select *, lead(w, 1) over p as w1, lead(w, 2) over p as w2, lead(w, 3) over p as w3 from tok window p as (partition by doc_id, sent order by pos))"
+
+
+@query(with_(TOKENS, _AHEAD, query="""select doc_id, 'of_the' as rule_id, pos as start_pos, 2::bigint as width, w || ' ' || w1 as surface from a where w = 'of' and w1 = 'the'
+union all select doc_id, 'prep_art', pos, 2, w || ' ' || w1 from a where w in ('in', 'for', 'with') and w1 in ('the', 'a')
+union all select doc_id, 'the_any_of', pos, 3, w || ' ' || w1 || ' ' || w2 from a where w = 'the' and w1 is not null and w2 = 'of'"""))
+def contiguous_pattern(t):
+    """SEQ-10: rules over adjacent words."""
+    a = patterns.atom
+    return patterns.contiguous(text.tokens(t("documents")), {"of_the": [a("of"), a("the")], "prep_art": [a("in for with"), a("the a")], "the_any_of": [a("the"), a(None), a("of")]})
+
+
+@query(with_(TOKENS, _AHEAD, query="""select doc_id, 'the_of' as rule_id, pos as start_pos, 2::bigint as width, w || ' ' || w1 as surface from a where w in ('the', 'and') and w1 = 'of'
+union all select doc_id, 'the_of', pos, 3, w || ' ' || w1 || ' ' || w2 from a where w in ('the', 'and') and w1 in ('the', 'and') and w2 = 'of'
+union all select doc_id, 'the_of', pos, 4, w || ' ' || w1 || ' ' || w2 || ' ' || w3 from a where w in ('the', 'and') and w1 in ('the', 'and') and w2 in ('the', 'and') and w3 = 'of'"""))
+def repeat_pattern(t):
+    """SEQ-5: bounded repetition, as variants of fixed length."""
+    return patterns.contiguous(text.tokens(t("documents")), {"the_of": [patterns.atom("the and", 1, 3), patterns.atom("of")]})
+
+
+@query(with_(TOKENS, _AHEAD, query="""select doc_id, 'to_the_of' as rule_id, pos as start_pos, 2::bigint as width, w || ' ' || w1 as surface from a where w = 'to' and w1 in ('of', 'and')
+union all select doc_id, 'to_the_of', pos, 3, w || ' ' || w1 || ' ' || w2 from a where w = 'to' and w1 = 'the' and w2 in ('of', 'and')"""))
+def optional_atom_pattern(t):
+    """SEQ-7: an optional atom."""
+    return patterns.contiguous(text.tokens(t("documents")), {"to_the_of": [patterns.atom("to"), patterns.atom("the", 0, 1), patterns.atom("of and")]})
+
+
+@query(with_(TOKENS, query="select h.doc_id, h.pos as head_pos, min(x.pos) as tail_pos from tok h join tok x on x.doc_id = h.doc_id and x.sent = h.sent and x.w = 'and' and x.pos between h.pos + 3 and h.pos + 7 where h.w = 'the' group by h.doc_id, h.pos"))
+def gap_pattern_nearest(t):
+    """SEQ-11, SEQ-13, JOIN-16: the nearest tail in a gap, as a range window."""
+    return patterns.nearest_gap(text.tokens(t("documents")), "the", "and", 2, 6)
+
+
+@query("select u.conv_id, u.turn as user_turn, min(a.turn) as answer_turn from conversations u join conversations a on a.conv_id = u.conv_id and a.role = 'assistant' and a.turn > u.turn where u.role = 'user' group by u.conv_id, u.turn")
+def conversation_followup(t):
+    """JOIN-16: the next answer to each user turn."""
+    rows = t("conversations").groupBy("conv_id", "turn", "role").agg(F.count("*").alias("n"))
+    w = W.partitionBy("conv_id").orderBy("turn").rangeBetween(1, W.unboundedFollowing)
+    rows = rows.withColumn("answer_turn", F.min(F.when(F.col("role") == "assistant", F.col("turn"))).over(w))
+    return rows.where("role = 'user' and answer_turn is not null").select("conv_id", F.col("turn").alias("user_turn"), "answer_turn")
+
+
+def _grams(t) -> DataFrame:
+    rows = text.tokens(t("benchmark").withColumnRenamed("item_id", "doc_id"))
+    nxt = F.lead("w").over(W.partitionBy("doc_id", "sent").orderBy("pos"))
+    return rows.select(F.when(nxt.isNotNull(), F.concat_ws(" ", "w", nxt)).alias("gram")).where("gram is not null").distinct()
+
+
+_GRAMS = TOKENS.replace("documents", "(select item_id as doc_id, text from benchmark) b").replace("pieces", "bpieces").replace("placed", "bplaced").replace("tok as", "btok as") + ", grams as (select distinct w || ' ' || nxt as gram from (select w, lead(w) over (partition by doc_id, sent order by pos) as nxt from btok) where nxt is not null)"
+
+
+@query(with_(TOKENS, _AHEAD, _GRAMS, query="select doc_id, pos, w || ' ' || w1 as gram from a where w1 is not null and w || ' ' || w1 in (select gram from grams)"))
+def ngram_dictionary_windows(t):
+    """SEQ-14, SEQ-6: windows of two words that are entries."""
+    return patterns.windows_in(text.tokens(t("documents")), _grams(t), 2)
+
+
+@query(with_(TOKENS, _AHEAD, query="select doc_id, case when w1 is null then 'no_follower' when w1 in ('of', 'and') then 'rejected' else 'accepted' end as status, count(*) as n from a where w = 'the' group by 1, 2"))
+def negative_context_reject(t):
+    """SEQ-15, WIN-4, AGG-8: candidates rejected by what follows."""
+    nxt = F.lead("w").over(W.partitionBy("doc_id", "sent").orderBy("pos"))
+    rows = text.tokens(t("documents")).select("doc_id", "w", nxt.alias("w1")).where("w = 'the'")
+    status = F.when(F.col("w1").isNull(), "no_follower").when(F.col("w1").isin("of", "and"), "rejected").otherwise("accepted")
+    return rows.groupBy("doc_id", status.alias("status")).agg(F.count("*").alias("n"))
+
+
+# intervals ----------------------------------------------------------------------------------------------------------
+
+
+def _ranges(t) -> DataFrame:
+    """Ranges around long words: id is their place."""
+    rows = text.tokens(t("documents")).where(F.length("w") >= 9)
+    return rows.select("doc_id", "sent", F.greatest(F.col("start") - F.length("w"), F.lit(0)).alias("start"), (F.col("end") + F.pmod("pos", F.lit(7)) * 3).alias("end"), F.col("pos").alias("id"))
+
+
+_RANGES = 'r as (select doc_id, sent, greatest(start - length(w), 0) as start, "end" + (pos % 7) * 3 as "end", pos as id from tok where length(w) >= 9)'
+
+
+@query(with_(TOKENS, _RANGES, query="""select doc_id, min(start) as start, max("end") as "end", count(*) as parts from (select *, sum(fresh) over (partition by doc_id order by start, "end" rows unbounded preceding) as island from (
+  select *, case when start > coalesce(max("end") over (partition by doc_id order by start, "end" rows between unbounded preceding and 1 preceding), -1) then 1 else 0 end as fresh from r)) group by doc_id, island"""))
+def range_merge(t):
+    """INT-10: merged ranges."""
+    return intervals.merged(_ranges(t), ["doc_id"])
+
+
+@query(with_(TOKENS, _RANGES, query='select doc_id, id, start, "end" from r where not exists (select 1 from r o where o.doc_id = r.doc_id and o.id <> r.id and o.start <= r.start and o."end" >= r."end" and (o.start < r.start or o."end" > r."end" or o.id < r.id))'))
+def range_containment_drop(t):
+    """INT-4: ranges that lie in no other."""
+    return intervals.not_contained(_ranges(t), ["doc_id"]).select("doc_id", "id", "start", "end")
+
+
+@query(with_(TOKENS, _RANGES, query='select doc_id, id, exists (select 1 from r o where o.doc_id = r.doc_id and o.id <> r.id and o.start < r."end" and o."end" > r.start) as overlaps from r'))
+def range_overlap_flag(t):
+    """JOIN-15, INT-11: whether a range overlaps another."""
+    return intervals.overlap_flags(_ranges(t), ["doc_id"]).select("doc_id", "id", "overlaps")
+
+
+@query(with_(TOKENS, query="""select doc_id, sent, w, pos, rn as rank from (select *, row_number() over (partition by doc_id, sent order by length(w) desc, "end" - start desc, pos) as rn from tok) where rn <= 2"""))
+def conflict_resolve(t):
+    """INT-9, SRT-6: the best two candidates of each sentence."""
+    w = W.partitionBy("doc_id", "sent").orderBy(F.desc(F.length("w")), F.desc(F.col("end") - F.col("start")), "pos")
+    return text.tokens(t("documents")).withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 2").select("doc_id", "sent", "w", "pos", "rank")
+
+
+def _candidates(t) -> DataFrame:
+    return _ranges(t).select("doc_id", "sent", "start", "end", F.pmod("id", F.lit(5)).alias("priority"), F.concat(F.lit("r"), F.col("id").cast("string")).alias("id"))
+
+
+@query()
+def greedy_claim(t):
+    """INT-1, INT-3: greedy claim of places, sentence by sentence."""
+    return intervals.greedy_claim(_candidates(t), ["doc_id", "sent"])
+
+
+@query()
+def weighted_interval(t):
+    """INT-2: the heaviest disjoint set, sentence by sentence."""
+    return intervals.weighted_schedule(_candidates(t), ["doc_id", "sent"])
+
+
+@query()
+def best_path_segmentation(t):
+    """INT-5: best cut of each sentence into spans."""
+    return intervals.best_path(text.tokens(t("documents")), 2, _grams(t))
+
+
+@query(with_(TOKENS, LINES, query="select t.doc_id, l.line_no, count(*) as n, min(t.start - l.start) as first_column from tok t join lines l on l.doc_id = t.doc_id and t.start >= l.start and t.start < l.start + length(l.line) + 1 group by 1, 2"))
+def point_in_range_join(t):
+    """JOIN-13, JOIN-14, INT-12: tokens to the lines that hold them; starts and points are merged in one sorted pass."""
+    lines = tables.lines(t("documents")).select("doc_id", F.col("start").alias("at"), F.struct("line_no", F.col("start").alias("from")).alias("l"))
+    points = text.tokens(t("documents")).select("doc_id", F.col("start").alias("at"), F.lit(None).cast("struct<line_no:bigint,from:bigint>").alias("l"))
+    w = W.partitionBy("doc_id").orderBy("at", F.col("l").isNull()).rowsBetween(W.unboundedPreceding, 0)
+    rows = lines.withColumn("point", F.lit(False)).unionByName(points.withColumn("point", F.lit(True))).withColumn("l", F.last("l", ignorenulls=True).over(w)).where("point")
+    return rows.groupBy("doc_id", F.col("l.line_no").alias("line_no")).agg(F.count("*").alias("n"), F.min(F.col("at") - F.col("l.from")).alias("first_column"))
+
+
+# snapshots ----------------------------------------------------------------------------------------------------------
+
+_BEFORE = "before as (select o_orderkey, o_orderstatus, o_orderpriority, o_totalprice from orders where o_orderkey % 101 <> 0)"
+_AFTER = "after as (select o_orderkey, case when o_orderkey % 17 = 0 then 'X' else o_orderstatus end as o_orderstatus, o_orderpriority, case when o_orderkey % 23 = 0 then o_totalprice + 1 else o_totalprice end as o_totalprice from orders where o_orderkey % 103 <> 0)"
+_CHANGES = """changes as (select coalesce(b.o_orderkey, a.o_orderkey) as o_orderkey, coalesce(b.o_orderpriority, a.o_orderpriority) as stage, b.o_orderstatus as s0, a.o_orderstatus as s1,
+  case when b.o_orderkey is null then 'added' when a.o_orderkey is null then 'removed' when b.o_orderstatus <> a.o_orderstatus or b.o_totalprice <> a.o_totalprice then 'modified' else 'stable' end as operation,
+  case when b.o_orderkey is null or a.o_orderkey is null then '' else concat_ws(',', case when b.o_orderstatus <> a.o_orderstatus then 'o_orderstatus' end, case when b.o_totalprice <> a.o_totalprice then 'o_totalprice' end) end as changed
+  from before b full outer join after a on a.o_orderkey = b.o_orderkey)"""
+
+
+def _snapshots(t) -> tuple[DataFrame, DataFrame]:
+    orders, k = t("orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice"), F.col("o_orderkey")
+    after = orders.where(k % 103 != 0).withColumns({"o_orderstatus": F.when(k % 17 == 0, "X").otherwise(F.col("o_orderstatus")), "o_totalprice": F.when(k % 23 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))})
+    return orders.where(k % 101 != 0), after
+
+
+def _changes(t) -> DataFrame:
+    before, after = _snapshots(t)
+    rows = snapshots.diff(before, after, "o_orderkey", ["o_orderstatus", "o_totalprice"])
+    return rows.join(t("orders").select("o_orderkey", F.col("o_orderpriority").alias("stage")), "o_orderkey")
+
+
+@query(with_(_BEFORE, _AFTER, _CHANGES, query="select o_orderkey, operation, changed from changes"))
+def snapshot_full_outer_diff(t):
+    """JOIN-19, SCL-13: keyed changes and their fields."""
+    return _changes(t).select("o_orderkey", "operation", "changed")
+
+
+@query(with_(_BEFORE, _AFTER, _CHANGES, query="""select stage, n, changed, round(p, 8) as rate, round(greatest((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n))) / (1 + z * z / n), 0), 8) as low, round(least((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n))) / (1 + z * z / n), 1), 8) as high
+from (select stage, count(*) as n, cast(sum(case when operation <> 'stable' then 1 else 0 end) as bigint) as changed, sum(case when operation <> 'stable' then 1 else 0 end) / count(*) as p, 1.959963984540054::double as z from changes group by stage)"""))
+def stage_churn_wilson(t):
+    """AGG-13, AGG-14: churn of each stage with its interval."""
+    return snapshots.churn(_changes(t), "stage")
+
+
+@query(with_(_BEFORE, _AFTER, _CHANGES, query="select coalesce(s0, '-') as before, coalesce(s1, '-') as after, count(*) as n from changes group by 1, 2"))
+def status_transitions(t):
+    """AGG-13: the transition matrix."""
+    before, after = (df.select("o_orderkey", F.col("o_orderstatus").alias(n)) for df, n in zip(_snapshots(t), ("b", "a")))
+    return before.join(after, "o_orderkey", "full_outer").groupBy(F.coalesce("b", F.lit("-")).alias("before"), F.coalesce("a", F.lit("-")).alias("after")).agg(F.count("*").alias("n"))
+
+
+@query(with_(_BEFORE, _AFTER, _CHANGES, query="select coalesce(stage, 'all') as stage, coalesce(operation, 'all') as operation, count(*) as n from changes group by rollup (stage, operation)"))
+def severity_rollup(t):
+    """AGG-15: totals by stage and operation."""
+    return _changes(t).rollup("stage", "operation").agg(F.count("*").alias("n")).select(F.coalesce("stage", F.lit("all")).alias("stage"), F.coalesce("operation", F.lit("all")).alias("operation"), "n")
+
+
+@query(with_(_BEFORE, _AFTER, _CHANGES, query="select unnest(string_split(changed, ',')) as field, count(*) as n from changes where changed <> '' group by 1"))
+def field_histogram(t):
+    """AGG-17: how often each field differs."""
+    return _changes(t).where("changed <> ''").select(F.explode(F.split("changed", ",")).alias("field")).groupBy("field").agg(F.count("*").alias("n"))
+
+
+@query(with_(_BEFORE, _AFTER, query="select 'added' as kind, count(*) as n from (select o_orderkey from after except select o_orderkey from before) union all select 'removed', count(*) from (select o_orderkey from before except select o_orderkey from after) union all select 'kept', count(*) from (select o_orderkey from before intersect select o_orderkey from after)"))
+def snapshot_set_compare(t):
+    """SET-3: added, removed and kept keys."""
+    b, a = (df.select("o_orderkey") for df in _snapshots(t))
+    parts = {"added": a.subtract(b), "removed": b.subtract(a), "kept": a.intersect(b)}
+    out = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n") for k, df in parts.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("""with k as (select l_orderkey, list_sort(list(l_returnflag || l_linestatus)) as a, list_sort(list(case when l_orderkey % 13 = 0 and l_linenumber = 1 then 'Z' else l_returnflag end || l_linestatus)) as b from lineitem group by l_orderkey) select l_orderkey from k where a <> b""")
+def changed_keys(t):
+    """SET-5: keys whose multisets differ, whatever their order."""
+    flag = F.when((F.col("l_orderkey") % 13 == 0) & (F.col("l_linenumber") == 1), "Z").otherwise(F.col("l_returnflag"))
+    rows = t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.concat("l_returnflag", "l_linestatus"))).alias("a"), F.array_sort(F.collect_list(F.concat(flag, "l_linestatus"))).alias("b"))
+    return rows.where("a <> b").select("l_orderkey")
+
+
+_STAGES = "(values ('clean', 'source'), ('segments', 'clean'), ('morphemes', 'segments'), ('formations', 'morphemes'), ('lexical', 'morphemes'), ('phrases', 'formations'), ('phrases', 'lexical'), ('grammar', 'phrases'), ('novelty', 'phrases'), ('expressions', 'grammar'))"
+
+
+def _edges(spark: SparkSession) -> DataFrame:
+    return spark.sql(f"select * from values {_STAGES[8:-1]} as e(child, parent)")
+
+
+_CLOSURE = f"up as (select child, parent as ancestor, 1 as distance from {_STAGES} e(child, parent) union all select up.child, e.parent, up.distance + 1 from up join {_STAGES} e(child, parent) on e.child = up.ancestor)"
+
+QUERIES["causal_parents"] = lambda spark, d: snapshots.closure(spark, _edges(spark))  # JOIN-18, JOIN-21, STR-7
+ORACLES["causal_parents"] = f"with recursive {_CLOSURE} select child, ancestor, cast(min(distance) as bigint) as distance from up group by child, ancestor"
+QUERIES["root_impacts"] = lambda spark, d: snapshots.closure(spark, _edges(spark)).groupBy(F.col("ancestor").alias("root")).agg(F.count_distinct("child").alias("affected"), F.max("distance").alias("depth"))  # AGG-16
+ORACLES["root_impacts"] = f"with recursive {_CLOSURE} select ancestor as root, count(distinct child) as affected, cast(max(d) as bigint) as depth from (select child, ancestor, min(distance) as d from up group by child, ancestor) group by ancestor"
+
+
+@query(with_(_BEFORE, _AFTER, _CHANGES, query="""select rule, value > most as violated, case when value > most and blocking then 'blocked' when value > most then 'review_required' else 'passed' end as verdict from (
+  select 'churn' as rule, round(avg(case when operation <> 'stable' then 1.0 else 0.0 end), 8) as value, 0.05 as most, true as blocking from changes
+  union all select 'removed', cast(sum(case when operation = 'removed' then 1 else 0 end) as double), 1000000.0, true from changes
+  union all select 'added', cast(sum(case when operation = 'added' then 1 else 0 end) as double), 0.0, false from changes)"""))
+def gate_evaluation(t):
+    """QA-9: rules over metrics, blocking ones first."""
+    c = _changes(t).agg(F.round(F.avg((F.col("operation") != "stable").cast("double")), 8).alias("churn"), F.sum((F.col("operation") == "removed").cast("double")).alias("removed"), F.sum((F.col("operation") == "added").cast("double")).alias("added"))
+    rules = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("value"), F.lit(m).alias("most"), F.lit(b).alias("blocking")) for r, m, b in (("churn", 0.05, True), ("removed", 1e6, True), ("added", 0.0, False))])
+    rows = c.select(F.explode(rules).alias("r")).select("r.*").withColumn("violated", F.col("value") > F.col("most"))
+    return rows.select("rule", "violated", F.when(~F.col("violated"), "passed").when(F.col("blocking"), "blocked").otherwise("review_required").alias("verdict"))
+
+
+# pages --------------------------------------------------------------------------------------------------------------
+
+
+@query("select tag, cast(sum(k) as bigint) as n, count(*) as pages from (select page_id, lower(tag) as tag, count(*) as k from (select page_id, unnest(regexp_extract_all(html, '<\\s*/?\\s*([a-zA-Z][A-Za-z0-9_:-]*)', 1)) as tag from pages) group by 1, 2) group by tag")
+def html_tag_census(t):
+    """AGG-18: tags and pages."""
+    return html.tag_census(t("pages"))
+
+
+@query("""select page_id, target, count(*) as n from (select page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as target from pages) group by 1, 2""")
+def html_links(t):
+    """PRJ-20: distinct links."""
+    return html.links(t("pages"))
+
+
+@query()
+def html_text(t):
+    """PRJ-17, PRJ-19: visible text."""
+    return html.page_text(t("pages"))
+
+
+@query()
+def html_sanitize(t):
+    """PRJ-18: whitelisted HTML."""
+    return t("pages").select("page_id", html.sanitized("html").alias("clean"))
+
+
+@query()
+def reader_blocks(t):
+    """SRC-24, PRJ-29: blocks with their places."""
+    return html.reader_blocks(t("pages"))
+
+
+# catalogues, libraries, exports -------------------------------------------------------------------------------------
+
+both("catalog_search", "select p_partkey, p_name from {part} where p_size between 5 and 40 and (lower(p_name) like '%re%' or lower(p_type) like '%brass%') and p_brand <> 'Brand#11'")  # SEA-1
+both(
+    "catalog_integrity",  # QA-1, QA-2, AGG-21
+    "select 'lineitem_order' as check_name, count(*) as n from {lineitem} l where not exists (select 1 from {orders} o where o.o_orderkey = l.l_orderkey) union all select 'lineitem_part', count(*) from {lineitem} l where not exists (select 1 from {part} p where p.p_partkey = l.l_partkey) "
+    "union all select 'order_customer', count(*) from {orders} o where not exists (select 1 from {customer} c where c.c_custkey = o.o_custkey) union all select 'duplicate_part', count(*) from (select p_partkey from {part} group by p_partkey having count(*) > 1) d union all select 'label_document', count(*) from {labels} l where not exists (select 1 from {documents} d where d.doc_id = l.doc_id)",
+)
+both("redirect_resolve", "with recursive r as (select n_nationkey as origin, n_nationkey as target, 0 as hops from {nation} union all select r.origin, n.n_regionkey, r.hops + 1 from r join {nation} n on n.n_nationkey = r.target where n.n_regionkey < r.target and r.hops < 30) select origin, cast(min(target) as int) as target, cast(max(hops) as bigint) as hops from r group by origin")  # JOIN-18
+both("export_entries", "select o_custkey, o_orderkey, o_orderpriority, sha256(concat(cast(o_custkey as varchar), ':', cast(o_orderkey as varchar), ':', o_orderpriority)) as id from (select *, row_number() over (partition by o_custkey, o_orderpriority order by o_orderdate, o_orderkey) as k from {orders}) x where k = 1")  # SNK-3, SCL-11
+QUERIES["export_entries"] = lambda spark, d: (
+    tables.table(spark, d, "orders")
+    .withColumn("k", F.row_number().over(W.partitionBy("o_custkey", "o_orderpriority").orderBy("o_orderdate", "o_orderkey")))
+    .where("k = 1")
+    .select("o_custkey", "o_orderkey", "o_orderpriority", F.sha2(F.concat_ws(":", F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string"), "o_orderpriority"), 256).alias("id"))
+)
+both("library_order", "select c_custkey, c_name, last_opened, rank from (select c_custkey, c_name, last_opened, row_number() over (partition by c_nationkey order by last_opened desc nulls last, c_custkey) as rank from {customer} left join (select o_custkey, max(o_orderdate) as last_opened from {orders} where o_orderkey % 3 = 0 group by o_custkey) o on o_custkey = c_custkey) x where rank <= 5")  # SRT-9, SRC-21
+both("progress_percent", "select o_custkey, round(case when sum(o_totalprice) > 0 then least(sum(case when o_orderstatus = 'F' then o_totalprice else 0 end), sum(o_totalprice)) / sum(o_totalprice) else 0 end, 4) as progress from {orders} group by o_custkey")  # SCL-22
+both("library_upsert", "select c_custkey, greatest(a, coalesce(b, 0)) as n from (select c_custkey, cast(c_nationkey as bigint) as a from {customer}) c left join (select o_custkey, count(*) as b from {orders} group by o_custkey) o on o_custkey = c_custkey")  # DML-8
+
+
+@query(with_(TOKENS, query="""select doc_id, sent, cost, rank from (select *, row_number() over (partition by doc_id order by rank_score, cost, sent) as rank from (
+  select doc_id, sent, count(*) as cost, count(*) - cast(sum(case when length(w) >= 6 then length(w) * length(w) else 0 end) as bigint) as rank_score from tok group by doc_id, sent)) where rank <= 3"""))
+def nbest_rerank(t):
+    """SEQ-4, SRT-6: sentences as candidates, reranked by their long words."""
+    rows = text.tokens(t("documents")).groupBy("doc_id", "sent").agg(F.count("*").alias("cost"), F.sum(F.when(F.length("w") >= 6, F.length("w") * F.length("w")).otherwise(0)).alias("gain"))
+    w = W.partitionBy("doc_id").orderBy(F.col("cost") - F.col("gain"), "cost", "sent")
+    return rows.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 3").select("doc_id", "sent", "cost", "rank")
+
+
+@query("""select conv_id, turn, role, cast(least(length(text), 800) as bigint) as used, cast(before as bigint) as before from (select *, sum(least(length(text), 800)) over (partition by conv_id order by turn, role, text) - least(length(text), 800) as before from conversations) where before < 1600""")
+def llm_budget_candidates(t):
+    """QA-13, WIN-10: candidates until a budget is used up."""
+    used = F.least(F.length("text"), F.lit(800))
+    before = F.sum(used).over(W.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, 0)) - used
+    return t("conversations").select("conv_id", "turn", "role", used.cast("long").alias("used"), before.alias("before")).where("before < 1600")
+
+
+@query("""select b.conv_id, b.turn, a.turn is not null and contains(a.text, substring(b.text, 1, 20)) as grounded from conversations b left join (select conv_id, turn, min(text) as text from conversations group by 1, 2) a on a.conv_id = b.conv_id and a.turn = b.turn - 1""")
+def quote_grounding(t):
+    """QA-12: whether a turn's opening is quoted from the turn before."""
+    c = t("conversations")
+    a = c.groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(F.min("text").alias("before"))
+    return c.join(a, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce(F.contains("before", F.substring("text", 1, 20)), F.lit(False)).alias("grounded"))
+
+
+@query(with_(TOKENS, query='select doc_id, start, "end", w from tok'))
+def progressive_equals_full(t):
+    """STR-1 to STR-4: chunks in any order give the whole document's tokens."""
+    return session.progressive(session.chunks(t("documents"), 3), 3).select("doc_id", "start", "end", "w")
+
+
+@query(with_(LINES, query="select doc_id, count(distinct (line_no - 1) // 3) as n, count(distinct case when (line_no - 1) // 3 % 2 = 0 then (line_no - 1) // 3 end) as arrived, count(distinct (line_no - 1) // 3) = 1 as complete from lines group by doc_id"))
+def chunk_coverage(t):
+    """AGG-22: which documents are complete."""
+    parts = session.chunks(t("documents"), 3)
+    return session.coverage(parts, parts.where("chunk % 2 = 0"))
