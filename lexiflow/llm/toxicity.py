@@ -41,7 +41,7 @@ CHAIN = 200
 #: Size of the hashed weight table.
 WIDTH = 1 << 18
 #: Fit parameters: labelled documents of each class, precision and contexts of a lexicon entry, chains kept for each document.
-PER_CLASS, PRECISION, CONTEXTS, CHAINS_KEPT = 4000, 0.9, 5, 6
+PER_CLASS, PRECISION, CONTEXTS, CHAINS_KEPT = 2000, 0.9, 5, 3
 #: Words that a task remembers at most.
 REMEMBERED = 500_000
 
@@ -236,16 +236,22 @@ def fit_field(chains: list[tuple[list[str], list[int]]], rounds: int = 60, rate:
     tags = np.array([t for _, c in chains for t in [*c, 0]], float)
     ends = np.array([w in ENDS for w in tokens], bool)
     starts, lengths = chains_of(ends)
-    known: dict[str, list[int]] = {}
-    table_ = []
-    for k, w in enumerate(tokens):
-        if w not in known:
-            known[w] = [slot(f) for f in features(w)] if w not in ENDS else []
-        beside = ([slot("l=" + tokens[k - 1])] if k and not ends[k - 1] else []) + ([slot("r=" + tokens[k + 1])] if k + 1 < len(tokens) and not ends[k + 1] else [])
-        row = [*known[w], *beside] if not ends[k] else []
-        table_.append(row + [WIDTH] * (8 - len(row)))
-    used, at = np.unique(np.array(table_, np.int64), return_inverse=True)
-    at = at.reshape(-1, 8)
+    names = {w: k for k, w in enumerate(dict.fromkeys(tokens))}
+    ids = np.fromiter((names[w] for w in tokens), np.int64, len(tokens))
+    del tokens
+    own = np.full((len(names), 6), WIDTH, np.int32)
+    for w, k in names.items():
+        if w not in ENDS:
+            row = [slot(f) for f in features(w)]
+            own[k, : len(row)] = row
+    onward, back = (np.array([slot(side + w) for w in names], np.int32) for side in ("l=", "r="))
+    slots = np.full((len(ids), 8), WIDTH, np.int32)
+    slots[:, :6] = own[ids]
+    joined = ~ends[1:] & ~ends[:-1]
+    slots[1:, 6][joined] = onward[ids[:-1]][joined]
+    slots[:-1, 7][joined] = back[ids[1:]][joined]
+    used, at = np.unique(slots, return_inverse=True)
+    at = at.reshape(-1, 8).astype(np.int32)
     follow = np.flatnonzero(~ends[1:] & ~ends[:-1])
     a, b = tags[follow], tags[follow + 1]
     seen = np.array([((1 - a) * b).sum(), (a * b).sum(), (a * (1 - b)).sum()])
