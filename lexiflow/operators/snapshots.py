@@ -20,10 +20,12 @@ def diff(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> Da
 
 def wilson(hits: Column, n: Column) -> tuple[Column, Column]:
     """Bounds of the Wilson interval, rounded to 8 digits; 0 and 0 without rows."""
+    n = F.nullif(n, F.lit(0.0))
     p = hits / n
-    middle, spread = p + Z * Z / (2 * n), Z * F.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))
+    middle, spread = p + F.lit(Z * Z) / (2 * n), Z * F.sqrt(p * (1 - p) / n + F.lit(Z * Z) / (4 * n * n))
     low, high = ((middle + s * spread) / (1 + Z * Z / n) for s in (-1, 1))
-    return F.coalesce(F.round(F.greatest(low, F.lit(0.0)), 8), F.lit(0.0)), F.coalesce(F.round(F.least(high, F.lit(1.0)), 8), F.lit(0.0))
+    none = F.when(n.isNull(), 0.0)
+    return none.otherwise(F.round(F.greatest(low, F.lit(0.0)), 8)), none.otherwise(F.round(F.least(high, F.lit(1.0)), 8))
 
 
 def churn(changes: DataFrame, by: str) -> DataFrame:

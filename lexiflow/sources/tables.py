@@ -39,6 +39,6 @@ def dictionary_records(spark: SparkSession, path: str) -> DataFrame:
     """(headword, reading, definition, target) of a text dictionary: records end with a line ``</>``; a definition ``@@@LINK=x`` is an alias of x."""
     records = spark.read.text(path, lineSep="</>\n").where(F.trim("value") != "")
     head = F.split(F.element_at(F.split("value", "\n"), 1), "\t")
-    body = F.trim(F.array_join(F.slice(F.split("value", "\n"), 2, 1_000_000), "\n"))
+    body = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*(\n|$)", ""), r"^\s+|\s+$", "")
     link = F.regexp_extract(body, r"^@@@LINK=([^\n]*)", 1)
     return records.select(head[0].alias("headword"), F.get(head, F.lit(1)).alias("reading"), F.when(link == "", body).alias("definition"), F.when(link != "", F.trim(link)).alias("target"))
