@@ -49,8 +49,8 @@ IDENTIFIERS = (
 )
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}", re.ASCII)
 #: Characters before a candidate in which a sensitive word counts; characters on either side that the compressor sees.
-BEFORE, AROUND = 48, 512
-NOVELTY = 0.7
+BEFORE, AROUND, PREAMBLE = 48, 512, 200
+NOVELTY = 0.9
 
 
 def fixed_spans(text: str) -> list[tuple[int, int, int]]:
@@ -75,7 +75,8 @@ class Novelty:
         self.size = lambda b, c=zstandard.ZstdCompressor(level=6, dict_data=primer, write_content_size=False, write_checksum=False): len(c.compress(b))
 
     def of(self, text: str, start: int, end: int) -> float:
-        around = (text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND] + "\n").encode("utf-8", "replace")
+        # the first identifiers keep zstd from storing a short text as it is
+        around = (IDENTIFIERS[:PREAMBLE] + text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND] + "\n").encode("utf-8", "replace")
         return (self.size(around + text[start:end].encode()) - self.size(around)) / (end - start)
 
     def spans(self, text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
