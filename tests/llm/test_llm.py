@@ -6,9 +6,10 @@ import re
 
 import numpy as np
 import pytest
+from compare import differences
 from conftest import SF
 
-from lexiflow.llm import audio, decontaminate, language, minhash, quality, secrets, sentencepiece_bpe, toxicity, url_rules, warc
+from lexiflow.llm import audio, decontaminate, language, minhash, quality, queries, secrets, sentencepiece_bpe, toxicity, url_rules, warc
 from pyspark.sql import functions as F
 
 KINDS = secrets.KINDS
@@ -391,3 +392,8 @@ def test_warc_parser_survives_damage(tmp_path, spark):
     assert list(warc.parse(good[:-60])) == [] and list(warc.parse(gzip.compress(good)[:-9])) == [] and list(warc.parse(b"")) == []
     (tmp_path / "a.warc.gz").write_bytes(gzip.compress(good) + gzip.compress(good))
     assert warc.derivatives(warc.read(spark, str(tmp_path)), "file_id").count() == 4
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_equal_their_sql(spark, name):
+    assert differences(spark, queries.QUERIES[name], queries.ORACLES[name], SF) == ""
