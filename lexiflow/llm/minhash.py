@@ -5,10 +5,10 @@
    and an empty bin copies the bin that its own sequence of random bins meets
    first (optimal densification), so that the copies are spread evenly.
 2. Bands of ``ROWS`` bins are buckets. A bucket links its members only to one
-   centre (a star), so a bucket of m members gives m - 1 candidates. Two star
-   rounds with different centres are followed by an exact one: where buckets
-   still hold several classes, their members are compared with those of the
-   other classes, block by block, unless they have so many shingles for
+   centre, the member with the smallest share of shingles that no other text
+   has (a star), so a bucket of m members gives m - 1 candidates. Where buckets
+   hold several classes after that, their members are compared with those of
+   the other classes, block by block, unless they have so many shingles for
    themselves alone that they can't be similar to anything. No bucket is
    capped.
 3. Candidates are confirmed on their full shingle sets, and the classes are
@@ -258,8 +258,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, id_col:
     known = rows.where("digest is not null and doc_id is not null")
     nodes = known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("keys").alias("keys"))
     buckets = nodes.select(F.struct("digest", "node", "size").alias("it"), F.explode("keys").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("m"), F.min("it").alias("centre")).where("m > 1")
-    members = checkpointed(buckets.join(shared.drop("m"), "key"))
+    shared = buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    members = checkpointed(buckets.join(shared.select("key"), "key"))
 
     # the sets of the texts that share a bucket with another one
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
@@ -267,51 +267,27 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, id_col:
     if known.groupBy("doc_id").count().where("count > 1").head(1):  # else each text comes once
         sets = sets.dropDuplicates(["digest"])
     sets = checkpointed(sets)
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of candidates (x, y), the links (a, b) between their nodes that the full sets confirm."""
-        fits = (F.col("x.size") * 100 >= F.col("y.size") * percent) & (F.col("y.size") * 100 >= F.col("x.size") * percent)
-        pairs = pairs.where(fits).select(F.col("x.digest").alias("dx"), F.col("x.node").alias("a"), F.col("y.digest").alias("dy"), F.col("y.node").alias("b")).distinct()
-        pairs = checkpointed(pairs)
-        left, right = (sets.select(F.col("digest").alias(d), F.col("shingles").alias(d.replace("d", "s"))) for d in ("dx", "dy"))
-        joined = pairs.join(among(left, pairs.select("dx"), "dx"), "dx").join(among(right, pairs.select("dy"), "dy"), "dy")
-        return joined.where(similar("sx", "sy", F.lit(percent))).select("a", "b")
-
-    links = checkpointed(confirmed(members.where("it.digest <> centre.digest").select(F.col("it").alias("x"), F.col("centre").alias("y"))))
+    members = members.withColumn("h", F.xxhash64("it.digest")).join(solitary(sets), "h", "left")
+    members = checkpointed(members.select("key", "it", (F.col("it.size") - F.coalesce("own", F.lit(0))).alias("open")))
+
+    # stars around the member that shares most of its shingles: it's nearest to the middle of its group
+    lonely = F.struct((1 - F.col("open") / F.col("it.size")).alias("lonely"), "it")
+    centres = members.groupBy("key").agg(F.min(lonely).alias("c"))
+    star = members.join(centres, "key").where("it.digest <> c.it.digest").select(F.col("it").alias("x"), F.col("c.it").alias("y"))
+    fits = (F.col("x.size") * 100 >= F.col("y.size") * percent) & (F.col("y.size") * 100 >= F.col("x.size") * percent)
+    pairs = star.where(fits).select(F.col("x.digest").alias("dx"), F.col("x.node").alias("a"), F.col("y.digest").alias("dy"), F.col("y.node").alias("b")).distinct()
+    x, y = (sets.select(F.col("digest").alias(d), F.col("shingles").alias(s)) for d, s in (("dx", "sx"), ("dy", "sy")))
+    links = checkpointed(pairs.join(x, "dx").join(y, "dy").where(similar("sx", "sy", F.lit(percent))).select("a", "b"))
     labels = components(links)
 
-    def undecided(labels: DataFrame) -> DataFrame:
-        """(key, it, label): members of the buckets that still hold more than one class."""
-        named = members.select("key", "it", F.col("it.node").alias("node")).join(labels, "node", "left").select("key", "it", F.coalesce("label", "node").alias("label"))
-        still = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
-        return checkpointed(named.join(still, "key", "left_semi"))
-
-    # second stars, around the member that shares most of its shingles: it's nearest to the middle of its group
-    left = undecided(labels)
-    if left.head(1):
-        own = checkpointed(solitary(among(sets, left.select(F.col("it.digest").alias("digest")), "digest")))
-
-        def opened(rows: DataFrame) -> DataFrame:
-            """With ``open``: how many of a text's shingles other texts have, too."""
-            rows = rows.withColumn("h", F.xxhash64("it.digest")).join(own, "h", "left")
-            return rows.withColumn("open", F.col("it.size") - F.coalesce("own", F.lit(0))).drop("h", "own")
-
-        lonely = 1 - F.col("open") / F.col("it.size")
-        centres = opened(left).groupBy("key").agg(F.min(F.struct(lonely.alias("lonely"), "it", "label")).alias("c"))
-        star = left.join(centres, "key").where("label <> c.label").select(F.col("it").alias("x"), F.col("c.it").alias("y"))
-        more = checkpointed(confirmed(star))
-        if more.head(1):
-            links = links.unionByName(more)
-            labels = components(links)
-            left = undecided(labels)
-    # the rest: each member against its bucket's other classes, in blocks; members of a bucket's largest class ask nobody
-    if left.head(1):
-        largest = left.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"))
-        named = opened(left.join(largest, "key")).where(F.col("open") * 100 >= F.col("it.size") * percent)  # others have too much for themselves alone
-        named = named.groupBy(F.col("top.label").alias("top"), "it", "label").agg((~F.every(F.col("label") == F.col("top.label"))).alias("asks"))
-        more = checkpointed(compared(named, sets, percent))
-        if more.head(1):
-            labels = components(links.unionByName(more))
+    # in buckets that still hold several classes, each member against the other classes, in blocks; members of the largest class ask nobody
+    named = members.withColumn("node", F.col("it.node")).join(labels, "node", "left").select("key", "it", "open", F.coalesce("label", "node").alias("label"))
+    counts = named.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("classes"))
+    left = named.join(counts.where("classes > 1"), "key").where(F.col("open") * 100 >= F.col("it.size") * percent)  # others have too much for themselves alone
+    left = left.groupBy(F.col("top.label").alias("top"), "it", "label").agg((~F.every(F.col("label") == F.col("top.label"))).alias("asks"))
+    more = checkpointed(compared(left, sets, percent))
+    if more.head(1):
+        labels = components(links.unionByName(more))
 
     named = known.groupBy("digest").agg(F.min("doc_id").alias("node")).join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
     found = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
