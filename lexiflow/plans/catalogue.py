@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lexiflow.operators import dictionary, html, intervals, patterns, snapshots, text
+from lexiflow.operators import dictionary, grammar, html, intervals, patterns, snapshots, text
 from lexiflow.plans.sql import LINES, PIECES, TOKENS, VOCABULARY, WORD, WORDS, with_
 from lexiflow.sources import tables
 from lexiflow.streaming import session
@@ -571,3 +571,53 @@ def chunk_coverage(t):
     """AGG-22: which documents are complete."""
     parts = session.chunks(t("documents"), 3)
     return session.coverage(parts, parts.where("chunk % 2 = 0"))
+
+
+# occurrences and orders ---------------------------------------------------------------------------------------------
+
+_AUX = ("of", "the", "and", "to", "in", "is")
+
+
+@query(with_(TOKENS, f"""k as (select *, case when w in {_AUX} then 2 when length(w) >= 5 then 1 else 0 end as kind from tok), c as (select *, sum(case when kind < 2 then 1 else 0 end) over (partition by doc_id, sent order by pos) as chain from k)""", query="""select doc_id, sent, max(case when kind = 1 then pos end) as start_pos, cast(sum(case when kind = 2 then 1 else 0 end) as bigint) as n_aux, string_agg(case when kind = 2 then w end, ' ' order by pos) as operators
+from c where kind > 0 group by doc_id, sent, chain having max(case when kind = 1 then pos end) is not null and sum(case when kind = 2 then 1 else 0 end) > 0"""))
+def morph_chains(t):
+    """SEQ-8, SEQ-9: roots with the auxiliaries that follow."""
+    return grammar.chains(text.tokens(t("documents")), F.length("w") >= 5, F.col("w").isin(*_AUX))
+
+
+@query("select l_partkey, l_returnflag, max(l_quantity) as confidence, max(l_linenumber) as priority, array_to_string(list_sort(list(distinct l_linestatus)), ',') as evidence, count(*) as n from lineitem group by 1, 2")
+def candidate_dedup(t):
+    """INT-7: candidates merged by key."""
+    rows = t("lineitem").select("l_partkey", "l_returnflag", F.col("l_quantity").alias("confidence"), F.col("l_linenumber").alias("priority"), F.col("l_linestatus").alias("evidence"))
+    return grammar.deduplicated(rows, ["l_partkey", "l_returnflag"])
+
+
+@query()
+def refine_conflicts(t):
+    """INT-8: refinement in order of priority, sentence by sentence."""
+    r = _ranges(t).select("doc_id", "sent", F.concat(F.lit("c"), F.pmod("id", F.lit(3)).cast("string")).alias("concept"), "start", "end", F.pmod("id", F.lit(5)).alias("priority"), F.when(F.pmod("id", F.lit(4)) == 0, "c1").alias("refines"), F.when(F.pmod("id", F.lit(2)) == 0, "g").alias("conflict_group"), F.lit("accepted").alias("status"), "id")
+    return grammar.refined(r, ["doc_id", "sent"])
+
+
+@query()
+def pair_unmatched(t):
+    """JOIN-20: removed and added orders of a customer, paired by their fields."""
+    o = t("orders").select("o_custkey", F.col("o_orderkey").alias("key"), F.array("o_orderstatus", "o_orderpriority").alias("fields"))
+    return grammar.pair_unmatched(o.where("key % 5 = 0"), o.where("key % 5 = 1"), ["o_custkey"])
+
+
+@query(with_(TOKENS, _RANGES, query='select doc_id, pos from tok where not exists (select 1 from r where r.doc_id = tok.doc_id and r.start <= tok.start and r."end" > tok.start)'))
+def uncovered_tokens(t):
+    """SEQ-17: tokens that no range covers."""
+    docs = t("documents")
+    return grammar.residuals(text.tokens(docs), _ranges(t))
+
+
+both("page_batches", "select c_custkey, cast(ceil(k / 20.0) as bigint) as page, cast(ceil(n / 20.0) as bigint) as pages from (select c_custkey, row_number() over (partition by c_nationkey order by c_custkey) as k, count(*) over (partition by c_nationkey) as n from {customer}) x")  # SRT-8
+both("size_budget", "select s_nationkey, s_suppkey from (select s_nationkey, s_suppkey, sum(case when s_acctbal between 0 and 6000 then s_acctbal else 0 end) over (partition by s_nationkey order by s_suppkey) as total, s_acctbal from {supplier}) x where s_acctbal between 0 and 6000 and total <= 20000")  # SRC-11, WIN-10
+both("user_order", "select s_suppkey, row_number() over (partition by s_nationkey order by coalesce(position, 2147483647), s_acctbal desc, s_suppkey) as place from {supplier} left join (select r_regionkey as nk, 10 - r_regionkey as position from {region}) p on nk = s_nationkey")  # SRT-4, DML-6
+both("newest_kept", "select user_id, event_id from (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id) as k from {events}) x where k <= 3")  # SNK-2, SRT-11
+both("distinct_rules", "select event_type, count(*) as n, count(distinct user_id) as users from {events} group by event_type")  # AGG-8, AGG-12
+both("form_seeds", "select l_suppkey, l_partkey, cast(240 * max(case when l_returnflag = 'N' then 1 else 0 end) + 180 * max(case when l_linestatus = 'O' then 1 else 0 end) + 40 * max(case when l_tax > 0.04 then 1 else 0 end) as bigint) as seed, count(*) as n from {lineitem} group by l_suppkey, l_partkey")  # SCL-8, AGG-9
+both("consecutive_removed", "select conv_id, turn, role from (select conv_id, turn, role, lag(role) over (partition by conv_id order by turn, role) as p from {conversations}) x where p is null or p <> role")  # WIN-9
+both("sense_confidence", "select p_partkey, cast(90 - 4 * (n - 1) as bigint) as confidence from (select p_partkey, count(*) over (partition by p_brand, p_size) as n from {part}) x")  # SCL-27

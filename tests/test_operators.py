@@ -5,8 +5,8 @@ from itertools import combinations
 
 import pytest
 
-from lexiflow.operators import dictionary, html, intervals, patterns, snapshots, text
-from lexiflow.sources import tables
+from lexiflow.operators import dictionary, grammar, html, intervals, patterns, snapshots, text
+from lexiflow.sources import cache, tables
 from lexiflow.streaming import session
 
 
@@ -146,3 +146,33 @@ def test_stream_replays_and_duplicates(spark, tmp_path):
     session.stream(source, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     found = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r.doc_id, r.start, r.w) for r in found.collect()) == sorted((r.doc_id, r.start, r.w) for r in text.tokens(d).collect())
+
+
+def test_refinement_is_sequential():
+    row = lambda c, p, r=None, g=None, s=0, e=5: {"concept": c, "priority": p, "refines": r, "conflict_group": g, "start": s, "end": e, "status": "accepted"}
+    assert grammar.refine([row("a", 3, "b"), row("b", 2, "c"), row("c", 1)]) == ["accepted", "rejected", "accepted"]
+    assert grammar.refine([row("a", 3, g="x"), row("b", 2, g="x"), row("c", 1, g="x", s=7, e=9)]) == ["accepted", "pending", "accepted"]
+
+
+def test_pairing_uses_each_side_once():
+    side = lambda *f: [{"key": k, "fields": x} for k, x in enumerate(f)]
+    assert grammar.pair(side("ab", "aa"), side("aa", "ab", "cc")) == [(0, 1, 0), (1, 0, 0)]
+    assert grammar.pair(side("ab"), []) == []
+
+
+def test_explanations_fall_back(spark):
+    o = spark.createDataFrame([(1, "c", "s", "own"), (2, "c", "s", None), (3, "c", None, None), (4, "z", None, None)], "id int, concept string, sense string, explicit string")
+    s, c = spark.createDataFrame([("s", "S")], "sense string, explanation string"), spark.createDataFrame([("c", "C")], "concept string, explanation string")
+    assert {r.id: r.explanation for r in grammar.explained(o, s, c).collect()} == {1: "own", 2: "S", 3: "C", 4: None}
+
+
+def test_cache(spark, tmp_path):
+    calls = []
+
+    def compute():
+        calls.append(1)
+        return spark.range(3)
+
+    for _ in range(2):
+        assert cache.cached(spark, str(tmp_path), "text", "v1", compute).count() == 3
+    assert len(calls) == 1 and cache.cached(spark, str(tmp_path), "text", "v2", compute).count() == 3 and len(calls) == 2
