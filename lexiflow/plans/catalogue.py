@@ -530,7 +530,7 @@ QUERIES["export_entries"] = lambda spark, d: (
     .where("k = 1")
     .select("o_custkey", "o_orderkey", "o_orderpriority", F.sha2(F.concat_ws(":", F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string"), "o_orderpriority"), 256).alias("id"))
 )
-both("library_order", "select c_custkey, c_name, last_opened, rank from (select c_custkey, c_name, last_opened, row_number() over (partition by c_nationkey order by last_opened desc nulls last, c_custkey) as rank from {customer} left join (select o_custkey, max(o_orderdate) as last_opened from {orders} where o_orderkey % 3 = 0 group by o_custkey) o on o_custkey = c_custkey) x where rank <= 5")  # SRT-9, SRC-21
+both("library_order", "select c_custkey, c_name, cast(last_opened as varchar(32)) as last_opened, cast(rank as bigint) as rank from (select c_custkey, c_name, cast(last_opened as date) as last_opened, row_number() over (partition by c_nationkey order by last_opened desc nulls last, c_custkey) as rank from {customer} left join (select o_custkey, max(o_orderdate) as last_opened from {orders} where o_orderkey % 3 = 0 group by o_custkey) o on o_custkey = c_custkey) x where rank <= 5")  # SRT-9, SRC-21
 both("progress_percent", "select o_custkey, round(case when sum(o_totalprice) > 0 then least(sum(case when o_orderstatus = 'F' then o_totalprice else 0 end), sum(o_totalprice)) / sum(o_totalprice) else 0 end, 4) as progress from {orders} group by o_custkey")  # SCL-22
 both("library_upsert", "select c_custkey, greatest(a, coalesce(b, 0)) as n from (select c_custkey, cast(c_nationkey as bigint) as a from {customer}) c left join (select o_custkey, count(*) as b from {orders} group by o_custkey) o on o_custkey = c_custkey")  # DML-8
 
@@ -615,7 +615,7 @@ def uncovered_tokens(t):
 
 both("page_batches", "select c_custkey, cast(ceil(k / 20.0) as bigint) as page, cast(ceil(n / 20.0) as bigint) as pages from (select c_custkey, row_number() over (partition by c_nationkey order by c_custkey) as k, count(*) over (partition by c_nationkey) as n from {customer}) x")  # SRT-8
 both("size_budget", "select s_nationkey, s_suppkey from (select s_nationkey, s_suppkey, sum(case when s_acctbal between 0 and 6000 then s_acctbal else 0 end) over (partition by s_nationkey order by s_suppkey) as total, s_acctbal from {supplier}) x where s_acctbal between 0 and 6000 and total <= 20000")  # SRC-11, WIN-10
-both("user_order", "select s_suppkey, row_number() over (partition by s_nationkey order by coalesce(position, 2147483647), s_acctbal desc, s_suppkey) as place from {supplier} left join (select r_regionkey as nk, 10 - r_regionkey as position from {region}) p on nk = s_nationkey")  # SRT-4, DML-6
+both("user_order", "select s_suppkey, cast(row_number() over (partition by s_nationkey order by coalesce(position, 2147483647), s_acctbal desc, s_suppkey) as bigint) as place from {supplier} left join (select r_regionkey as nk, 10 - r_regionkey as position from {region}) p on nk = s_nationkey")  # SRT-4, DML-6
 both("newest_kept", "select user_id, event_id from (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id) as k from {events}) x where k <= 3")  # SNK-2, SRT-11
 both("distinct_rules", "select event_type, count(*) as n, count(distinct user_id) as users from {events} group by event_type")  # AGG-8, AGG-12
 both("form_seeds", "select l_suppkey, l_partkey, cast(240 * max(case when l_returnflag = 'N' then 1 else 0 end) + 180 * max(case when l_linestatus = 'O' then 1 else 0 end) + 40 * max(case when l_tax > 0.04 then 1 else 0 end) as bigint) as seed, count(*) as n from {lineitem} group by l_suppkey, l_partkey")  # SCL-8, AGG-9
