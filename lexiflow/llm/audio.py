@@ -12,8 +12,8 @@ in blocks of at most ``QUERIES`` recordings, which bounds what is broadcast for
 any number of queries; nothing is joined, so common integers make no bucket.
 
 Null, empty and too short audio has no fingerprint and matches nothing.
-Repeated rows are searched as often as they occur; null ids can't be reported
-and are left out. Of equally good offsets the smallest counts. Extra columns
+``search`` reports repeated rows as often as they occur, ``nearest`` once;
+null ids can't be reported and are left out. Of equally good offsets the smallest counts. Extra columns
 are ignored.
 """
 
@@ -22,12 +22,12 @@ from __future__ import annotations
 import io
 import wave
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexiflow.llm.common import checkpointed, table
 
@@ -155,28 +155,55 @@ class Index:
         return out
 
 
-def search(recordings: DataFrame, is_query: Column, id_col: str) -> DataFrame:
-    """(query_id, id, offset, votes, bit_error) of all pairs of a query and another recording that align; reads (id, fingerprint)."""
+PAIRS = "query_id long, id long, offset int, votes int, bit_error double"
+NEAREST = "id long, n_queries long, query_id long, offset int, votes int, bit_error double"
+
+
+def aligned(recordings: DataFrame, is_query: Column, id_col: str, each, schema: str) -> list[DataFrame]:
+    """For each block of queries, the rows that ``each`` (of an id and its matches) gives for all recordings; reads (id, fingerprint)."""
     rows = recordings.where(F.col(id_col).isNotNull())
     queries = rows.where(is_query & (F.size("fingerprint") > 0))
-    n = queries.count()
-    blocks = max(1, -(-n // QUERIES))
-    schema = f"query_id long, `{id_col}` long, offset int, votes int, bit_error double"
-    out = recordings.sparkSession.createDataFrame([], T._parse_datatype_string(schema))
+    blocks = max(1, -(-queries.count() // QUERIES))
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    fields = [x.split() for x in schema.split(", ")]
+    out = []
     for k in range(blocks):
         own = queries.where(F.pmod(F.xxhash64(F.lit(3), id_col), F.lit(blocks)) == k)
-        block = sorted((r[0], np.array(r[1], np.int32).tobytes()) for r in own.select(id_col, "fingerprint").toLocalIterator())
+        block = sorted({r[0]: np.array(r[1], np.int32).tobytes() for r in own.select(id_col, "fingerprint").toLocalIterator()}.items())
 
-        def run(batches: Iterator[pa.RecordBatch], block=tuple(dict(block).items())) -> Iterator[pa.RecordBatch]:
-            index = Index(list(block))
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            index = Index(block)
             for b in batches:
-                found = [(q, i, s, v, e) for i, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for q, s, v, e in index.matches(np.array(f or [], np.int32)) if q != i]
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in found], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()))], ["query_id", id_col, "offset", "votes", "bit_error"])
+                found = [r for i, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in each(i, [m for m in index.matches(np.array(f or [], np.int32)) if m[0] != i])]
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in found], kinds[kind]) for j, (_, kind) in enumerate(fields)], [n for n, _ in fields])
 
-        out = out.unionByName(rows.select(id_col, "fingerprint").mapInArrow(run, schema))
+        out.append(rows.select(id_col, "fingerprint").mapInArrow(run, schema))
     return out
 
 
+def search(recordings: DataFrame, is_query: Column, id_col: str) -> DataFrame:
+    """(query_id, id, offset, votes, bit_error) of all pairs of a query and another recording that align."""
+    return reduce(DataFrame.unionByName, aligned(recordings, is_query, id_col, lambda i, found: [(q, i, *rest) for q, *rest in found], PAIRS)).withColumnRenamed("id", id_col)
+
+
+def nearest(recordings: DataFrame, is_query: Column, id_col: str) -> DataFrame:
+    """(id, n_queries, query_id, offset, votes, bit_error): one row for each recording's id, with the number of queries that align with it and the best of them.
+
+    Of equal bit errors the smaller query id counts. All pairs are compared, as
+    in ``search``, but a group of copies gives as many rows as it has members.
+    """
+
+    def each(i: int, found: list[tuple[int, int, int, float]]) -> list[tuple]:
+        best = min(found, key=lambda m: (m[3], m[0]), default=(None, None, None, None))
+        return [(i, len(found), *best)]
+
+    rows = reduce(DataFrame.unionByName, aligned(recordings, is_query, id_col, each, NEAREST))
+    best = F.min(F.when(F.col("query_id").isNotNull(), F.struct("bit_error", "query_id", "offset", "votes")))
+    # rows of several blocks are summed; rows that repeat an id count once for each block
+    rows = rows.distinct().groupBy("id").agg(F.sum("n_queries").alias("n_queries"), best.alias("b"))
+    return rows.select(F.col("id").alias(id_col), "n_queries", *[F.col(f"b.{c}").alias(c) for c in ("query_id", "offset", "votes", "bit_error")])
+
+
 RATE = 2000
 
 
@@ -217,4 +244,4 @@ def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     prints = checkpointed(fingerprints(vectors, rendered("embedding"), RATE, "vec_id"))
-    return search(prints, F.pmod(F.col("vec_id"), F.lit(20)) == 0, "vec_id")
+    return nearest(prints, F.pmod(F.col("vec_id"), F.lit(20)) == 0, "vec_id")

@@ -346,7 +346,9 @@ def test_audio_aligns_shifted_noisy_copies(spark):
     prints = audio.fingerprints(df, "pcm", 2000, "id")
     found = {x.id: x for x in audio.search(prints, F.col("id") % 20 == 0, "id").collect()}
     assert set(found) == {1, 2, 7} and found[7].bit_error == 0 and found[7].offset == 0 and found[2].offset == -20
-    assert audio.search(prints.where("false"), F.lit(True), "id").collect() == []
+    near = {x.id: x for x in audio.nearest(prints, F.col("id") % 20 == 0, "id").collect()}
+    assert {k: (x.n_queries, x.query_id, x.offset) for k, x in near.items()} == {20: (0, None, None), 1: (1, 20, 0), 2: (1, 20, -20), 3: (0, None, None), 4: (0, None, None), 5: (0, None, None), 6: (0, None, None), 7: (1, 20, 0)}
+    assert audio.search(prints.where("false"), F.lit(True), "id").collect() == [] and audio.nearest(prints.where("false"), F.lit(True), "id").collect() == []
 
 
 def test_audio_search_equals_trying_all_offsets():
