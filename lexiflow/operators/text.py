@@ -20,25 +20,33 @@ from lexiflow.sources.tables import lines
 WORD = "A-Za-zÀ-ÖØ-öø-ÿ0-9"
 PIECE = re.compile(f"[{WORD}]+|\n|[^{WORD}\n]+")
 ENDS = re.compile("[.!?\n]")
-_PIECES = T.ArrayType(T.StructType([T.StructField("i", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("sent", T.LongType()), T.StructField("line", T.LongType()), T.StructField("surface", T.StringType())]))
-_ARROW = pa.list_(pa.struct([("i", pa.int64()), ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("sent", pa.int64()), ("line", pa.int64()), ("surface", pa.string())]))
+_FIELDS = {"i": T.LongType(), "kind": T.StringType(), "start": T.LongType(), "end": T.LongType(), "sent": T.LongType(), "line": T.LongType(), "surface": T.StringType()}
+_PIECES = T.ArrayType(T.StructType([T.StructField(n, kind) for n, kind in _FIELDS.items()]))
 
 
 @F.arrow_udf(_PIECES)
 def pieces_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Pieces of each text; columns are built as such, rows never exist in Python."""
+    first = set(re.findall(f"[{WORD}]", "".join(map(chr, range(256)))))
     for b in batches:
-        out = []
+        columns: dict[str, list] = {n: [] for n in _FIELDS}
+        add = [columns[n].append for n in _FIELDS]
+        offsets = [0]
         for t in b:
-            rows, sent, line = [], 0, 0
-            for i, m in enumerate(PIECE.finditer(t.as_py() or "")):
-                s = m.group()
-                kind = "break" if s == "\n" else "word" if re.match(f"[{WORD}]", s) else "other"
-                rows.append((i + 1, kind, m.start(), m.end(), sent, line, s))
+            sent = line = at = i = 0
+            for s in PIECE.findall(t.as_py() or ""):
+                i += 1
+                kind = "word" if s[0] in first else "break" if s == "\n" else "other"
+                end = at + len(s)
+                for put, x in zip(add, (i, kind, at, end, sent, line, s)):
+                    put(x)
+                at = end
                 if kind != "word":
                     sent += len(ENDS.findall(s))
                     line += kind == "break"
-            out.append(rows)
-        yield pa.array([[dict(zip(("i", "kind", "start", "end", "sent", "line", "surface"), r)) for r in rows] for rows in out], _ARROW)
+            offsets.append(len(columns["i"]))
+        values = [pa.array(columns[n], pa.int64() if kind == T.LongType() else pa.string()) for n, kind in _FIELDS.items()]
+        yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(values, list(_FIELDS)))
 
 
 def segments(docs: DataFrame) -> DataFrame:
