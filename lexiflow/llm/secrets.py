@@ -7,10 +7,13 @@ that they still hide what lies inside them.
 The novelty method adds spans of kind ``novel``. A candidate is an unbroken
 string of 16 or more characters with a letter and a digit, after a word that
 speaks of credentials. Its novelty is the number of bytes by which it lengthens
-the compressed form of the text around it, divided by its own length; the
-compressor is primed with a dictionary of common identifiers. Strings that
-repeat identifiers or the code around them compress well; a candidate of
-``NOVELTY`` or more is reported unless it overlaps a span of a fixed pattern.
+the compressed form of the text around it, divided by its own length or, if
+that is less, by what random strings of its alphabet and length would add in
+the same place: long ones, and those of few different characters, are packed
+more tightly although they're random. The compressor is primed with a
+dictionary of common identifiers. Strings that repeat identifiers or the code
+around them compress well; a candidate of ``NOVELTY`` or more is reported unless
+it overlaps a span of a fixed pattern.
 
 Offsets are code points, end exclusive. Null and empty texts hold no secret.
 Texts are read whole, whatever their length. Repeated rows and null ids are
@@ -19,7 +22,9 @@ scanned like others; extra columns pass through.
 
 from __future__ import annotations
 
+import random
 import re
+import string
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -51,6 +56,9 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}", re.ASCII)
 #: Characters before a candidate in which a sensitive word counts; characters on either side that the compressor sees.
 BEFORE, AROUND, PREAMBLE = 48, 512, 200
 NOVELTY = 0.9
+# fixed values: alphabets of random strings, the narrowest first; how many of them a candidate is compared with
+ALPHABETS = tuple(map(frozenset, ("0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz234567", *(string.digits + x for x in (string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters)))))
+RANDOM = 4
 
 
 def fixed_spans(text: str) -> list[tuple[int, int, int]]:
@@ -65,6 +73,15 @@ def fixed_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def random_strings(s: str) -> list[str]:
+    """``RANDOM`` strings as long as ``s``, of the narrowest alphabet that has its letters and digits, with the signs that ``s`` has; the same ones for the same alphabet and length."""
+    own = set(s)
+    signs = {c for c in own if not c.isalnum()}
+    letters = sorted(next(a for a in ALPHABETS if own - signs <= a) | signs)
+    r = random.Random(len(s))
+    return ["".join(r.choices(letters, k=len(s))) for _ in range(RANDOM)]
+
+
 class Novelty:
     """Marginal compressed bytes of a candidate."""
 
@@ -77,7 +94,12 @@ class Novelty:
     def of(self, text: str, start: int, end: int) -> float:
         # the first identifiers keep zstd from storing a short text as it is
         around = (IDENTIFIERS[:PREAMBLE] + text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND] + "\n").encode("utf-8", "replace")
-        return (self.size(around + text[start:end].encode()) - self.size(around)) / (end - start)
+        plain, own = self.size(around), text[start:end]
+        added = self.size(around + own.encode()) - plain
+        if added >= NOVELTY * len(own):
+            return added / len(own)
+        usual = sum(self.size(around + x.encode()) - plain for x in random_strings(own)) / RANDOM
+        return added / min(len(own), usual)
 
     def spans(self, text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         low = text.lower()

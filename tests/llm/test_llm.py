@@ -212,6 +212,20 @@ def test_novelty_and_redaction(spark):
     assert secrets.scan(documents(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("length", [64, 96, 128, 256])
+@pytest.mark.parametrize("letters", ["0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+def test_novelty_finds_long_and_small_alphabet_secrets(letters, length):
+    r = random.Random(5)
+    code = ("def fetch(url):\n    headers = {'Authorization: Bearer ", "'}\n    return requests.get(url, headers=headers, timeout=30).json()\n")
+    prose = ("The committee met in the old town hall and talked about bread, weather and roads. " * 6 + "Authorization: Bearer ", " was read aloud and nobody in the room knew what it meant.")
+    for before, after in (code, prose):
+        for _ in range(10):
+            s = "".join(r.choice(letters) for _ in range(length - 1)) + letters[5]
+            assert secrets.Novelty().spans(before + s + after, []) == [(len(before), 3, len(before) + length)]
+        for plain in ("org.springframework.security.oauth2.client.registration.ClientRegistrationRepository", "session_token_" * 10 + "1", "A1" * 60):
+            assert secrets.Novelty().spans(before + plain + after, []) == []
+
+
 # classifiers --------------------------------------------------------------------------------------------------------
 
 
