@@ -11,8 +11,12 @@ the whole overlap decides.
 in blocks of at most ``QUERIES`` recordings, which bounds what is broadcast for
 any number of queries; nothing is joined, so common integers make no bucket.
 
+``links`` gives the same pairs, but compares each fingerprint only once: rows
+with identical fingerprints are one class, and pairs of classes stand for the
+pairs of their members.
+
 Null, empty and too short audio has no fingerprint and matches nothing.
-``search`` reports repeated rows as often as they occur, ``nearest`` once;
+``search`` and ``links`` report repeated rows as often as they occur, ``nearest`` once;
 null ids can't be reported and are left out. Of equally good offsets the smallest counts. Extra columns
 are ignored.
 """
@@ -123,8 +127,8 @@ def fingerprints(recordings: DataFrame, audio: str | Column, rate: int, id_col:
 class Index:
     """Positions of a query block's integers, sorted by value."""
 
-    def __init__(self, queries: list[tuple[int, bytes]]):
-        self.ids = np.array([q for q, _ in queries], np.int64)
+    def __init__(self, queries: list[tuple[int | str, bytes]]):
+        self.ids = [q for q, _ in queries]
         self.prints = [np.frombuffer(f, np.int32) for _, f in queries]
         self.owner = np.repeat(np.arange(len(queries)), [len(p) for p in self.prints])
         self.place = np.concatenate([np.arange(len(p)) for p in self.prints]) if queries else np.zeros(0, int)
@@ -132,7 +136,7 @@ class Index:
         order = np.argsort(values, kind="stable")
         self.values, self.owner, self.place = values[order], self.owner[order], self.place[order]
 
-    def matches(self, f: np.ndarray) -> list[tuple[int, int, int, float]]:
+    def matches(self, f: np.ndarray) -> list[tuple[int | str, int, int, float]]:
         """(query, offset, votes, share of wrong bits) of the queries that align with a recording; the offset is where the query's first frame lies in it."""
         low, high = np.searchsorted(self.values, f, "left"), np.searchsorted(self.values, f, "right")
         n = high - low
@@ -151,30 +155,31 @@ class Index:
             a, b = max(0, -s), min(len(q), len(f) - s)
             wrong = np.bitwise_count((q[a:b] ^ f[a + s : b + s]).view(np.uint32)).sum() / (32 * (b - a))
             if wrong <= ERRORS:
-                out.append((int(self.ids[owners[k]]), s, int(votes[k]), float(wrong)))
+                out.append((self.ids[owners[k]], s, int(votes[k]), float(wrong)))
         return out
 
 
 PAIRS = "query_id long, id long, offset int, votes int, bit_error double"
 NEAREST = "id long, n_queries long, query_id long, offset int, votes int, bit_error double"
+CLASS_PAIRS = "class_id string, query_class string, offset int, votes int, bit_error double"
 
 
-def aligned(recordings: DataFrame, is_query: Column, id_col: str, each, schema: str) -> list[DataFrame]:
-    """For each block of queries, the rows that ``each`` (of an id and its matches) gives for all recordings; reads (id, fingerprint)."""
+def aligned(recordings: DataFrame, is_query: Column, id_col: str, each, schema: str, own: bool = False) -> list[DataFrame]:
+    """For each block of queries, the rows that ``each`` (of an id and its matches) gives for all recordings; a recording's match with its own id counts only with ``own``. Reads (id, fingerprint)."""
     rows = recordings.where(F.col(id_col).isNotNull())
     queries = rows.where(is_query & (F.size("fingerprint") > 0))
     blocks = max(1, -(-queries.count() // QUERIES))
-    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
     fields = [x.split() for x in schema.split(", ")]
     out = []
     for k in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64(F.lit(3), id_col), F.lit(blocks)) == k)
-        block = sorted({r[0]: np.array(r[1], np.int32).tobytes() for r in own.select(id_col, "fingerprint").toLocalIterator()}.items())
+        part = queries.where(F.pmod(F.xxhash64(F.lit(3), id_col), F.lit(blocks)) == k)
+        block = sorted({r[0]: np.array(r[1], np.int32).tobytes() for r in part.select(id_col, "fingerprint").toLocalIterator()}.items())
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             index = Index(block)
             for b in batches:
-                found = [r for i, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in each(i, [m for m in index.matches(np.array(f or [], np.int32)) if m[0] != i])]
+                found = [r for i, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in each(i, [m for m in index.matches(np.array(f or [], np.int32)) if own or m[0] != i])]
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in found], kinds[kind]) for j, (_, kind) in enumerate(fields)], [n for n, _ in fields])
 
         out.append(rows.select(id_col, "fingerprint").mapInArrow(run, schema))
@@ -186,6 +191,23 @@ def search(recordings: DataFrame, is_query: Column, id_col: str) -> DataFrame:
     return reduce(DataFrame.unionByName, aligned(recordings, is_query, id_col, lambda i, found: [(q, i, *rest) for q, *rest in found], PAIRS)).withColumnRenamed("id", id_col)
 
 
+def links(recordings: DataFrame, is_query: Column, id_col: str) -> DataFrame:
+    """(class_id, id, is_query, query_class, offset, votes, bit_error): rows of two kinds that together hold all pairs of ``search``.
+
+    A row with an id says to which class of identical fingerprints a recording
+    belongs, and whether it's a query; each recording has one. A row with a
+    ``query_class`` says that the queries of that class align with the
+    recordings of ``class_id``, which may be the same class: each query of the
+    one with each recording of the other that has another id.
+    """
+    # the fingerprint's digest names a class: no join is needed, and rows that repeat an id keep apart
+    name = F.sha2(F.array_join(F.col("fingerprint").cast("array<string>"), ",").cast("binary"), 256)
+    rows = recordings.where(F.col(id_col).isNotNull()).select(id_col, "fingerprint", F.coalesce(is_query, F.lit(False)).alias("is_query"), name.alias("class_id"))
+    classes = checkpointed(rows.groupBy("class_id").agg(F.first("fingerprint").alias("fingerprint"), F.max("is_query").alias("is_query")))
+    pairs = reduce(DataFrame.unionByName, aligned(classes, F.col("is_query"), "class_id", lambda i, found: [(i, *m) for m in found], CLASS_PAIRS, own=True))
+    return rows.select("class_id", id_col, "is_query").unionByName(pairs, allowMissingColumns=True)
+
+
 def nearest(recordings: DataFrame, is_query: Column, id_col: str) -> DataFrame:
     """(id, n_queries, query_id, offset, votes, bit_error): one row for each recording's id, with the number of queries that align with it and the best of them.
 
@@ -237,11 +259,11 @@ def rendered(vector: str) -> Column:
 
 
 def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tunes of all vectors: those whose id is divisible by 20 are searched among all of them.
+    """The tunes of all vectors: those whose id is divisible by 20 are searched among all of them; all links, between classes of identical tunes.
 
     The tables hold no recordings, so the media column is rendered from the
     vectors; near copies of a vector sound alike.
     """
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     prints = checkpointed(fingerprints(vectors, rendered("embedding"), RATE, "vec_id"))
-    return nearest(prints, F.pmod(F.col("vec_id"), F.lit(20)) == 0, "vec_id")
+    return links(prints, F.pmod(F.col("vec_id"), F.lit(20)) == 0, "vec_id")

@@ -365,6 +365,41 @@ def test_audio_aligns_shifted_noisy_copies(spark):
     assert audio.search(prints.where("false"), F.lit(True), "id").collect() == [] and audio.nearest(prints.where("false"), F.lit(True), "id").collect() == []
 
 
+def expanded(rows, id_col):
+    """Sorted pairs (query, recording, offset, votes, bit error) of the rows of audio.links, by their stated rule."""
+    members = [x for x in rows if x[id_col] is not None]
+    return sorted(
+        (q[id_col], m[id_col], x.offset, x.votes, x.bit_error)
+        for x in rows
+        if x.query_class is not None
+        for q in members
+        if q.is_query and q.class_id == x.query_class
+        for m in members
+        if m.class_id == x.class_id and m[id_col] != q[id_col]
+    )
+
+
+def test_audio_links_hold_all_pairs_of_the_search(spark):
+    r = np.random.default_rng(4)
+    base = [r.integers(-(2**31), 2**31, 60).astype(np.int32) for _ in range(3)]
+    near = lambda f, k: [int(x) ^ (1 if n % 20 == k else 0) for n, x in enumerate(f)]
+    a, b, c = ([int(x) for x in f] for f in base)
+    rows = [(0, a), (20, a), (40, near(a, 1)), (60, near(a, 2)), (1, a), (2, a), (2, a), (3, near(a, 3)), (4, near(a, 3)), (80, b), (5, b), (6, c), (7, []), (100, []), (None, a), (9, c), (9, b)]
+    prints = spark.createDataFrame(rows, "id long, fingerprint array<int>")
+    is_query = F.col("id") % 20 == 0
+    found = audio.links(prints, is_query, "id").collect()
+    want = sorted(map(tuple, audio.search(prints, is_query, "id").select("query_id", "id", "offset", "votes", "bit_error").collect()))
+    assert expanded(found, "id") == want and sum(m == 3 for _, m, *_ in want) == 4
+    assert sorted(x.id for x in found if x.id is not None) == sorted(i for i, _ in rows if i is not None)
+    assert audio.links(prints.where("false"), is_query, "id").collect() == []
+
+
+def test_op3_keeps_every_link(spark):
+    prints = audio.fingerprints(audio.table(spark, SF, "embeddings"), audio.rendered("embedding"), audio.RATE, "vec_id")
+    pairs = audio.search(prints, F.col("vec_id") % 20 == 0, "vec_id").select("query_id", "vec_id", "offset", "votes", "bit_error")
+    assert expanded(audio.op3_audio(spark, SF).collect(), "vec_id") == sorted(map(tuple, pairs.collect()))
+
+
 def test_audio_search_equals_trying_all_offsets():
     """Recall of the index against the bit errors of all pairs and offsets."""
     r = np.random.default_rng(7)
