@@ -165,10 +165,35 @@ def novelty_score(t):
 def novelty_by_doc(t):
     """JOIN-10, AGG-2: known rate of each document."""
     docs = t("documents")
-    rows = dictionary.novelty(text.words(odd(docs)), dictionary.exposures(text.words(even(docs))))
+    return _known_rate(dictionary.novelty(text.words(odd(docs)), dictionary.exposures(text.words(even(docs)))))
+
+
+def _known_rate(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.sum(F.round(F.col("novelty") * 1000000).cast("long")).alias("millionths"), F.round(F.sum(F.when(F.col("known"), F.col("times")).otherwise(0)) / F.sum("times"), 6).alias("known_rate"))
 
 
+_WHOLE = """own as (select doc_id, coalesce(abs(doc_id) % 2, 0) as half, w, count(*) as times from words group by doc_id, w), prof as (select half, w, sum(times) as n from own group by half, w),
+nov as (select doc_id, own.w as w, times, round(0.5 + 0.5 * exp(-coalesce(n, 0) / 5.0), 6) as novelty from own left join prof on prof.w = own.w and prof.half = 1 - own.half)"""
+
+
+def _novelty_of_all(t) -> DataFrame:
+    half = F.coalesce(F.pmod("doc_id", F.lit(2)), F.lit(0))
+    a, b = (text.words(t("documents").where(half == k)) for k in (0, 1))
+    return dictionary.novelty(b, dictionary.exposures(a)).unionByName(dictionary.novelty(a, dictionary.exposures(b)))
+
+
+@query(with_(WORDS, _WHOLE, query="select doc_id, w, times, novelty, novelty < 0.55 as known from nov"))
+def novelty_score_all(t):
+    """JOIN-10, SCL-9: novelty of each word of every document, each half of the corpus against the other's exposures."""
+    return _novelty_of_all(t)
+
+
+@query(with_(WORDS, _WHOLE, query="select doc_id, count(*) as n_words, cast(sum(round(novelty * 1000000)) as bigint) as millionths, round(sum(case when novelty < 0.55 then times else 0 end) / sum(times), 6) as known_rate from nov group by doc_id"))
+def novelty_by_doc_all(t):
+    """JOIN-10, AGG-2: known rate of every document, each half of the corpus against the other's exposures."""
+    return _known_rate(_novelty_of_all(t))
+
+
 @query("""select user_id, round(list_reduce(list(case when event_type = 'signup' then 0.8 else -0.2 end::double order by ts, event_id), lambda s, x: case when x > 0 then least(1.0::double, s + x) else greatest(0.0::double, s + x) end, 0.0::double), 6) as confidence from events where event_type in ('signup', 'error') group by user_id""")
 def profile_event_fold(t):
     """DML-2, DML-3, STR-8: ordered fold of events."""
@@ -601,9 +626,9 @@ def refine_conflicts(t):
 
 @query()
 def pair_unmatched(t):
-    """JOIN-20: removed and added orders of a customer, paired by their fields."""
+    """JOIN-20: removed and added orders of a customer, paired by their fields; of all orders, those with even keys count as removed and the others as added."""
     o = t("orders").select("o_custkey", F.col("o_orderkey").alias("key"), F.array("o_orderstatus", "o_orderpriority").alias("fields"))
-    return grammar.pair_unmatched(o.where("key % 5 = 0"), o.where("key % 5 = 1"), ["o_custkey"])
+    return grammar.pair_unmatched(o.where("key % 2 = 0"), o.where("key % 2 <> 0"), ["o_custkey"])
 
 
 @query(with_(TOKENS, _RANGES, query='select doc_id, pos from tok where not exists (select 1 from r where r.doc_id = tok.doc_id and r.start <= tok.start and r."end" > tok.start)'))
