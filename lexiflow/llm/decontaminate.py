@@ -8,8 +8,9 @@ texts are laid side by side (the hit's diagonal) and the best run is found,
 where a matching word counts 1 and a replaced one -2. A run is an overlap if
 that score reaches ``LEAST``, or ``SHARE`` of the item's words for short items.
 
-Items of 5 to SPAN - 1 words have one whole-item mask without zeros; items
-with fewer words never match. Items with the same words are looked up once and
+Items of 5 to SPAN - 1 words are looked up by runs of so few words that each
+overlap by that rule contains one (see ``unbroken``); items with fewer words
+never match. Items with the same words are looked up once and
 named by their smallest id. The benchmark is taken in blocks of at most
 ``BLOCK`` hashes, each of which is broadcast, so that its size is bounded for
 any benchmark; only hits are shuffled.
@@ -21,6 +22,7 @@ under the null id; repeated rows count once. Extra columns are ignored.
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +41,12 @@ BLOCK = 500_000
 BROADCAST = 100_000
 
 
+def unbroken(n: int) -> int:
+    """The longest run of matching words that every overlap with an item of ``n`` words has, n under SPAN: with j replaced words, the matching ones lie in j + 1 runs."""
+    least = ceil(n * SHARE)
+    return min(ceil((least - MISMATCH * j) / (j + 1)) for j in range(n) if least - MISMATCH * j + j <= n)
+
+
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
@@ -89,7 +97,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     lengths = items.groupBy(F.least(F.size("item"), F.lit(SPAN))).agg(F.sum(F.size("item"))).collect()  # at most SPAN rows
     found = []
     for n, total in sorted(tuple(r) for r in lengths):
-        masks = MASKS if n == SPAN else ("1" * n,)
+        masks = MASKS if n == SPAN else ("1" * unbroken(n),)
         blocks = -(-total * len(masks) // BLOCK)
         for k in range(blocks):
             own = items.where((F.least(F.size("item"), F.lit(SPAN)) == n) & (F.pmod(F.xxhash64("item"), F.lit(blocks)) == k))

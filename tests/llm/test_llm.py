@@ -181,6 +181,20 @@ def test_overlaps_equal_brute_force_on_documents(spark):
         assert len(a) == len(b) and sum(p == q for p, q in zip(a, b)) == x.matched and x.score == x.matched - 2 * (len(a) - x.matched)
 
 
+@pytest.mark.parametrize("n", range(decontaminate.FEWEST, decontaminate.SPAN))
+def test_overlaps_find_all_that_short_items_allow(spark, n):
+    """Every choice of replaced words of a short item, against the best run by brute force."""
+    item = [f"w{k}" for k in range(n)]
+    texts, want = [], set()
+    for d in range(2**n):
+        same = [d >> k & 1 for k in range(n)]
+        texts.append(" ".join(["before", *(w if x else f"x{k}" for k, (w, x) in enumerate(zip(item, same))), "after"]))
+        if max(sum(1 if x else decontaminate.MISMATCH for x in same[a:b]) for a in range(n) for b in range(a + 1, n + 1)) >= decontaminate.SHARE * n:
+            want.add(d)
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {x.doc_id for x in decontaminate.overlaps(documents(spark, texts), bench).collect()} == want and len(want) > 1
+
+
 def test_overlaps_with_empty_tables(spark):
     bench = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
     assert decontaminate.overlaps(documents(spark, []), bench).collect() == []
