@@ -15,8 +15,8 @@ named by their smallest id. The benchmark is taken in blocks of at most
 ``BLOCK`` hashes, each of which is broadcast, so that its size is bounded for
 any benchmark; only hits are shuffled.
 
-Null and empty texts overlap with nothing; rows with a null id are reported
-under the null id; repeated rows count once. Extra columns are ignored.
+Null and empty texts overlap with nothing; documents and items with a null id
+are reported under the null id; repeated rows count once. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -90,7 +90,7 @@ def best_run(doc: Column, item: Column, shift: Column) -> Column:
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document and item that overlap: the best run, as word places in both, its score and its number of matching words."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), hashed_words(F.col(item_text_col)).alias("item")).where(F.size("item") >= FEWEST)
-    items = items.groupBy("item").agg(F.min("item_id").alias("item_id"), F.count("*").alias("copies"))
+    items = items.groupBy("item").agg(F.min("item_id").alias("item_id"), F.count("*").alias("copies")).withColumn("key", F.xxhash64("item"))  # of the words, as ids can be null or repeat
     # the text's own hash keeps apart rows that repeat an id or have none
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("own"), F.col(text_col).alias("text"))
     given = texts.select("doc_id", "own", hashed_words(F.col("text")).alias("h"))
@@ -101,24 +101,25 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         blocks = -(-total * len(masks) // BLOCK)
         for k in range(blocks):
             own = items.where((F.least(F.size("item"), F.lit(SPAN)) == n) & (F.pmod(F.xxhash64("item"), F.lit(blocks)) == k))
-            known = seeds(own, "item", masks, ["item_id"]).withColumnRenamed("pos", "item_pos")
+            known = seeds(own, "item", masks, ["key"]).withColumnRenamed("pos", "item_pos")
             hits = seeds(given, "h", masks, ["doc_id", "own"]).join(F.broadcast(known), "seed")
-            found.append(hits.select("doc_id", "own", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")))
+            found.append(hits.select("doc_id", "own", "key", (F.col("pos") - F.col("item_pos")).alias("shift")))
     if not found:
         return docs.sparkSession.createDataFrame([], RESULT)
     hits = checkpointed(reduce(DataFrame.unionByName, found).distinct())
-    beside = hits.join(items, "item_id").groupBy("doc_id", "own").agg(F.collect_list(F.struct("item_id", "copies", "item", "shift")).alias("hits"))
+    beside = hits.join(items, "key").groupBy("doc_id", "own").agg(F.collect_list(F.struct("key", "item_id", "copies", "item", "shift")).alias("hits"))
     if hits.count() <= BROADCAST:
         beside = F.broadcast(beside)
     both = texts.alias("t").join(beside.alias("b"), F.expr("t.doc_id <=> b.doc_id and t.own = b.own")).select("t.doc_id", "hits", hashed_words(F.col("text")).alias("h"))
 
     def verified(h: Column) -> Column:
-        return F.struct(h["item_id"].alias("item_id"), h["copies"].alias("copies"), F.size(h["item"]).alias("item_words"), h["shift"].alias("shift"), best_run(F.col("h"), h["item"], h["shift"]).alias("run"))
+        return F.struct(h["key"].alias("key"), h["item_id"].alias("item_id"), h["copies"].alias("copies"), F.size(h["item"]).alias("item_words"), h["shift"].alias("shift"), best_run(F.col("h"), h["item"], h["shift"]).alias("run"))
 
     runs = both.select("doc_id", F.explode(F.transform("hits", verified)).alias("v")).select("doc_id", "v.*")
     runs = runs.where(F.col("run.score") >= F.least(F.lit(float(LEAST)), F.col("item_words") * SHARE))
     place = F.struct(F.col("run.score"), F.col("run.matched"), (-F.col("shift")).alias("back"), (F.col("run.item_end") - F.col("run.item_start")).alias("width"), F.col("run.item_start"))
-    best = runs.groupBy("doc_id", "item_id", "copies", "item_words").agg(F.max(place).alias("b"))
+    apart = F.when(F.col("item_id").isNull(), F.col("key"))  # items without an id are told apart by their words
+    best = runs.groupBy("doc_id", "item_id", "copies", "item_words", apart.alias("apart")).agg(F.max(place).alias("b"))
     begin = F.col("b.item_start") - F.col("b.back")
     return best.select("doc_id", "item_id", "copies", "item_words", F.col("b.score").alias("score"), F.col("b.matched").alias("matched"), F.col("b.item_start").alias("item_start"), (F.col("b.item_start") + F.col("b.width")).alias("item_end"), begin.alias("doc_start"), (begin + F.col("b.width")).alias("doc_end"))
 

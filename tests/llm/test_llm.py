@@ -195,6 +195,13 @@ def test_overlaps_find_all_that_short_items_allow(spark, n):
     assert {x.doc_id for x in decontaminate.overlaps(documents(spark, texts), bench).collect()} == want and len(want) > 1
 
 
+def test_overlaps_report_items_without_an_id(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(12)) for x in "abc")
+    bench = spark.createDataFrame([(None, a), (None, a), (None, b), (5, c), (None, c)], "item_id long, text string")
+    found = decontaminate.overlaps(documents(spark, [a, f"{a} {b}", c, "none of these"]), bench).collect()
+    assert sorted((x.doc_id, x.item_id or -1, x.copies, x.matched) for x in found) == [(0, -1, 2, 12), (1, -1, 1, 12), (1, -1, 2, 12), (2, 5, 2, 12)]
+
+
 def test_overlaps_with_empty_tables(spark):
     bench = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
     assert decontaminate.overlaps(documents(spark, []), bench).collect() == []
