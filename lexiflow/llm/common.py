@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,16 +14,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a local session gets a temporary one; on a cluster that's an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _local_folder()
+
+
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="lexiflow-")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
 
-    The folder is ``spark.checkpoint.dir`` of the session; only where that is
-    unset (tests) a temporary folder is used.
+    The folder is ``spark.checkpoint.dir`` of the session (see ``shared_folder``).
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexiflow-ckpt-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -37,8 +50,8 @@ def held_out(id_col: str, of: int, is_: int) -> Column:
     return F.coalesce(remainder(id_col, of) == is_, F.lit(False))
 
 
-def bounded_sample(df: DataFrame, keys: list[str], limit: int, seed: int = 7) -> DataFrame:
-    """At most about ``limit`` rows, chosen by a hash of ``keys`` alone.
+def bounded_sample(df: DataFrame, keys: list[str], limit: int, seed: int = 7) -> tuple[DataFrame, float]:
+    """At most about ``limit`` rows, chosen by a hash of ``keys`` alone, and how many rows each stands for.
 
     The number of rows is counted first, so that the rate fits any input; the
     same rows come out whatever the partitions are. With up to ``limit`` rows
@@ -46,9 +59,9 @@ def bounded_sample(df: DataFrame, keys: list[str], limit: int, seed: int = 7) ->
     """
     n = df.count()
     if n <= limit:
-        return df
+        return df, 1.0
     steps = 1 << 30
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(steps)) < int(steps * limit / n))
+    return df.where(F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(steps)) < int(steps * limit / n)), n / limit
 
 
 def label_rows(labels: DataFrame, column: str) -> DataFrame:
@@ -57,16 +70,18 @@ def label_rows(labels: DataFrame, column: str) -> DataFrame:
     return rows.where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, learn: Column, per_class: int) -> DataFrame:
-    """(doc_id, y, text) of at most about ``per_class`` labelled documents of each class.
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, learn: Column, clean: int, marked: int) -> DataFrame:
+    """(doc_id, y, weight, text) of at most about ``clean`` labelled documents with label 0 and ``marked`` with label 1.
 
-    The sampled ids are few by construction (2 * per_class rows of 12 bytes),
+    ``weight`` says how many labelled documents a row stands for, so weighted
+    counts have the mix of classes that all labels have, whatever their number.
+    The sampled ids are few by construction (clean + marked rows of 20 bytes),
     which is what allows them to be broadcast to the documents.
     """
     rows = label_rows(labels, column).where(learn)
-    parts = [bounded_sample(rows.where(F.col("y") == y), ["doc_id"], per_class) for y in (0, 1)]
-    chosen = reduce(DataFrame.unionByName, parts)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    parts = [bounded_sample(rows.where(F.col("y") == y), ["doc_id"], n) for y, n in ((0, clean), (1, marked))]
+    chosen = reduce(DataFrame.unionByName, [df.withColumn("weight", F.lit(weight)) for df, weight in parts])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return texts.join(F.broadcast(chosen), "doc_id")
 
 

@@ -146,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_
             rows = [passages(t, table_).astype(np.float16).tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.binary())], ["doc_id", "y", "bag"])
 
-    sample = labelled_sample(docs, labels, "quality", learn, per_class).select("doc_id", "y", "text")
+    sample = labelled_sample(docs, labels, "quality", learn, per_class, per_class).select("doc_id", "y", "text")
     rows = {(i, bytes(bag)): y for i, y, bag in sample.mapInArrow(run, "doc_id long, y int, bag binary").toLocalIterator()}  # repeated rows once
     rows = sorted(rows.items())
     y = np.array([v for _, v in rows], float)

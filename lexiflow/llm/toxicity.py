@@ -11,10 +11,17 @@ Only documents are labelled, so token labels are derived first: a word, a
 beginning or an ending marks a token of a toxic document as offending if at
 least ``PRECISION`` of the labelled documents that hold it are toxic and it
 follows at least ``CONTEXTS`` different words; copies of one text thus count
-once.
+once. ``PRIOR`` clean documents are added to each count, so that rare words
+need more than a few lucky finds.
 
-All of this is fitted on at most ``PER_CLASS`` labelled documents of each class
-(a bounded sample of labelled rows) and scores every row. Null and empty texts
+All of this is fitted on a bounded sample of labelled rows, ``CLEAN`` and
+``TOXIC`` documents at most, and of each up to ``CHAINS_KEPT`` chains with and
+without offending tokens. Each sampled row counts as much as the labelled rows
+that it stands for, in the lexicon, the field and the curve, so that the mix
+of classes is that of all labels, however many there are. The curve sees only
+scores that a field fitted on the other part of the sample gives.
+
+Every row's whole text is scored, however long. Null and empty texts
 have no token: their score is that of a text without offending tokens. With no
 labelled toxic document every score is 0. Repeated rows and null ids are scored
 like others; extra columns pass through.
@@ -40,8 +47,8 @@ ENDS = ".!?\n"
 CHAIN = 200
 #: Size of the hashed weight table.
 WIDTH = 1 << 18
-#: Fit parameters: labelled documents of each class, precision and contexts of a lexicon entry, chains kept for each document.
-PER_CLASS, PRECISION, CONTEXTS, CHAINS_KEPT = 2000, 0.9, 5, 3
+#: Fit parameters: labelled documents of either class, precision, contexts and prior of a lexicon entry, chains kept for each document, parts of the sample.
+CLEAN, TOXIC, PRECISION, CONTEXTS, PRIOR, CHAINS_KEPT, PARTS = 2000, 2000, 0.9, 5, 0.3, 3, 2
 #: Words that a task remembers at most.
 REMEMBERED = 500_000
 
@@ -76,8 +83,8 @@ def chains_of(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return inner[first], np.diff(np.r_[first, len(inner)])
 
 
-def marginals(score: np.ndarray, starts: np.ndarray, lengths: np.ndarray, moves: np.ndarray, counts: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """P(offending) of each token by forward-backward over all chains at once; with counts, the expected number of each move."""
+def marginals(score: np.ndarray, starts: np.ndarray, lengths: np.ndarray, moves: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """P(offending) of each token by forward-backward over all chains at once; with weights of the tokens, the expected weight of each move."""
     out, moved = np.zeros(len(score)), np.zeros(3)
     if not len(starts):
         return out, moved
@@ -102,10 +109,10 @@ def marginals(score: np.ndarray, starts: np.ndarray, lengths: np.ndarray, moves:
         out[at] = on / (on + off)
         if t:
             x_on, x_off = odds[at] * b_on[:n], b_off[:n]
-            if counts:
+            if weight is not None:
                 f = forward[at - 1]
                 pairs = np.stack([(1 - f) * enter * x_on, f * stay * x_on, f * leave * x_off])
-                moved += (pairs / (pairs.sum(0) + (1 - f) * x_off)).sum(1)
+                moved += (pairs / (pairs.sum(0) + (1 - f) * x_off)) @ weight[at]
             on, off = leave * x_off + stay * x_on, x_off + enter * x_on
             b_on[:n], b_off[:n] = on / (on + off), off / (on + off)
     return out, moved
@@ -168,13 +175,13 @@ def offsets(text: str, m: np.ndarray) -> list[tuple[int, int, float]]:
     return spans
 
 
-def lexicon(sample: DataFrame) -> set[str]:
-    """Words, beginnings and endings that mark toxic documents, from (y, text)."""
+def feature_counts(sample: DataFrame) -> DataFrame:
+    """(f, part, clean, toxic, seen) of (y, weight, part, text): the weights of the documents of either class that hold a feature, and bits of the words before it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list[int]] = {}
+        found: dict[tuple[int, str], list[float]] = {}
         for b in batches:
-            for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for y, weight, part, t in zip(*(c.to_pylist() for c in b.columns)):
                 tokens = TOKEN.findall(t.lower())
                 before = {}
                 for p, w in zip(["", *tokens], tokens):
@@ -185,8 +192,8 @@ def lexicon(sample: DataFrame) -> set[str]:
                         for f in features(w):
                             own[f] = own.get(f, 0) | seen
                 for f, seen in own.items():
-                    x = found.setdefault(f, [0, 0, 0])
-                    x[y] += 1
+                    x = found.setdefault((part, f), [0.0, 0.0, 0])
+                    x[y] += weight
                     if y:
                         x[2] |= seen
             if len(found) > REMEMBERED:
@@ -194,23 +201,30 @@ def lexicon(sample: DataFrame) -> set[str]:
                 found = {}
         yield rows(found)
 
-    def rows(found: dict[str, list[int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array([x[k] for x in found.values()], pa.int64()) for k in range(3))], ["f", "clean", "toxic", "seen"])
+    def rows(found: dict[tuple[int, str], list[float]]) -> pa.RecordBatch:
+        kinds = (pa.float64(), pa.float64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([f for _, f in found], pa.string()), pa.array([p for p, _ in found], pa.int32()), *(pa.array([x[k] for x in found.values()], kind) for k, kind in enumerate(kinds))], ["f", "part", "clean", "toxic", "seen"])
+
+    counted = sample.select("y", "weight", "part", "text").mapInArrow(count, "f string, part int, clean double, toxic double, seen long")
+    summed = counted.groupBy("f", "part").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_or("seen").alias("seen"))
+    return summed.where("toxic > 0")
+
 
-    counted = sample.select("y", "text").mapInArrow(count, "f string, clean long, toxic long, seen long")
-    summed = counted.groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_or("seen").alias("seen"))
-    chosen = summed.where((F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean"))) & (F.bit_count("seen") >= CONTEXTS))
+def lexicon(counts: DataFrame, prior: float) -> set[str]:
+    """Words, beginnings and endings that mark toxic documents: those whose share of toxic documents, with ``prior`` clean ones more, is PRECISION or more."""
+    summed = counts.groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_or("seen").alias("seen"))
+    chosen = summed.where((F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean") + prior)) & (F.bit_count("seen") >= CONTEXTS))
     return {r[0] for r in chosen.select("f").toLocalIterator()}
 
 
-def labelled_chains(sample: DataFrame, marks: set[str]) -> list[tuple[list[str], list[int]]]:
-    """Token lists with tags, from (doc_id, y, text): chains with marked tokens and as many others, a few for each document."""
+def labelled_chains(sample: DataFrame, marks: set[str]) -> list[tuple[list[str], list[int], float]]:
+    """Token lists with tags and weights, from (y, weight, text): chains with marked tokens and as many others, a few for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked: dict[str, bool] = {}
         for b in batches:
-            names, kept, tags = [], [], []
-            for i, y, t in zip(*(c.to_pylist() for c in b.columns)):
+            weights, kept, tags = [], [], []
+            for y, weight, t in zip(*(c.to_pylist() for c in b.columns)):
                 tokens = TOKEN.findall(t.lower())
                 for w in set(tokens) - marked.keys():
                     marked[w] = w not in ENDS and any(f in marks for f in features(w))
@@ -221,19 +235,20 @@ def labelled_chains(sample: DataFrame, marks: set[str]) -> list[tuple[list[str],
                     groups[bool(hits[a : a + n].any())].append((xxhash.xxh32_intdigest("".join(tokens[a : a + n])), a, n))
                 for g in groups:
                     for _, a, n in sorted(g)[:CHAINS_KEPT]:
-                        names.append(i)
-                        kept.append(tokens[a : a + n])
-                        tags.append((hits[a : a + n] & bool(y)).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(kept, pa.list_(pa.string())), pa.array(tags, pa.list_(pa.bool_()))], ["doc_id", "tokens", "tags"])
+                        weights.append(weight)
+                        kept.append(" ".join(tokens[a : a + n]))
+                        tags.append((hits[a : a + n] & bool(y)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array(tags, pa.binary()), pa.array(weights, pa.float64())], ["tokens", "tags", "weight"])
 
-    found = sample.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, tokens array<string>, tags array<boolean>").collect()
-    return sorted((list(r[1]), [int(x) for x in r[2]]) for r in found)
+    found = sample.select("y", "weight", "text").mapInArrow(run, "tokens string, tags binary, weight double").toLocalIterator()
+    return sorted((r[0].split(" "), list(bytes(r[1])), r[2]) for r in found)
 
 
-def fit_field(chains: list[tuple[list[str], list[int]]], rounds: int = 60, rate: float = 0.3, decay: float = 1e-6) -> Field:
-    """Maximum likelihood with Adam steps over all chains; the same chains give the same field."""
-    tokens = [w for c, _ in chains for w in [*c, "\n"]]
-    tags = np.array([t for _, c in chains for t in [*c, 0]], float)
+def fit_field(chains: list[tuple[list[str], list[int], float]], rounds: int = 60, rate: float = 0.3, decay: float = 1e-6) -> Field:
+    """Maximum weighted likelihood with Adam steps over all chains; the same chains give the same field."""
+    tokens = [w for c, _, _ in chains for w in [*c, "\n"]]
+    tags = np.array([t for _, c, _ in chains for t in [*c, 0]], float)
+    weight = np.repeat([w for _, _, w in chains], [len(c) + 1 for c, _, _ in chains])
     ends = np.array([w in ENDS for w in tokens], bool)
     starts, lengths = chains_of(ends)
     names = {w: k for k, w in enumerate(dict.fromkeys(tokens))}
@@ -254,15 +269,15 @@ def fit_field(chains: list[tuple[list[str], list[int]]], rounds: int = 60, rate:
     at = at.reshape(-1, 8).astype(np.int32)
     follow = np.flatnonzero(~ends[1:] & ~ends[:-1])
     a, b = tags[follow], tags[follow + 1]
-    seen = np.array([((1 - a) * b).sum(), (a * b).sum(), (a * (1 - b)).sum()])
+    seen = np.array([(1 - a) * b, a * b, a * (1 - b)]) @ weight[follow]
     x = np.zeros(len(used) + 4)  # weights of the used slots, bias, moves
     x[len(used)] = -2.0
     pad = int(np.searchsorted(used, WIDTH))
-    m1, m2, n = np.zeros_like(x), np.zeros_like(x), max(1, int((~ends).sum()))
+    m1, m2, n = np.zeros_like(x), np.zeros_like(x), max(1.0, float(weight[~ends].sum()))
     for step in range(1, rounds + 1):
         score = x[: len(used)][at].sum(1) + x[len(used)]
-        p, moved = marginals(score, starts, lengths, x[-3:], counts=True)
-        g = np.where(ends, 0, tags - p)
+        p, moved = marginals(score, starts, lengths, x[-3:], weight)
+        g = np.where(ends, 0, weight * (tags - p))
         grad = np.r_[np.bincount(at.ravel(), np.repeat(g, 8), len(used)), g.sum(), seen - moved] / n - decay * x
         if pad < len(used):
             grad[pad] = 0
@@ -274,11 +289,12 @@ def fit_field(chains: list[tuple[list[str], list[int]]], rounds: int = 60, rate:
     return Field(weights, float(x[len(used)]), x[-3:].copy(), (0.0, 0.0, 0.0))
 
 
-def fit_curve(rows: list[tuple[int, float, float]]) -> tuple[float, float, float]:
-    """Logistic curve over (maximum, log(1 + sum)), with equal weight for both classes; slopes stay at zero or above."""
+def fit_curve(rows: list[tuple[int, float, float, float]]) -> tuple[float, float, float]:
+    """Logistic curve over (maximum, log(1 + sum)) from (y, weight, maximum, sum); slopes stay at zero or above."""
     y = np.array([r[0] for r in rows], float)
-    x = np.array([[1.0, r[1], np.log1p(r[2])] for r in rows])
-    weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    x = np.array([[1.0, r[2], np.log1p(r[3])] for r in rows])
+    weight = np.array([r[1] for r in rows])
+    weight = weight / weight.sum()
     v = np.zeros(3)
     for _ in range(4000):
         p = 1 / (1 + np.exp(-x @ v))
@@ -287,20 +303,33 @@ def fit_curve(rows: list[tuple[int, float, float]]) -> tuple[float, float, float
     return tuple(v.tolist())
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS) -> Field | None:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, clean: int = CLEAN, toxic: int = TOXIC) -> Field | None:
     """A field from the labelled documents for which ``learn`` (over doc_id) holds; None without a toxic one."""
-    sample = labelled_sample(docs, labels, "toxic", learn, per_class).cache()
+    sample = labelled_sample(docs, labels, "toxic", learn, clean, toxic)
+    # copies of one text are in the same part
+    part = F.pmod(F.xxhash64("text"), F.lit(PARTS)).cast("int")
+    sample = sample.select("doc_id", "y", "weight", "text", part.alias("part")).repartition("doc_id").persist()
     try:
-        marks = lexicon(sample)
-        chains = labelled_chains(sample, marks) if marks else []
-        if not any(1 in tags for _, tags in chains):
+        counts = feature_counts(sample).persist()
+        clean_weight = sample.where("y = 0").agg(F.max("weight")).first()[0] or 1.0
+
+        def fitted(rows: DataFrame, counted: DataFrame) -> Field | None:
+            marks = lexicon(counted, PRIOR * clean_weight)
+            chains = labelled_chains(rows, marks) if marks else []
+            return fit_field(chains) if any(1 in tags for _, tags, _ in chains) else None
+
+        field = fitted(sample, counts)
+        if field is None:
             return None
-        field = fit_field(chains)
-        tagged = sample.select("y", tagger(field, True)("text").alias("s")).select("y", "s.most", "s.total").collect()
+        tagged = []
+        for k in range(PARTS):
+            other = fitted(sample.where(F.col("part") != k), counts.where(F.col("part") != k))
+            tagged += sample.where(F.col("part") == k).select("y", "weight", tagger(other, True)("text").alias("s")).select("y", "weight", "s.most", "s.total").toLocalIterator()
         field.curve = fit_curve(sorted(tuple(r) for r in tagged))
         return field
     finally:
         sample.unpersist()
+        counts.unpersist()
 
 
 def tagger(field: Field | None, raw: bool = False):

@@ -262,7 +262,7 @@ def test_marginals_equal_enumeration():
         total = sum(weights.values())
         want = [sum(v for t, v in weights.items() if t[k]) / total for k in range(n)]
         pairs = [sum(v * sum((t[k], t[k + 1]) == p for k in range(n - 1)) for t, v in weights.items()) / total for p in ((0, 1), (1, 1), (1, 0))]
-        got, moved = toxicity.marginals(score, np.array([0]), np.array([n]), moves, counts=True)
+        got, moved = toxicity.marginals(score, np.array([0]), np.array([n]), moves, np.ones(n))
         assert np.allclose(got, want) and np.allclose(moved, pairs)
 
 
@@ -300,6 +300,66 @@ def test_classifiers_on_held_out_rows(spark, sf01):
     assert len(rows) == len(lang) and sum(own) / len(own) > 0.98
 
 
+def test_toxicity_is_alike_whatever_the_sample(spark):
+    """Samples with the mix of classes of all labels and with as many of both mark as few clean documents."""
+    sf = "/root/testdata/sf0.1"
+    docs, known = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    learn = ~toxicity.held_out("doc_id", 4, 2)
+    rates = []
+    for n in (330, 2000):
+        field = toxicity.fit(docs, known, learn, n, n)
+        rows = toxicity.score(docs.join(known, "doc_id").where(~learn), field, score_col="s").groupBy("toxic").agg(F.avg((F.col("s") >= 0.3).cast("int")), F.count("*")).collect()
+        rates.append({r[0]: r[1] for r in rows})
+    assert all(r[0] < 0.03 for r in rates) and abs(rates[0][0] - rates[1][0]) < 0.02
+    assert rates[1][1] > 0.85 and rates[0][1] > 0.5
+
+
+def awkward(spark, good, bad=None):
+    """Labelled texts with null, empty, long and repeated rows, null ids and extra columns."""
+    texts = good + [None, "", " \n", LONG, good[0], good[0]] + (bad or [])
+    ids = [*range(len(texts))]
+    ids[1], ids[2] = None, 0
+    return documents(spark, texts, ids)
+
+
+def test_fitted_classifiers_on_awkward_rows(spark):
+    r = random.Random(6)
+    fill = lambda n, kind: " ".join(r.choice("aeiou") + r.choice("bdfgk") + kind + r.choice("aeiou") for _ in range(n))
+    texts = [fill(30, "l") + (" vilething " + fill(4, "m") + " vilething" if k % 3 == 0 else "") for k in range(150)]
+    docs = awkward(spark, texts)
+    known = labels(spark, [*((k, int(k % 2), int(k % 3 == 0)) for k in range(150)), (None, 1, 1), (7, None, None), (3, 1, 1), (9999, 1, 1)])
+    for module, name in ((toxicity, "s"), (quality, "s")):
+        model = module.fit(docs, known, F.lit(True))
+        assert model is not None
+        rows = module.score(docs, model, score_col=name).collect()
+        assert len(rows) == 156 and all(0 <= x.s <= 1 for x in rows)
+        by_text = {}
+        for x in rows:
+            by_text.setdefault(x.text, set()).add(x.s)
+        assert all(len(v) == 1 for v in by_text.values()), "repeated rows score alike"
+        assert module.score(docs.where("false"), model).collect() == []
+        assert {"score", "label", "kept"} <= set(module.score(docs, model, score_col="s").columns)
+    field = toxicity.fit(docs, known, F.lit(True))
+    found = {x.text: x for x in toxicity.score(docs, field, score_col="s").collect()}
+    for t in texts:
+        want = [(m.start(), m.end()) for m in re.finditer("vilething", t)]
+        assert [(s.start, s.end) for s in found[t].toxic_spans] == want
+    whole = LONG + " vilething"
+    x = toxicity.score(documents(spark, [whole]), field, score_col="s").first()
+    assert [(s.start, s.end) for s in x.toxic_spans] == [(len(whole) - 9, len(whole))], "whole texts are read"
+
+
+def test_fitted_languages_on_awkward_rows(spark):
+    texts = ["the cat and the dog", "der hund und die katze", "le chat et le chien", "the bird and the fish"] * 3
+    docs = spark.createDataFrame([*((k, t, lang, 0.5, "x") for k, (t, lang) in enumerate(zip(texts, ["en", "de", "fr", "en"] * 3))), (None, "the man and the sea", "en", None, None), (0, "le monde", "fr", None, None), (50, None, "en", None, None), (51, "", "de", None, None), (52, "the sea and " * 40_000, None, None, None), (53, "123 ...", None, None, None)], "doc_id long, text string, lang string, score double, lang_pred string")
+    model = language.fit(docs, F.lit(True))
+    rows = language.predict(docs, model).collect()
+    assert len(rows) == 18 and all(0 <= x.score <= 1 for x in rows)
+    found = {x.doc_id: x.lang_pred for x in rows}
+    assert [found[k] for k in (1, 2, 3, 50, 51, 52, 53)] == ["de", "fr", "en", "und", "und", "en", "und"]
+    assert language.predict(docs.where("false"), model).collect() == []
+
+
 def test_classifiers_with_nothing_to_learn(spark):
     docs = documents(spark, ["a b", None, "", LONG], ids=[1, 1, None, 4])
     assert toxicity.fit(docs, labels(spark), F.lit(True)) is None and quality.fit(docs, labels(spark), F.lit(True)) is None
