@@ -13,14 +13,13 @@ them against brute-force versions.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiflow.llm import decontaminate, minhash, secrets, sentencepiece_bpe, toxicity
-from lexiflow.llm.common import held_out, outside, table
+from lexiflow.llm.common import held_out, outside, shared_folder, table
 
 ORACLE_SQL = None
 #: Documents that score this or more are rejected.
@@ -83,12 +82,20 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage keeps is written to the shared folder and read by the next one."""
+    """All stages over ``documents``; what a stage keeps is written to the shared folder and read by the next one, after which it's removed."""
     docs = table(spark, sf_dir, "documents")
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexiflow-pipeline-")
-    folder = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for n, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{n}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            removed(spark, before)
+        before = path
     return docs
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever the session's file systems have it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
