@@ -40,6 +40,8 @@ from lexiflow.llm.common import checkpointed, table
 BANDS, ROWS = 32, 5
 #: Keys (16 bytes each) that are broadcast at most.
 KEYS = 2_000_000
+#: Rows of one key beyond which a join deals them over SALT parts.
+HOT, SALT = 500, 32
 #: Texts that a task compares with as many others at a time.
 BLOCK = 256
 #: Word hashes that a task remembers at most.
@@ -225,24 +227,40 @@ def compared(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return askers.unionByName(others).groupBy("top", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
+def spread(rows: DataFrame, key: str, unique: DataFrame) -> DataFrame:
+    """``rows`` joined with ``unique``, which has one row for each key; rows of a key that more than HOT rows have are dealt over SALT parts.
+
+    There's at most one hot key for HOT rows, and their list is broadcast only
+    up to KEYS.
+    """
+    hot = checkpointed(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(key, F.lit(True).alias("hot")))
+    known = hot.count()
+    if not known:
+        return rows.join(unique, key)
+    small = F.broadcast(hot) if known <= KEYS else hot
+    left = rows.join(small, key, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALT))).otherwise(0).cast("int")).drop("hot")
+    right = unique.join(small, key, "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
+    return left.join(right, [key, "salt"]).drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): connected components of (a, b), named by their smallest node.
 
     Each round hooks every node to the least label of its neighbours and then
     jumps to that label's own label. Rounds end when no label falls; their
     number is about the logarithm of the longest path. Rows with one key are
-    summed before they are shuffled.
+    summed before they are shuffled, and joined in parts where they are many.
     """
     both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
+        near = spread(both, "b", labels.withColumnRenamed("node", "b")).groupBy("a").agg(F.min("label").alias("m"))
         hooked = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
         # also tell the old label's node, so that whole trees move
         told = hooked.groupBy(F.col("was").alias("node")).agg(F.min("label").alias("t"))
-        mine = hooked.join(told, "node", "left").select("node", "was", F.least("label", F.coalesce("t", "label")).alias("label"))
-        up = mine.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        after = checkpointed(mine.join(up, "label", "left").select("node", "was", F.least("label", F.coalesce("top", "label")).alias("label")))
+        mine = checkpointed(hooked.join(told, "node", "left").select("node", "was", F.least("label", F.coalesce("t", "label")).alias("label")))
+        up = mine.select(F.col("node").alias("label"), F.col("label").alias("top"))  # a label is always a node
+        after = checkpointed(spread(mine, "label", up).select("node", "was", F.least("label", "top").alias("label")))
         if not after.where("label < was").head(1):
             return after.select("node", "label")
         labels = after.select("node", "label")
