@@ -4,21 +4,27 @@ PCM is cut into overlapping frames whose spectrum is folded into 12 pitch
 classes. Over the image of frames and classes, rectangle filters are read from
 an integral image; each gives two bits, 16 of them make one packed 32-bit
 integer for each frame. Recordings are aligned by the histogram of offsets at
-which they have equal integers; at the best offset the share of wrong bits over
-the whole overlap decides.
+which their integers agree in three of four bytes; of the offsets with
+``VOTES`` such hits and an overlap of ``OVERLAP`` frames (or of all frames of
+the shorter one) that with the least share of wrong bits decides, and aligns
+them if that share is at most ``ERRORS``. Bits that are wrong independently,
+at that rate, leave a recording of 75 frames its votes with a chance over 0.9
+(see the tests); noise, whose wrong bits come together, leaves more.
 
 ``search`` compares a stated query set with all recordings. Queries are taken
-in blocks of at most ``QUERIES`` recordings, which bounds what is broadcast for
-any number of queries; nothing is joined, so common integers make no bucket.
+in blocks of at most ``FRAMES`` integers (and one recording), which bounds what
+the driver and a task hold for any number of queries; nothing is joined, so
+common integers make no bucket.
 
 ``links`` gives the same pairs, but compares each fingerprint only once: rows
 with identical fingerprints are one class, and pairs of classes stand for the
 pairs of their members.
 
-Null, empty and too short audio has no fingerprint and matches nothing.
-``search`` and ``links`` report repeated rows as often as they occur, ``nearest`` once;
-null ids can't be reported and are left out. Of equally good offsets the smallest counts. Extra columns
-are ignored.
+Null, empty and too short audio has no fingerprint and matches nothing; long
+recordings are read whole. Repeated rows are reported as often as they occur;
+null ids can't be reported and are left out. Vectors with null or infinite
+components, or none, give no audio. Of equally good offsets the smallest
+counts. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +36,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,10 +45,12 @@ from lexiflow.llm.common import checkpointed, table
 CLASSES = 12
 #: Seconds of a frame and between frames; range of frequencies that count; frames under a filter.
 FRAME, HOP, LOW, HIGH, SPAN = 0.256, 0.064, 100.0, 900.0, 16
-#: Equal integers at one offset, and the share of wrong bits, that make a match.
-VOTES, ERRORS = 2, 0.2
-#: Queries that are broadcast at a time.
-QUERIES = 20_000
+#: Hits at one offset, frames of overlap, and the share of wrong bits, that make a match.
+VOTES, OVERLAP, ERRORS = 2, 16, 0.15
+#: Integers of queries that are compared at a time; recordings that a task compares at a time.
+FRAMES, TOGETHER = 2_000_000, 64
+#: What remains of an integer when one of its bytes is left out.
+PARTS = tuple(0xFFFFFFFF ^ (0xFF << 8 * k) for k in range(4))
 
 
 def samples(data: bytes | None, rate: int) -> tuple[np.ndarray, int]:
@@ -125,112 +134,112 @@ def fingerprints(recordings: DataFrame, audio: str | Column, rate: int, id_col:
 
 
 class Index:
-    """Positions of a query block's integers, sorted by value."""
+    """Places of a query block's integers, sorted by each of their parts."""
 
     def __init__(self, queries: list[tuple[int | str, bytes]]):
         self.ids = [q for q, _ in queries]
-        self.prints = [np.frombuffer(f, np.int32) for _, f in queries]
-        self.owner = np.repeat(np.arange(len(queries)), [len(p) for p in self.prints])
-        self.place = np.concatenate([np.arange(len(p)) for p in self.prints]) if queries else np.zeros(0, int)
-        values = np.concatenate(self.prints) if queries else np.zeros(0, np.int32)
-        order = np.argsort(values, kind="stable")
-        self.values, self.owner, self.place = values[order], self.owner[order], self.place[order]
-
-    def matches(self, f: np.ndarray) -> list[tuple[int | str, int, int, float]]:
-        """(query, offset, votes, share of wrong bits) of the queries that align with a recording; the offset is where the query's first frame lies in it."""
-        low, high = np.searchsorted(self.values, f, "left"), np.searchsorted(self.values, f, "right")
-        n = high - low
-        if not n.sum():
-            return []
-        mine = np.repeat(np.arange(len(f)), n)
-        hit = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        shift = mine - self.place[hit]
-        keys, votes = np.unique(self.owner[hit].astype(np.int64) << 32 | (shift + (1 << 31)), return_counts=True)
-        keys, votes = keys[votes >= VOTES], votes[votes >= VOTES]
-        owners, shifts = keys >> 32, (keys & 0xFFFFFFFF) - (1 << 31)
-        out = []
-        order = np.lexsort((shifts, -votes, owners))
-        for k in order[np.r_[True, np.diff(owners[order]) > 0]] if len(order) else ():
-            q, s = self.prints[owners[k]], int(shifts[k])
-            a, b = max(0, -s), min(len(q), len(f) - s)
-            wrong = np.bitwise_count((q[a:b] ^ f[a + s : b + s]).view(np.uint32)).sum() / (32 * (b - a))
-            if wrong <= ERRORS:
-                out.append((self.ids[owners[k]], s, int(votes[k]), float(wrong)))
+        self.prints = [np.frombuffer(f, np.uint32) for _, f in queries]
+        owner = np.repeat(np.arange(len(queries)), [len(p) for p in self.prints])
+        place = np.concatenate([np.arange(len(p)) for p in self.prints]) if queries else np.zeros(0, int)
+        values = np.concatenate(self.prints) if queries else np.zeros(0, np.uint32)
+        self.parts = []
+        for mask in PARTS:
+            order = np.argsort(values & np.uint32(mask), kind="stable")
+            self.parts.append((np.uint32(mask), (values & np.uint32(mask))[order], owner[order], place[order]))
+
+    def matches(self, given: list[np.ndarray]) -> list[list[tuple[int | str, int, int, float]]]:
+        """For each recording (query, offset, votes, share of wrong bits) of the queries that align with it; the offset is where the query's first frame lies in it."""
+        given = [f.view(np.uint32) for f in given]
+        out: list[list[tuple[int | str, int, int, float]]] = [[] for _ in given]
+        frames = np.concatenate(given) if given else np.zeros(0, np.uint32)
+        owner = np.repeat(np.arange(len(given)), [len(f) for f in given])
+        place = np.concatenate([np.arange(len(f)) for f in given]) if given else np.zeros(0, int)
+        keys = []
+        for mask, values, whose, where in self.parts:
+            own = frames & mask
+            low = np.searchsorted(values, own, "left")
+            n = np.searchsorted(values, own, "right") - low
+            hit = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.zeros(0, int)
+            mine = np.repeat(np.arange(len(frames)), n)
+            keys.append((owner[mine] << 57) | (whose[hit].astype(np.int64) << 29) | (place[mine] - where[hit] + (1 << 28)))
+        found, votes = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, int), np.zeros(0, int))
+        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        for key, n in zip(found[votes >= VOTES].tolist(), votes[votes >= VOTES].tolist()):
+            k, q, s = key >> 57, key >> 29 & (1 << 28) - 1, (key & (1 << 29) - 1) - (1 << 28)
+            a, f = self.prints[q], given[k]
+            begin, end = max(0, -s), min(len(a), len(f) - s)
+            if end - begin < min(OVERLAP, len(a), len(f)):
+                continue
+            wrong = int(np.bitwise_count(a[begin:end] ^ f[begin + s : end + s]).sum()) / (32 * (end - begin))
+            if wrong <= ERRORS and (wrong, s) < best.get((k, q), (2.0, 0, 0))[:2]:
+                best[k, q] = (wrong, s, n)
+        for (k, q), (wrong, s, n) in sorted(best.items()):
+            out[k].append((self.ids[q], s, n, wrong))
         return out
 
 
 PAIRS = "query_id long, id long, offset int, votes int, bit_error double"
-NEAREST = "id long, n_queries long, query_id long, offset int, votes int, bit_error double"
-CLASS_PAIRS = "class_id string, query_class string, offset int, votes int, bit_error double"
+CLASS_PAIRS = "query_class string, class_id string, offset int, votes int, bit_error double"
 
 
-def aligned(recordings: DataFrame, is_query: Column, id_col: str, each, schema: str, own: bool = False) -> list[DataFrame]:
-    """For each block of queries, the rows that ``each`` (of an id and its matches) gives for all recordings; a recording's match with its own id counts only with ``own``. Reads (id, fingerprint)."""
-    rows = recordings.where(F.col(id_col).isNotNull())
-    queries = rows.where(is_query & (F.size("fingerprint") > 0))
-    blocks = max(1, -(-queries.count() // QUERIES))
+def aligned(recordings: DataFrame, queries: DataFrame, id_col: str, schema: str) -> DataFrame:
+    """(query, recording, offset, votes, bit_error), as ``schema`` names them, of all that align; reads (id, fingerprint) of both."""
+    rows = recordings.where(F.col(id_col).isNotNull()).select(id_col, "fingerprint")
+    queries = queries.where(F.col(id_col).isNotNull() & (F.size("fingerprint") > 0))
+    total = queries.agg(F.sum(F.size("fingerprint").cast("long"))).first()[0] or 0
+    blocks = max(1, -(-total // FRAMES))
     kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
     fields = [x.split() for x in schema.split(", ")]
     out = []
     for k in range(blocks):
         part = queries.where(F.pmod(F.xxhash64(F.lit(3), id_col), F.lit(blocks)) == k)
-        block = sorted({r[0]: np.array(r[1], np.int32).tobytes() for r in part.select(id_col, "fingerprint").toLocalIterator()}.items())
+        block = sorted({(r[0], np.array(r[1], np.int32).tobytes()) for r in part.select(id_col, "fingerprint").toLocalIterator()})
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             index = Index(block)
             for b in batches:
-                found = [r for i, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in each(i, [m for m in index.matches(np.array(f or [], np.int32)) if own or m[0] != i])]
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in found], kinds[kind]) for j, (_, kind) in enumerate(fields)], [n for n, _ in fields])
+                for at in range(0, len(b), TOGETHER):
+                    ids, prints = (c.to_pylist() for c in b.slice(at, TOGETHER).columns)
+                    found = [(m[0], i, *m[1:]) for i, ms in zip(ids, index.matches([np.array(f or [], np.int32) for f in prints])) for m in ms]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in found], kinds[kind]) for j, (_, kind) in enumerate(fields)], [n for n, _ in fields])
 
-        out.append(rows.select(id_col, "fingerprint").mapInArrow(run, schema))
-    return out
+        found = rows.mapInArrow(run, schema)
+        out.append(checkpointed(found) if blocks > 1 else found)  # so that the driver holds one block at a time
+        del block
+    return reduce(DataFrame.unionByName, out)
 
 
-def search(recordings: DataFrame, is_query: Column, id_col: str) -> DataFrame:
-    """(query_id, id, offset, votes, bit_error) of all pairs of a query and another recording that align."""
-    return reduce(DataFrame.unionByName, aligned(recordings, is_query, id_col, lambda i, found: [(q, i, *rest) for q, *rest in found], PAIRS)).withColumnRenamed("id", id_col)
+def search(recordings: DataFrame, queries: DataFrame, id_col: str) -> DataFrame:
+    """(query_id, id, offset, votes, bit_error) of all pairs of a query and a recording that align, both (id, fingerprint)."""
+    return aligned(recordings, queries, id_col, PAIRS).withColumnRenamed("id", id_col)
 
 
-def links(recordings: DataFrame, is_query: Column, id_col: str) -> DataFrame:
+def links(recordings: DataFrame, queries: DataFrame, id_col: str) -> DataFrame:
     """(class_id, id, is_query, query_class, offset, votes, bit_error): rows of two kinds that together hold all pairs of ``search``.
 
     A row with an id says to which class of identical fingerprints a recording
-    belongs, and whether it's a query; each recording has one. A row with a
+    (or, with ``is_query``, a query) belongs; each has one. A row with a
     ``query_class`` says that the queries of that class align with the
-    recordings of ``class_id``, which may be the same class: each query of the
-    one with each recording of the other that has another id.
+    recordings of ``class_id``: each query of the one with each recording of
+    the other.
     """
     # the fingerprint's digest names a class: no join is needed, and rows that repeat an id keep apart
     name = F.sha2(F.array_join(F.col("fingerprint").cast("array<string>"), ",").cast("binary"), 256)
-    rows = recordings.where(F.col(id_col).isNotNull()).select(id_col, "fingerprint", F.coalesce(is_query, F.lit(False)).alias("is_query"), name.alias("class_id"))
-    classes = checkpointed(rows.groupBy("class_id").agg(F.first("fingerprint").alias("fingerprint"), F.max("is_query").alias("is_query")))
-    pairs = reduce(DataFrame.unionByName, aligned(classes, F.col("is_query"), "class_id", lambda i, found: [(i, *m) for m in found], CLASS_PAIRS, own=True))
-    return rows.select("class_id", id_col, "is_query").unionByName(pairs, allowMissingColumns=True)
-
-
-def nearest(recordings: DataFrame, is_query: Column, id_col: str) -> DataFrame:
-    """(id, n_queries, query_id, offset, votes, bit_error): one row for each recording's id, with the number of queries that align with it and the best of them.
-
-    Of equal bit errors the smaller query id counts. All pairs are compared, as
-    in ``search``, but a group of copies gives as many rows as it has members.
-    """
-
-    def each(i: int, found: list[tuple[int, int, int, float]]) -> list[tuple]:
-        best = min(found, key=lambda m: (m[3], m[0]), default=(None, None, None, None))
-        return [(i, len(found), *best)]
-
-    rows = reduce(DataFrame.unionByName, aligned(recordings, is_query, id_col, each, NEAREST))
-    best = F.min(F.when(F.col("query_id").isNotNull(), F.struct("bit_error", "query_id", "offset", "votes")))
-    # rows of several blocks are summed; rows that repeat an id count once for each block
-    rows = rows.distinct().groupBy("id").agg(F.sum("n_queries").alias("n_queries"), best.alias("b"))
-    return rows.select(F.col("id").alias(id_col), "n_queries", *[F.col(f"b.{c}").alias(c) for c in ("query_id", "offset", "votes", "bit_error")])
+    sides = [df.where(F.col(id_col).isNotNull()).select(id_col, "fingerprint", F.lit(asks).alias("is_query"), name.alias("class_id")) for df, asks in ((recordings, False), (queries, True))]
+    classes = [checkpointed(df.groupBy("class_id").agg(F.first("fingerprint").alias("fingerprint"))) for df in sides]
+    pairs = aligned(*classes, "class_id", CLASS_PAIRS)
+    return sides[0].unionByName(sides[1]).select("class_id", id_col, "is_query").unionByName(pairs, allowMissingColumns=True)
 
 
 RATE = 2000
 
 
-def rendered(vector: str) -> Column:
-    """Arrow UDF column: a tune for a vector, as a WAV file. Each of 24 notes of 0.25 s sounds the 12 pitch classes as loud as some of the vector's components say."""
+def rendered(vector: str, late: float = 0.0, early: float = 0.0, noise: float = 0.0) -> Column:
+    """Arrow UDF column: a tune for a vector, as a WAV file. Each of 24 notes of 0.25 s sounds the 12 pitch classes as loud as some of the vector's components say.
+
+    ``late`` and ``early`` seconds are missing at its start and end; ``noise``
+    is added to each sample, drawn from the vector's own digest.
+    """
 
     @F.arrow_udf("binary")
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -240,30 +249,38 @@ def rendered(vector: str) -> Column:
         for b in batches:
             out = []
             for v in b.to_pylist():
-                if not v or any(x is None for x in v):
+                if not v or any(x is None or not np.isfinite(x) for x in v):
                     out.append(None)
                     continue
                 v = np.array(v, float)
                 loud = np.exp(2.5 * v[pick % len(v)] / max(float(v.std()), 1e-9))
-                x = (loud / loud.sum(1, keepdims=True)) @ tones
+                x = ((loud / loud.sum(1, keepdims=True)) @ tones).ravel()
+                x = x[int(late * RATE) : len(x) - int(early * RATE)]
+                if noise:
+                    x = x + noise * np.random.default_rng(xxhash.xxh64_intdigest(v.tobytes())).normal(size=len(x))
                 file = io.BytesIO()
                 with wave.open(file, "wb") as f:
                     f.setnchannels(1)
                     f.setsampwidth(2)
                     f.setframerate(RATE)
-                    f.writeframes((x.ravel() * 32000).astype("<i2").tobytes())
+                    f.writeframes(np.clip(x * 16000, -32768, 32767).astype("<i2").tobytes())
                 out.append(file.getvalue())
             yield pa.array(out, pa.binary())
 
     return made(F.col(vector))
 
 
+#: What a second recording lacks at its start and end (seconds), and the deviation of its noise, where the tune lies between -1 and 1.
+LATE, EARLY, NOISE = 0.9, 0.5, 0.2
+
+
 def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tunes of all vectors: those whose id is divisible by 20 are searched among all of them; all links, between classes of identical tunes.
+    """The tunes of all vectors, and a second recording, cut and noisy, of those whose id is divisible by 20, which is searched among all tunes; all links, between classes of identical fingerprints.
 
-    The tables hold no recordings, so the media column is rendered from the
-    vectors; near copies of a vector sound alike.
+    The tables hold no recordings, so the media column is rendered from the vectors.
     """
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     prints = checkpointed(fingerprints(vectors, rendered("embedding"), RATE, "vec_id"))
-    return links(prints, F.pmod(F.col("vec_id"), F.lit(20)) == 0, "vec_id")
+    asked = vectors.where(F.pmod(F.col("vec_id"), F.lit(20)) == 0)
+    queries = checkpointed(fingerprints(asked, rendered("embedding", LATE, EARLY, NOISE), RATE, "vec_id"))
+    return links(prints, queries, "vec_id")

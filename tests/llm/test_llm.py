@@ -149,6 +149,13 @@ def test_components_of_a_long_path(spark):
 # decontamination ----------------------------------------------------------------------------------------------------
 
 
+def test_components_of_a_crowded_star(spark):
+    """More edges at one node, and more nodes with one label, than one task should join."""
+    edges = spark.createDataFrame([(5, 10 + k) for k in range(3 * minhash.HOT)] + [(1, 2)], "a long, b long")
+    found = {x.node: x.label for x in minhash.components(edges).collect()}
+    assert found == {10 + k: 5 for k in range(3 * minhash.HOT)} | {5: 5, 1: 1, 2: 1}
+
+
 def test_overlaps_tolerate_substitutions(spark):
     r = random.Random(4)
     words = [f"w{k}" for k in range(3000)]
@@ -439,11 +446,10 @@ def test_audio_aligns_shifted_noisy_copies(spark):
     rows = [(20, pcm(a)), (1, pcm(a + r.normal(0, 0.005, len(a)))), (2, pcm(a[128 * 20 :])), (3, pcm(b)), (4, None), (5, b""), (6, b"RIFFbroken"), (None, pcm(a)), (7, pcm(a))]
     df = spark.createDataFrame(rows, "id long, pcm binary")
     prints = audio.fingerprints(df, "pcm", 2000, "id")
-    found = {x.id: x for x in audio.search(prints, F.col("id") % 20 == 0, "id").collect()}
-    assert set(found) == {1, 2, 7} and found[7].bit_error == 0 and found[7].offset == 0 and found[2].offset == -20
-    near = {x.id: x for x in audio.nearest(prints, F.col("id") % 20 == 0, "id").collect()}
-    assert {k: (x.n_queries, x.query_id, x.offset) for k, x in near.items()} == {20: (0, None, None), 1: (1, 20, 0), 2: (1, 20, -20), 3: (0, None, None), 4: (0, None, None), 5: (0, None, None), 6: (0, None, None), 7: (1, 20, 0)}
-    assert audio.search(prints.where("false"), F.lit(True), "id").collect() == [] and audio.nearest(prints.where("false"), F.lit(True), "id").collect() == []
+    queries = prints.where("id % 20 = 0")
+    found = {x.id: x for x in audio.search(prints, queries, "id").collect()}
+    assert set(found) == {20, 1, 2, 7} and found[7].bit_error == found[20].bit_error == 0 and found[7].offset == 0 and found[2].offset == -20
+    assert audio.search(prints.where("false"), queries, "id").collect() == [] and audio.search(prints, queries.where("false"), "id").collect() == []
 
 
 def expanded(rows, id_col):
@@ -456,7 +462,7 @@ def expanded(rows, id_col):
         for q in members
         if q.is_query and q.class_id == x.query_class
         for m in members
-        if m.class_id == x.class_id and m[id_col] != q[id_col]
+        if not m.is_query and m.class_id == x.class_id
     )
 
 
@@ -467,33 +473,56 @@ def test_audio_links_hold_all_pairs_of_the_search(spark):
     a, b, c = ([int(x) for x in f] for f in base)
     rows = [(0, a), (20, a), (40, near(a, 1)), (60, near(a, 2)), (1, a), (2, a), (2, a), (3, near(a, 3)), (4, near(a, 3)), (80, b), (5, b), (6, c), (7, []), (100, []), (None, a), (9, c), (9, b)]
     prints = spark.createDataFrame(rows, "id long, fingerprint array<int>")
-    is_query = F.col("id") % 20 == 0
-    found = audio.links(prints, is_query, "id").collect()
-    want = sorted(map(tuple, audio.search(prints, is_query, "id").select("query_id", "id", "offset", "votes", "bit_error").collect()))
+    queries = prints.where("id % 20 = 0")
+    found = audio.links(prints, queries, "id").collect()
+    want = sorted(map(tuple, audio.search(prints, queries, "id").select("query_id", "id", "offset", "votes", "bit_error").collect()))
     assert expanded(found, "id") == want and sum(m == 3 for _, m, *_ in want) == 4
-    assert sorted(x.id for x in found if x.id is not None) == sorted(i for i, _ in rows if i is not None)
-    assert audio.links(prints.where("false"), is_query, "id").collect() == []
-
-
-def test_op3_keeps_every_link(spark):
-    prints = audio.fingerprints(audio.table(spark, SF, "embeddings"), audio.rendered("embedding"), audio.RATE, "vec_id")
-    pairs = audio.search(prints, F.col("vec_id") % 20 == 0, "vec_id").select("query_id", "vec_id", "offset", "votes", "bit_error")
-    assert expanded(audio.op3_audio(spark, SF).collect(), "vec_id") == sorted(map(tuple, pairs.collect()))
-
-
-def test_audio_search_equals_trying_all_offsets():
-    """Recall of the index against the bit errors of all pairs and offsets."""
+    assert sorted(x.id for x in found if x.id is not None and not x.is_query) == sorted(i for i, _ in rows if i is not None)
+    assert sorted(x.id for x in found if x.is_query) == [0, 20, 40, 60, 80, 100]
+    assert audio.links(prints.where("false"), queries.where("false"), "id").collect() == []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(audio, "FRAMES", 100)  # several blocks of queries
+        assert sorted(map(tuple, audio.search(prints, queries, "id").select("query_id", "id", "offset", "votes", "bit_error").collect())) == want
+
+
+def all_offsets(q, f):
+    """(share of wrong bits, offset) of the best of all offsets with enough overlap, by trying each; None without one."""
+    found = []
+    for s in range(-len(q) + 1, len(f)):
+        a, b = max(0, -s), min(len(q), len(f) - s)
+        if b - a >= max(1, min(audio.OVERLAP, len(q), len(f))):
+            found.append((int(np.bitwise_count((q[a:b] ^ f[a + s : b + s]).view(np.uint32)).sum()) / (32 * (b - a)), s))
+    return min(found, default=None)
+
+
+def test_op3_against_all_offsets(spark):
+    """All links of the query on the smallest table, against every offset of every pair of a query's second recording and a tune."""
+    vectors = audio.table(spark, SF, "embeddings")
+    tunes = {x.vec_id: np.array(x.fingerprint, np.int32) for x in audio.fingerprints(vectors, audio.rendered("embedding"), audio.RATE, "vec_id").collect()}
+    asked = {x.vec_id: np.array(x.fingerprint, np.int32) for x in audio.fingerprints(vectors.where("vec_id % 20 = 0"), audio.rendered("embedding", audio.LATE, audio.EARLY, audio.NOISE), audio.RATE, "vec_id").collect()}
+    want = {(k, i): best for k, q in asked.items() for i, f in tunes.items() if (best := all_offsets(q, f)) and best[0] <= audio.ERRORS}
+    found = {(q, i): (e, o) for q, i, o, _, e in expanded(audio.op3_audio(spark, SF).collect(), "vec_id")}
+    assert {(k, k) for k in asked} <= set(want), "each second recording is near its tune"
+    assert set(found) <= set(want) and sum(found.get(k) == v for k, v in want.items()) >= 0.9 * len(want)
+    assert all(abs(o - audio.LATE / audio.HOP) < 1 for (a, b), (_, o) in found.items() if a == b), "at the place where it begins"
+
+
+@pytest.mark.parametrize("share", [0.02, 0.05, 0.1, 0.12, audio.ERRORS])
+def test_audio_search_equals_trying_all_offsets(share):
+    """Recall of the index at each rate of wrong bits up to ERRORS, against all pairs and offsets."""
     r = np.random.default_rng(7)
-    queries = [r.integers(-(2**31), 2**31, 60).astype(np.int32) for _ in range(20)]
+    queries = [r.integers(-(2**31), 2**31, 75).astype(np.int32) for _ in range(60)]
     index = audio.Index([(k, q.tobytes()) for k, q in enumerate(queries)])
-    hits = total = 0
-    for k, q in enumerate(queries):
-        for share in (0.02, 0.05, 0.08):
-            flips = np.packbits(r.random((60, 32)) < share, axis=1).view(np.uint32).ravel()
-            own = np.r_[r.integers(-(2**31), 2**31, 9).astype(np.int32), (q.view(np.uint32) ^ flips).view(np.int32)]
-            total += 1
-            hits += (k, 9) in {(m[0], m[1]) for m in index.matches(own)}
-    assert hits / total >= 0.9
+    given = []
+    for q in queries:
+        flips = np.zeros(75 * 32, bool)
+        flips[r.permutation(len(flips))[: int(share * len(flips))]] = True
+        flips = np.packbits(flips.reshape(75, 32), axis=1).view(np.uint32).ravel()
+        given.append(np.r_[r.integers(-(2**31), 2**31, 9).astype(np.int32), (q.view(np.uint32) ^ flips).view(np.int32)])
+    found = [{m[0]: (m[3], m[1]) for m in ms} for ms in index.matches(given)]
+    want = [{k: best for k, q in enumerate(queries) if (best := all_offsets(q, f)) and best[0] <= audio.ERRORS} for f in given]
+    assert sum(map(len, want)) >= 60 and all(w[k] == (pytest.approx(w[k][0]), 9) for k, w in enumerate(want))
+    assert sum(f.get(k) == v for f, w in zip(found, want) for k, v in w.items()) >= 0.9 * sum(map(len, want))
 
 
 def test_warc_round_trip(spark):
