@@ -420,7 +420,8 @@ def test_mined_rules_equal_counting(spark):
     r = random.Random(6)
     rows = [([f"h:{r.choice('abc')}", f"p:{r.choice('xyz')}", f"q:{r.choice('mn')}"], None) for _ in range(400)]
     rows = [(x, "block" if "h:a" in x and "p:x" in x or r.random() < 0.02 else "allow") for x, _ in rows]
-    got = {(tuple(x), y): (c, f) for x, y, c, f in url_rules.mine(spark.createDataFrame(rows, "items array<string>, verdict string"))}
+    mined = url_rules.mine(spark.createDataFrame(rows, "items array<string>, verdict string"))
+    got = {(tuple(r.x), r.y): (r.confidence, r.freq) for r in mined.collect()}
     sets = {tuple(sorted(c)) for x, _ in rows for n in (1, 2, 3) for c in __import__("itertools").combinations(x, n)}
     all_rules = {}
     for s in sets:
@@ -433,6 +434,30 @@ def test_mined_rules_equal_counting(spark):
     assert (("h:a", "p:x"), "block") in got
 
 
+def test_mined_rules_judge_urls_that_were_not_labelled(spark):
+    """Labels of the documents that urls name; spam hosts with a tracking path are bad, others mostly good. Repeated rows, null ids and a clashing column."""
+    r = random.Random(12)
+    rows, known, bad = [], [], {}
+    for k in range(1200):
+        spam, track = r.random() < 0.3, r.random() < 0.5
+        url = f"https://{'win-now' if spam else 'news' + str(k % 40)}.example.edu/{'out' if track else 'read'}/{k}{r.choice(['', '/', '.html', '?a=1'])}"
+        rows.append((k + 5000, url, "x"))
+        bad[k + 5000] = spam and track
+        if k % 2:
+            known.append((k, int(not (spam and track)), 0))
+    rows += [(None, rows[0][1], "x"), rows[1], (99, "https://win-now.example.edu/out/" + "p/" * 30_000, "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, verdict string")
+    found = url_rules.judge_urls(df, labels(spark, known)).collect()
+    assert len(found) == 1203
+    new = [x for x in found if x.page_id is not None and x.page_id % 2 == 0 and x.page_id >= 5000]
+    assert sum((x.verdict == "block") == bad[x.page_id] for x in new) > 0.97 * len(new)
+    assert all(x.mined == "h:win-now p:out" for x in found if x.page_id and bad.get(x.page_id))
+    assert next(x for x in found if x.page_id == 99).verdict == "block", "whole urls are read"
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(url_rules, "BLOCK", 2)  # many blocks of rules
+        assert sorted(map(str, url_rules.judge_urls(df, labels(spark, known)).collect())) == sorted(map(str, found))
+
+
 def test_audio_aligns_shifted_noisy_copies(spark):
     r = np.random.default_rng(2)
 
