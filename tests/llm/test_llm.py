@@ -560,7 +560,7 @@ def test_warc_round_trip(spark):
         assert headers["WARC-Block-Digest"] == warc.digest(block) == x.block_digest and int(headers["Content-Length"]) == len(block) == x.content_length
         assert headers["WARC-Refers-To"] == x.refers_to and headers["WARC-Type"] == x.record_type
     first = {x.record_type: x for x in rows if x.page_id == 1}
-    ((source, block),) = warc.parse(warc.response("1:http://a/ö", "http://a/ö", page))
+    ((source, block),) = warc.parse(warc.response(f"1:http://a/ö:{warc.digest(page.encode())}", "http://a/ö", page))
     ((_, text),) = warc.parse(bytes(first["conversion"].record))
     ((_, fields),) = warc.parse(bytes(first["metadata"].record))
     assert text.decode() == "A & B\nEins\nzwei\ndrei" and first["conversion"].refers_to == source["WARC-Record-ID"]
@@ -580,6 +580,51 @@ def test_warc_parser_survives_damage(tmp_path, spark):
     assert warc.derivatives(warc.read(spark, str(tmp_path)), "file_id").count() == 4
 
 
+def test_warc_of_real_servers():
+    """Header names in any case, repeated headers, codings, members one by one, and what is kept of damaged files."""
+    import gzip
+    import zlib
+
+    def page(head, payload, kind="warc-type"):
+        block = b"HTTP/1.1 200 OK\r\n" + head + b"\r\n\r\n" + payload
+        return f"WARC/1.0\r\n{kind}: Response\r\nwarc-record-id: <urn:x:{len(payload)}>\r\nWARC-IP-Address: 1.2.3.4\r\ncontent-length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    body = b"<title>T</title><p>some text here"
+    chunked = b"".join(f"{len(body[k : k + 7]):x};x=1\r\n".encode() + body[k : k + 7] + b"\r\n" for k in range(0, len(body), 7)) + b"0\r\n\r\n"
+    cases = [
+        (b"Content-Type: text/html", body),
+        (b"Transfer-Encoding: Chunked", chunked),
+        (b"content-encoding: GZIP", gzip.compress(body)),
+        (b"Content-Encoding: deflate", zlib.compress(body)),
+        (b"Content-Encoding: deflate", zlib.compress(body, wbits=-15)),
+        (b"Transfer-Encoding: chunked\r\nContent-Encoding: gzip", b"".join([b"%x\r\n" % len(gzip.compress(body)), gzip.compress(body), b"\r\n0\r\n\r\n"])),
+    ]
+    for head, payload in cases:
+        ((headers, block),) = warc.parse(page(head + b"\r\nSet-Cookie: a\r\nset-cookie: b\r\n c", payload))
+        (_, meta), (own, text) = warc.derive(headers, block)
+        assert text.decode() == "T\nsome text here" and own["WARC-Refers-To"] == f"<urn:x:{len(payload)}>"
+        for line in ("source-http-set-cookie: a", "source-http-set-cookie: b c", "source-warc-ip-address: 1.2.3.4"):
+            assert line in meta.decode().split("\r\n")
+    ((headers, block),) = warc.parse(page(b"Content-Encoding: br", b"\x8b\x02"))
+    (_, meta), (_, text) = warc.derive(headers, block)
+    assert text == b"" and b"content coding not known" in meta
+
+    good = [page(b"Content-Type: text/html", body + b"x" * k) for k in range(6)]
+    lengths = lambda data: [len(b) for _, b in warc.parse(data)]
+    want = lengths(b"".join(good))
+    assert len(want) == 6 and lengths(gzip.compress(b"".join(good))) == want
+    zipped = [gzip.compress(x) for x in good]
+    assert lengths(b"".join(zipped)) == want
+    broken = bytearray(zipped[2])
+    broken[30:40] = bytes(10)
+    assert lengths(b"".join([*zipped[:2], bytes(broken), *zipped[3:]])) == want[:2] + want[3:]
+    assert lengths(b"".join([*zipped[:5], zipped[5][:-12]])) == want[:5]
+    big = page(b"Content-Type: text/html", random.Random(1).randbytes(3 * warc.PIECE))
+    assert lengths(gzip.compress(good[0] + big + good[1])) == [want[0], len(big) - len(big.split(b"\r\n\r\n")[0]) - 8, want[1]]
+    cut = gzip.compress(b"".join(good[:3]) + big)
+    assert want[:2] == lengths(cut[: len(cut) // 2])[:2], "of a whole file in one member, what lies before the damage"
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_equal_their_sql(spark, name):
     assert differences(spark, queries.QUERIES[name], queries.ORACLES[name], SF) == ""
