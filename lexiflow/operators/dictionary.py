@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lexiflow.sources.shared import checkpointed
+
 # fixed values: letters and what they become when accents are dropped
 ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaceeeeiiiinoooooouuuuyy"
 
@@ -46,6 +48,21 @@ def exposures(words: DataFrame) -> DataFrame:
     return words.groupBy("w").agg(F.count("*").alias("n"))
 
 
+def interned(rows: DataFrame, column: str, code: str) -> DataFrame:
+    """``rows`` with ``code``: the rank of ``column``, whose values must be distinct, from 1 up.
+
+    Rows are sorted once by range partitions and written with their place in
+    them; ranks are that place and what the partitions before hold, whose sizes
+    are one row for each partition.
+    """
+    place = F.monotonically_increasing_id()
+    placed = checkpointed(rows.repartitionByRange(column).sortWithinPartitions(column).withColumn("_place", place))
+    part, k = F.shiftright("_place", 33), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    before = F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    return placed.withColumn("_part", part).join(F.broadcast(sizes), "_part").withColumn(code, F.col("_before") + k + 1).drop("_part", "_before", "_place")
+
+
 def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
     """(w, n): counts of both added; an immutable-table merge."""
     return old.withColumnRenamed("n", "a").join(new.withColumnRenamed("n", "b"), "w", "full_outer").select("w", (F.coalesce("a", F.lit(0)) + F.coalesce("b", F.lit(0))).alias("n"))

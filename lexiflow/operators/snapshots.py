@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiflow.sources.shared import checkpointed
+
 # fixed value: the normal quantile of a 95 % interval
 Z = 1.959963984540054
 
@@ -35,10 +37,24 @@ def churn(changes: DataFrame, by: str) -> DataFrame:
     return rows.select(by, "n", "changed", F.round(F.col("changed") / F.col("n"), 8).alias("rate"), low.alias("low"), high.alias("high"))
 
 
-def closure(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(child, ancestor, distance) of (child, parent): the shortest way up from each node."""
-    return spark.sql(
-        "with recursive up as (select child, parent as ancestor, 1 as distance from {edges} union all select up.child, e.parent, up.distance + 1 from up join {edges} e on e.child = up.ancestor where up.distance < 20) "
-        "select child, ancestor, cast(min(distance) as bigint) as distance from up group by child, ancestor",
-        edges=edges,
-    )
+def closure(edges: DataFrame) -> DataFrame:
+    """(child, ancestor, distance) of (child, parent): the shortest way up from each node, however long; a node on a cycle is its own ancestor.
+
+    Known ways are joined with each other, so that each round doubles the
+    length that is covered; rounds end when none gets shorter or is new.
+    """
+    known = checkpointed(edges.where("child is not null and parent is not null").select("child", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("distance")).distinct())
+    state = None
+    while True:
+        now = known.agg(F.count("*"), F.sum("distance")).first()
+        if now == state:
+            return known
+        state = now
+        up = known.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("top"), F.col("distance").alias("more"))
+        longer = known.join(up, "ancestor").select("child", F.col("top").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance"))
+        known = checkpointed(known.unionByName(longer).groupBy("child", "ancestor").agg(F.min("distance").alias("distance")))
+
+
+def impacts(up: DataFrame) -> DataFrame:
+    """(root, affected, depth) of a closure: how many nodes each one reaches, and the farthest."""
+    return up.groupBy(F.col("ancestor").alias("root")).agg(F.count_distinct("child").alias("affected"), F.max("distance").alias("depth"))

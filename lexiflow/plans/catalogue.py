@@ -2,38 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lexiflow.operators import dictionary, grammar, html, intervals, patterns, snapshots, text
+from lexiflow.plans.registry import ORACLES, QUERIES, query
 from lexiflow.plans.sql import LINES, PIECES, TOKENS, VOCABULARY, WORD, WORDS, with_
 from lexiflow.sources import tables
 from lexiflow.streaming import session
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def query(oracle: str | None = None):
-    """Register a function (tables by name -> DataFrame) under its own name."""
-
-    def register(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: tables.table(spark, sf_dir, name))
-
-        run.__doc__ = f.__doc__
-        QUERIES[f.__name__] = run
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return register
-
-
 def both(name: str, sql: str) -> None:
     """Register a query that is the same SQL text for both engines."""
 
@@ -48,14 +29,6 @@ def vocabulary(t) -> DataFrame:
     return text.words(t("benchmark").withColumnRenamed("item_id", "doc_id")).select("w").distinct()
 
 
-def odd(df: DataFrame) -> DataFrame:
-    return df.where(F.pmod("doc_id", F.lit(2)) == 1)
-
-
-def even(df: DataFrame) -> DataFrame:
-    return df.where(F.pmod("doc_id", F.lit(2)) == 0)
-
-
 # text ---------------------------------------------------------------------------------------------------------------
 
 
@@ -125,47 +98,26 @@ def stable_token_ids(t):
 
 @query(with_(WORDS, query="select w, cast(row_number() over (order by w) as bigint) as code, n from (select w, count(*) as n from words group by w)"))
 def string_interning(t):
-    """SNK-11: a number for each string. Ranks come from range partitions' counts, not from one global window."""
-    rows = dictionary.exposures(text.words(t("documents")))
-    parts = rows.repartitionByRange("w").withColumn("p", F.spark_partition_id())
-    parts = parts.withColumn("k", F.row_number().over(W.partitionBy("p").orderBy("w")))
-    sizes = parts.groupBy("p").agg(F.count("*").alias("c"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.expr("b.p < a.p"), "left").groupBy("a.p").agg(F.coalesce(F.sum("b.c"), F.lit(0)).alias("before"))
-    return parts.join(F.broadcast(before), "p").select("w", (F.col("before") + F.col("k")).alias("code"), "n")
+    """SNK-11: a number for each string."""
+    return dictionary.interned(dictionary.exposures(text.words(t("documents"))), "w", "code")
 
 
 # profile and dictionary ---------------------------------------------------------------------------------------------
 
-_EVEN, _ODD = (f"words where doc_id % 2 = {k}" for k in (0, 1))
+@query(with_(WORDS, query="select w, count(*) as n from words group by w"))
+def token_exposure(t):
+    """AGG-1: exposures of all documents."""
+    return dictionary.exposures(text.words(t("documents")))
 
 
-@query(with_(WORDS, query=f"select w, count(*) as n from {_EVEN} group by w"))
-def token_exposure(t):
-    """AGG-1: exposures of one half of the corpus."""
-    return dictionary.exposures(text.words(even(t("documents"))))
+def _half(doc_id: str = "doc_id"):
+    return F.coalesce(F.pmod(F.col(doc_id), F.lit(2)), F.lit(0))
 
 
 @query(with_(WORDS, query="select w, count(*) as n from words group by w"))
 def exposure_upsert(t):
-    """DML-1: two halves merged; equal to counting the whole."""
-    return dictionary.upserted(*(dictionary.exposures(text.words(f(t("documents")))) for f in (even, odd)))
-
-
-_NOVELTY = f"""prof as (select w, count(*) as n from {_EVEN} group by w), nov as (select doc_id, w, times, round(0.5 + 0.5 * exp(-coalesce(n, 0) / 5.0), 6) as novelty from (select doc_id, w, count(*) as times from {_ODD} group by doc_id, w) left join prof using (w))"""
-
-
-@query(with_(WORDS, _NOVELTY, query="select doc_id, w, times, novelty, novelty < 0.55 as known from nov"))
-def novelty_score(t):
-    """JOIN-10, SCL-9: novelty of each word of a document."""
-    docs = t("documents")
-    return dictionary.novelty(text.words(odd(docs)), dictionary.exposures(text.words(even(docs))))
-
-
-@query(with_(WORDS, _NOVELTY, query="select doc_id, count(*) as n_words, cast(sum(round(novelty * 1000000)) as bigint) as millionths, round(sum(case when novelty < 0.55 then times else 0 end) / sum(times), 6) as known_rate from nov group by doc_id"))
-def novelty_by_doc(t):
-    """JOIN-10, AGG-2: known rate of each document."""
-    docs = t("documents")
-    return _known_rate(dictionary.novelty(text.words(odd(docs)), dictionary.exposures(text.words(even(docs)))))
+    """DML-1: two parts of the corpus counted apart and merged; equal to counting the whole."""
+    return dictionary.upserted(*(dictionary.exposures(text.words(t("documents").where(_half() == k))) for k in (0, 1)))
 
 
 def _known_rate(rows: DataFrame) -> DataFrame:
@@ -177,19 +129,18 @@ nov as (select doc_id, own.w as w, times, round(0.5 + 0.5 * exp(-coalesce(n, 0)
 
 
 def _novelty_of_all(t) -> DataFrame:
-    half = F.coalesce(F.pmod("doc_id", F.lit(2)), F.lit(0))
-    a, b = (text.words(t("documents").where(half == k)) for k in (0, 1))
+    a, b = (text.words(t("documents").where(_half() == k)) for k in (0, 1))
     return dictionary.novelty(b, dictionary.exposures(a)).unionByName(dictionary.novelty(a, dictionary.exposures(b)))
 
 
 @query(with_(WORDS, _WHOLE, query="select doc_id, w, times, novelty, novelty < 0.55 as known from nov"))
-def novelty_score_all(t):
+def novelty_score(t):
     """JOIN-10, SCL-9: novelty of each word of every document, each half of the corpus against the other's exposures."""
     return _novelty_of_all(t)
 
 
 @query(with_(WORDS, _WHOLE, query="select doc_id, count(*) as n_words, cast(sum(round(novelty * 1000000)) as bigint) as millionths, round(sum(case when novelty < 0.55 then times else 0 end) / sum(times), 6) as known_rate from nov group by doc_id"))
-def novelty_by_doc_all(t):
+def novelty_by_doc(t):
     """JOIN-10, AGG-2: known rate of every document, each half of the corpus against the other's exposures."""
     return _known_rate(_novelty_of_all(t))
 
@@ -479,19 +430,26 @@ def changed_keys(t):
     return rows.where("a <> b").select("l_orderkey")
 
 
-_STAGES = "(values ('clean', 'source'), ('segments', 'clean'), ('morphemes', 'segments'), ('formations', 'morphemes'), ('lexical', 'morphemes'), ('phrases', 'formations'), ('phrases', 'lexical'), ('grammar', 'phrases'), ('novelty', 'phrases'), ('expressions', 'grammar'))"
+_TURNS = "n as (select conv_id || '#' || turn as node, conv_id, row_number() over (partition by conv_id order by turn) as k from (select distinct conv_id, turn from conversations))"
+
 
+def _replies(t) -> DataFrame:
+    """(child, parent): each turn of a conversation and the one before it."""
+    node = F.concat_ws("#", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    w = W.partitionBy("conv_id").orderBy("turn")
+    return t("conversations").select("conv_id", "turn").distinct().select(node.alias("child"), F.lag(node).over(w).alias("parent"))
 
-def _edges(spark: SparkSession) -> DataFrame:
-    return spark.sql(f"select * from values {_STAGES[8:-1]} as e(child, parent)")
 
+@query(with_(_TURNS, query="select c.node as child, p.node as ancestor, cast(c.k - p.k as bigint) as distance from n c join n p on p.conv_id = c.conv_id and p.k < c.k"))
+def causal_parents(t):
+    """JOIN-18, JOIN-21: all causes of each turn, by transitive closure."""
+    return snapshots.closure(_replies(t))
 
-_CLOSURE = f"up as (select child, parent as ancestor, 1 as distance from {_STAGES} e(child, parent) union all select up.child, e.parent, up.distance + 1 from up join {_STAGES} e(child, parent) on e.child = up.ancestor)"
 
-QUERIES["causal_parents"] = lambda spark, d: snapshots.closure(spark, _edges(spark))  # JOIN-18, JOIN-21, STR-7
-ORACLES["causal_parents"] = f"with recursive {_CLOSURE} select child, ancestor, cast(min(distance) as bigint) as distance from up group by child, ancestor"
-QUERIES["root_impacts"] = lambda spark, d: snapshots.closure(spark, _edges(spark)).groupBy(F.col("ancestor").alias("root")).agg(F.count_distinct("child").alias("affected"), F.max("distance").alias("depth"))  # AGG-16
-ORACLES["root_impacts"] = f"with recursive {_CLOSURE} select ancestor as root, count(distinct child) as affected, cast(max(d) as bigint) as depth from (select child, ancestor, min(distance) as d from up group by child, ancestor) group by ancestor"
+@query(with_(_TURNS, query="select node as root, cast(max(k) over (partition by conv_id) - k as bigint) as affected, cast(max(k) over (partition by conv_id) - k as bigint) as depth from n qualify max(k) over (partition by conv_id) > k"))
+def root_impacts(t):
+    """AGG-16: what each cause affects, and how far."""
+    return snapshots.impacts(snapshots.closure(_replies(t)))
 
 
 @query(with_(_BEFORE, _AFTER, _CHANGES, query="""select rule, value > most as violated, case when value > most and blocking then 'blocked' when value > most then 'review_required' else 'passed' end as verdict from (

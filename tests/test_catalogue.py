@@ -25,7 +25,7 @@ def test_novelty_covers_every_document_with_words(spark, con):
     import __spark_entry__
 
     assert {r.doc_id for r in __spark_entry__.entry(spark).collect()} == want
-    assert {r.doc_id for r in catalogue.QUERIES["novelty_score_all"](spark, SF).select("doc_id").distinct().collect()} == want
+    assert {r.doc_id for r in catalogue.QUERIES["novelty_score"](spark, SF).select("doc_id").distinct().collect()} == want
 
 
 def test_pair_unmatched_takes_all_orders(spark, con):

@@ -176,3 +176,29 @@ def test_cache(spark, tmp_path):
     for _ in range(2):
         assert cache.cached(spark, str(tmp_path), "text", "v1", compute).count() == 3
     assert len(calls) == 1 and cache.cached(spark, str(tmp_path), "text", "v2", compute).count() == 3 and len(calls) == 2
+
+
+def test_interning_of_many_partitions(spark, tmp_path):
+    """Codes are the ranks whatever the number of partitions, written out or not."""
+    from lexiflow.operators import dictionary
+
+    words = spark.range(20_000).selectExpr("concat('w', hex(xxhash64(id))) as w", "id as n")
+    want = {w: k + 1 for k, w in enumerate(sorted(r.w for r in words.collect()))}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("8", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            dictionary.interned(words, "w", "code").write.parquet(f"{tmp_path}/{n}")
+            assert {r.w: r.code for r in spark.read.parquet(f"{tmp_path}/{n}").collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_closure_of_long_chains_and_cycles(spark):
+    from lexiflow.operators import snapshots
+
+    edges = spark.createDataFrame([(k, k + 1) for k in range(50)] + [(100, 101), (101, 102), (102, 100), (5, None)], "child long, parent long")
+    rows = {(r.child, r.ancestor): r.distance for r in snapshots.closure(edges).collect()}
+    want = {(a, b): b - a for a in range(51) for b in range(a + 1, 51)} | {(100 + a, 100 + (a + d) % 3): d for a in range(3) for d in (1, 2, 3)}
+    assert rows == want
+    assert snapshots.closure(edges.where("false")).collect() == []
