@@ -2,44 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-from functools import cache, reduce
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiflow.sources.shared import checkpointed, shared_folder  # noqa: F401  (operators take them from here)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table of that name."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a local session gets a temporary one; on a cluster that's an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return _local_folder()
-
-
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="lexiflow-")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
-
-    The folder is ``spark.checkpoint.dir`` of the session (see ``shared_folder``).
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def remainder(id_col: str, of: int) -> Column:
     """crc32 of the id as text, modulo ``of``; null for a null id."""
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(of))
