@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiflow.llm import decontaminate, minhash, secrets, sentencepiece_bpe, toxicity
-from lexiflow.llm.common import held_out, outside, shared_folder, table
+from lexiflow.llm.common import held_out, outside, table
+from lexiflow.sources.shared import removed, shared_folder
 
 ORACLE_SQL = None
 #: Documents that score this or more are rejected.
@@ -93,9 +94,3 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             removed(spark, before)
         before = path
     return docs
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    """Delete a folder, wherever the session's file systems have it."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
