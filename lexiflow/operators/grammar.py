@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import deque
+from itertools import combinations
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,17 +35,37 @@ def refine(rows: list[dict]) -> list[str]:
 
     An accepted occurrence with a higher priority that refines a concept
     rejects overlapping occurrences of it; in one conflict group the higher
-    priority demotes overlapping ones to pending.
+    priority demotes overlapping ones to pending. Only occurrences that refine
+    the same concept, or are of the same group, are looked at, in the order of
+    their starts and no farther than an overlap can reach.
     """
     status = [r["status"] for r in rows]
+    by: dict[tuple[str, str], list[tuple[int, int]]] = {}
+    for j, o in enumerate(rows):
+        for kind in ("refines", "conflict_group"):
+            if o[kind] is not None:
+                by.setdefault((kind, o[kind]), []).append((o["start"], j))
+    widest = {}
+    for key, own in by.items():
+        own.sort()
+        widest[key] = max(rows[j]["end"] - rows[j]["start"] for _, j in own)
+
+    def beaten(i: int, key: tuple[str, str | None]) -> bool:
+        r, own = rows[i], by.get(key, [])
+        low = bisect_left(own, (r["start"] - widest.get(key, 0), -1))
+        for start, j in own[low:]:
+            if start >= r["end"]:
+                break
+            o = rows[j]
+            if j != i and status[j] == "accepted" and o["priority"] > r["priority"] and r["start"] < o["end"]:
+                return True
+        return False
+
     for i, r in enumerate(rows):
-        for j, o in enumerate(rows):
-            if i == j or status[j] != "accepted" or o["priority"] <= r["priority"] or not (o["start"] < r["end"] and r["start"] < o["end"]):
-                continue
-            if o["refines"] is not None and o["refines"] == r["concept"]:
-                status[i] = "rejected"
-            elif status[i] == "accepted" and o["conflict_group"] is not None and o["conflict_group"] == r["conflict_group"]:
-                status[i] = "pending"
+        if beaten(i, ("refines", r["concept"])):
+            status[i] = "rejected"
+        elif status[i] == "accepted" and r["conflict_group"] is not None and beaten(i, ("conflict_group", r["conflict_group"])):
+            status[i] = "pending"
     return status
 
 
@@ -62,15 +86,36 @@ def refined(occurrences: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def pair(before: list[dict], after: list[dict]) -> list[tuple[int, int, int]]:
-    """(before, after, cost): each before, in order of key, with the unused after that differs in the fewest fields; of equal ones the first."""
-    used: set[int] = set()
+    """(before, after, cost): each before, in order of key, with the unused after that differs in the fewest fields; of equal ones the first.
+
+    Afters wait in a queue for each choice of fields and their values, so a
+    before looks at the heads of a few queues instead of at all afters.
+    """
+    if not before or not after:
+        return []
+    n = len(after[0]["fields"])
+    kept = sorted((c for k in range(n + 1) for c in combinations(range(n), k)), key=lambda c: -len(c))
+    queues: list[dict[tuple, deque[int]]] = []
+    for c in kept:
+        waiting: dict[tuple, deque[int]] = {}
+        for k, a in enumerate(after):
+            waiting.setdefault(tuple(a["fields"][f] for f in c), deque()).append(k)
+        queues.append(waiting)
+    used = [False] * len(after)
     out = []
     for b in before:
-        costs = [(sum(x != y for x, y in zip(b["fields"], a["fields"])), k) for k, a in enumerate(after) if k not in used]
-        if costs:
-            cost, k = min(costs)
-            used.add(k)
-            out.append((b["key"], after[k]["key"], cost))
+        found: tuple[int, int] | None = None
+        for c, waiting in zip(kept, queues):
+            if found and n - len(c) > found[0]:
+                break
+            queue = waiting.get(tuple(b["fields"][f] for f in c))
+            while queue and used[queue[0]]:
+                queue.popleft()
+            if queue and (found is None or queue[0] < found[1]):
+                found = (n - len(c), queue[0])
+        if found:
+            used[found[1]] = True
+            out.append((b["key"], after[found[1]]["key"], found[0]))
     return out
 
 

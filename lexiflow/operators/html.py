@@ -107,14 +107,23 @@ def _clean(page: str | None) -> str:
     return "".join(parser.out).encode()[:LIMIT].decode("utf-8", "ignore")
 
 
-_BLOCK = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())]))
+_BLOCK = T.ArrayType(T.StructType([T.StructField("block_no", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("text", T.StringType())]))
+
+
+def _placed(page: str | None) -> list[dict]:
+    at, out = 0, []
+    for k, (kind, text) in enumerate(_blocks(page)):
+        out.append({"block_no": k + 1, "kind": kind, "start": at, "text": text})
+        at += len(text) + 1
+    return out
 
 
 @F.arrow_udf(_BLOCK)
 def blocks_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string())]))
+    """Visible blocks of each page and where they lie in the joined text."""
+    kind = pa.list_(pa.struct([("block_no", pa.int64()), ("kind", pa.string()), ("start", pa.int64()), ("text", pa.string())]))
     for b in batches:
-        yield pa.array([[{"kind": k, "text": t} for k, t in _blocks(x.as_py())] for x in b], kind)
+        yield pa.array([_placed(x.as_py()) for x in b], kind)
 
 
 @F.arrow_udf(T.StringType())
@@ -125,9 +134,7 @@ def sanitized(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def reader_blocks(pages: DataFrame) -> DataFrame:
     """(page_id, block_no, kind, start, text): visible blocks with the place of their first code point in the joined text."""
-    rows = pages.select("page_id", blocks_of("html").alias("b"))
-    placed = F.transform("b", lambda x, k: F.struct((k + 1).cast("long").alias("block_no"), x["kind"].alias("kind"), F.aggregate(F.slice(F.col("b"), 1, k), F.lit(0).cast("long"), lambda s, y: s + F.length(y["text"]) + 1).alias("start"), x["text"].alias("text")))
-    return rows.select("page_id", F.explode(placed).alias("p")).select("page_id", "p.*")
+    return pages.select("page_id", F.explode(blocks_of("html")).alias("p")).select("page_id", "p.*")
 
 
 def page_text(pages: DataFrame) -> DataFrame:

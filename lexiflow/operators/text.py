@@ -54,10 +54,44 @@ def segments(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(pieces_of("text")).alias("p")).select("doc_id", "p.*")
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, surface, w, start, end, sent, line): words, counted from 0 in each document; w is lower case."""
-    words = F.transform(F.filter(pieces_of("text"), lambda p: p["kind"] == "word"), lambda p, k: F.struct(k.cast("long").alias("pos"), p["surface"].alias("surface"), F.lower(p["surface"]).alias("w"), p["start"].alias("start"), p["end"].alias("end"), p["sent"].alias("sent"), p["line"].alias("line")))
-    return docs.select("doc_id", F.explode(words).alias("t")).select("doc_id", "t.*")
+_TOKEN = {"pos": T.LongType(), "surface": T.StringType(), "w": T.StringType(), "start": T.LongType(), "end": T.LongType(), "sent": T.LongType(), "line": T.LongType(), "column": T.LongType()}
+
+
+def _words_of(least: int):
+    """Arrow UDF: words of ``least`` letters or more of each text; others are counted, but never leave Python."""
+
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField(n, kind) for n, kind in _TOKEN.items()])))
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        first = set(re.findall(f"[{WORD}]", "".join(map(chr, range(256)))))
+        for b in batches:
+            columns: dict[str, list] = {n: [] for n in _TOKEN}
+            add = [columns[n].append for n in _TOKEN]
+            offsets = [0]
+            for t in b:
+                sent = line = at = begin = pos = 0
+                for s in PIECE.findall(t.as_py() or ""):
+                    end = at + len(s)
+                    if s[0] in first:
+                        if len(s) >= least:
+                            for put, x in zip(add, (pos, s, s.lower(), at, end, sent, line, at - begin)):
+                                put(x)
+                        pos += 1
+                    else:
+                        sent += len(ENDS.findall(s))
+                        if s == "\n":
+                            line += 1
+                            begin = end
+                    at = end
+                offsets.append(len(columns["pos"]))
+            values = [pa.array(columns[n], pa.int64() if kind == T.LongType() else pa.string()) for n, kind in _TOKEN.items()]
+            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(values, list(_TOKEN)))
+
+    return found
+
+
+def tokens(docs: DataFrame, least: int = 1) -> DataFrame:
+    """(doc_id, pos, surface, w, start, end, sent, line, column): words of ``least`` letters or more, counted from 0 in each document among all words; w is lower case."""
+    return docs.select("doc_id", F.explode(_words_of(least)("text")).alias("t")).select("doc_id", "t.*")
 
 
 def words(docs: DataFrame) -> DataFrame:

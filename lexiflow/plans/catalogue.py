@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lexiflow.operators import dictionary, grammar, html, intervals, patterns, snapshots, text
+from lexiflow.operators import dictionary, grammar, html, intervals, matching, snapshots, text
 from lexiflow.plans.registry import ORACLES, QUERIES, query
 from lexiflow.plans.sql import LINES, PIECES, TOKENS, VOCABULARY, WORD, WORDS, with_
 from lexiflow.sources import tables
@@ -231,29 +231,30 @@ union all select doc_id, 'prep_art', pos, 2, w || ' ' || w1 from a where w in ('
 union all select doc_id, 'the_any_of', pos, 3, w || ' ' || w1 || ' ' || w2 from a where w = 'the' and w1 is not null and w2 = 'of'"""))
 def contiguous_pattern(t):
     """SEQ-10: rules over adjacent words."""
-    a = patterns.atom
-    return patterns.contiguous(text.tokens(t("documents")), {"of_the": [a("of"), a("the")], "prep_art": [a("in for with"), a("the a")], "the_any_of": [a("the"), a(None), a("of")]})
+    a = matching.atom
+    rules = [matching.Rule("of_the", (a("of"), a("the"))), matching.Rule("prep_art", (a("in for with"), a("the a"))), matching.Rule("the_any_of", (a("the"), a(None), a("of")))]
+    return matching.matches(t("documents"), rules).drop("captures")
 
 
 @query(with_(TOKENS, _AHEAD, query="""select doc_id, 'the_of' as rule_id, pos as start_pos, 2::bigint as width, w || ' ' || w1 as surface from a where w in ('the', 'and') and w1 = 'of'
 union all select doc_id, 'the_of', pos, 3, w || ' ' || w1 || ' ' || w2 from a where w in ('the', 'and') and w1 in ('the', 'and') and w2 = 'of'
 union all select doc_id, 'the_of', pos, 4, w || ' ' || w1 || ' ' || w2 || ' ' || w3 from a where w in ('the', 'and') and w1 in ('the', 'and') and w2 in ('the', 'and') and w3 = 'of'"""))
 def repeat_pattern(t):
-    """SEQ-5: bounded repetition, as variants of fixed length."""
-    return patterns.contiguous(text.tokens(t("documents")), {"the_of": [patterns.atom("the and", 1, 3), patterns.atom("of")]})
+    """SEQ-5: bounded repetition, every count that fits."""
+    return matching.matches(t("documents"), [matching.Rule("the_of", (matching.atom("the and", 1, 3), matching.atom("of")))]).drop("captures")
 
 
 @query(with_(TOKENS, _AHEAD, query="""select doc_id, 'to_the_of' as rule_id, pos as start_pos, 2::bigint as width, w || ' ' || w1 as surface from a where w = 'to' and w1 in ('of', 'and')
 union all select doc_id, 'to_the_of', pos, 3, w || ' ' || w1 || ' ' || w2 from a where w = 'to' and w1 = 'the' and w2 in ('of', 'and')"""))
 def optional_atom_pattern(t):
     """SEQ-7: an optional atom."""
-    return patterns.contiguous(text.tokens(t("documents")), {"to_the_of": [patterns.atom("to"), patterns.atom("the", 0, 1), patterns.atom("of and")]})
+    return matching.matches(t("documents"), [matching.Rule("to_the_of", (matching.atom("to"), matching.atom("the", 0, 1), matching.atom("of and")))]).drop("captures")
 
 
 @query(with_(TOKENS, query="select h.doc_id, h.pos as head_pos, min(x.pos) as tail_pos from tok h join tok x on x.doc_id = h.doc_id and x.sent = h.sent and x.w = 'and' and x.pos between h.pos + 3 and h.pos + 7 where h.w = 'the' group by h.doc_id, h.pos"))
 def gap_pattern_nearest(t):
-    """SEQ-11, SEQ-13, JOIN-16: the nearest tail in a gap, as a range window."""
-    return patterns.nearest_gap(text.tokens(t("documents")), "the", "and", 2, 6)
+    """SEQ-11, JOIN-16: the nearest tail in a gap."""
+    return matching.nearest(t("documents"), frozenset(["the"]), frozenset(["and"]), 2, 6)
 
 
 @query("select u.conv_id, u.turn as user_turn, min(a.turn) as answer_turn from conversations u join conversations a on a.conv_id = u.conv_id and a.role = 'assistant' and a.turn > u.turn where u.role = 'user' group by u.conv_id, u.turn")
@@ -266,9 +267,7 @@ def conversation_followup(t):
 
 
 def _grams(t) -> DataFrame:
-    rows = text.tokens(t("benchmark").withColumnRenamed("item_id", "doc_id"))
-    nxt = F.lead("w").over(W.partitionBy("doc_id", "sent").orderBy("pos"))
-    return rows.select(F.when(nxt.isNotNull(), F.concat_ws(" ", "w", nxt)).alias("gram")).where("gram is not null").distinct()
+    return matching.grams(t("benchmark").withColumnRenamed("item_id", "doc_id"), 2)
 
 
 _GRAMS = TOKENS.replace("documents", "(select item_id as doc_id, text from benchmark) b").replace("pieces", "bpieces").replace("placed", "bplaced").replace("tok as", "btok as") + ", grams as (select distinct w || ' ' || nxt as gram from (select w, lead(w) over (partition by doc_id, sent order by pos) as nxt from btok) where nxt is not null)"
@@ -277,7 +276,75 @@ _GRAMS = TOKENS.replace("documents", "(select item_id as doc_id, text from bench
 @query(with_(TOKENS, _AHEAD, _GRAMS, query="select doc_id, pos, w || ' ' || w1 as gram from a where w1 is not null and w || ' ' || w1 in (select gram from grams)"))
 def ngram_dictionary_windows(t):
     """SEQ-14, SEQ-6: windows of two words that are entries."""
-    return patterns.windows_in(text.tokens(t("documents")), _grams(t), 2)
+    return matching.windows(t("documents"), _grams(t), 2)
+
+
+_GRAMS3 = ", ".join([_GRAMS, "grams3 as (select distinct w || ' ' || n1 || ' ' || n2 as gram from (select w, lead(w) over x as n1, lead(w, 2) over x as n2 from btok window x as (partition by doc_id, sent order by pos)) where n2 is not null)"])
+
+
+@query(with_(TOKENS, _AHEAD, _GRAMS3, "h3 as (select doc_id, pos, w || ' ' || w1 || ' ' || w2 as gram from a where w2 is not null and w || ' ' || w1 || ' ' || w2 in (select gram from grams3))", "h2 as (select doc_id, pos, w || ' ' || w1 as gram from a where w1 is not null and w || ' ' || w1 in (select gram from grams))", query="select * from h3 union all select * from h2 where not exists (select 1 from h3 where h3.doc_id = h2.doc_id and h3.pos in (h2.pos, h2.pos - 1))"))
+def dictionary_windows_claimed(t):
+    """SEQ-14, INT-3: longer windows first, none within one that is taken."""
+    bench = t("benchmark").withColumnRenamed("item_id", "doc_id")
+    entries = matching.grams(bench, 3).unionByName(matching.grams(bench, 2))
+    return matching.windows(t("documents"), entries, 3, claim=True)
+
+
+@query(with_(TOKENS, _AHEAD, query="""select doc_id, pos as start_pos, 3::bigint as width, w1 as taken from a where w = 'the' and w1 is not null and w2 = 'of' union all select doc_id, pos, 4, w1 || ' ' || w2 from a where w = 'the' and w1 is not null and w2 is not null and w3 = 'of'"""))
+def rule_captures(t):
+    """SEQ-5: what the atoms of a rule take."""
+    rule = matching.Rule("the_x_of", (matching.atom("the"), matching.atom(None, 1, 2, "x"), matching.atom("of")))
+    return matching.matches(t("documents"), [rule]).select("doc_id", "start_pos", "width", F.col("captures")[0]["value"].alias("taken"))
+
+
+_SKIP = "('the', 'a', 'of')"
+
+
+@query(with_(TOKENS, _AHEAD, query=f"""select doc_id, pos as start_pos, case when w1 = 'and' then 2 when w2 = 'and' then 3 else 4 end::bigint as width from a where w = 'to' and (w1 = 'and' or w1 in {_SKIP} and w2 = 'and' or w1 in {_SKIP} and w2 in {_SKIP} and w3 = 'and')"""))
+def intervening_particles(t):
+    """SEQ-7: up to two particles may stand between the atoms."""
+    rule = matching.Rule("to_and", (matching.atom("to"), matching.atom("and")), frozenset(["the", "a", "of"]), 2)
+    return matching.matches(t("documents"), [rule]).select("doc_id", "start_pos", "width")
+
+
+_CONTENT = "c as (select doc_id, pos, sent, w, lead(w) over p as w1, lead(pos) over p as pos1 from tok where length(w) >= 4 window p as (partition by doc_id, sent order by pos))"
+
+
+@query(with_(TOKENS, _CONTENT, _GRAMS, "pairs as (select distinct w || ' ' || w1 as gram from (select w, lead(w) over (partition by doc_id, sent order by pos) as w1 from btok where length(w) >= 4) where w1 is not null)", query="select doc_id, pos as start_pos, pos1 - pos + 1 as width, w || ' ' || w1 as surface from c where w1 is not null and w || ' ' || w1 in (select gram from pairs)"))
+def user_expressions(t):
+    """SEQ-12: rules of a table over content words, others between them aren't seen."""
+    pairs = matching.grams(t("benchmark").withColumnRenamed("item_id", "doc_id"), 2, 4)
+    word = lambda k: F.create_map(F.lit("words"), F.array(F.split("gram", " ")[k]))
+    table = pairs.select(F.sha2("gram", 256).alias("rule_id"), F.to_json(F.struct(F.array(word(0), word(1)).alias("atoms"))).alias("pattern"))
+    return matching.matches(t("documents"), matching.rules_of(table), content=4).select("doc_id", "start_pos", "width", "surface")
+
+
+@query(with_(TOKENS, "c as (select *, row_number() over (partition by doc_id order by pos) as k from tok where length(w) >= 4)", query="select h.doc_id, h.pos as head_pos, min(x.pos) as tail_pos from c h join c x on x.doc_id = h.doc_id and x.sent = h.sent and x.w in ('with', 'from') and x.k between h.k + 1 and h.k + 6 where h.w in ('that', 'this') group by h.doc_id, h.pos"))
+def user_gap_rules(t):
+    """SEQ-13: heads and tails with up to five content words between, in one sentence."""
+    return matching.nearest(t("documents"), frozenset(["that", "this"]), frozenset(["with", "from"]), 0, 5, content=4)
+
+
+@query(with_(TOKENS, _AHEAD, query="""select doc_id, pos + k as pos, case k when 0 then 'start' when 2 then 'end' else 'middle' end as position from a, unnest([0, 1, 2]) as u(k) where w = 'the' and w1 is not null and w2 = 'of' union all select doc_id, pos, 'single' from a where w = 'because'"""))
+def expression_positions(t):
+    """PRJ-24: the place of each word in its expression."""
+    a = matching.atom
+    rules = [matching.Rule("the_x_of", (a("the"), a(None), a("of"))), matching.Rule("because", (a("because"),))]
+    return matching.positions(matching.matches(t("documents"), rules)).select("doc_id", "pos", "position")
+
+
+@query(with_(TOKENS, "z as (select *, max(case when length(w) >= 9 then pos end) over (partition by doc_id, sent) as last_long, lead(w) over (partition by doc_id, sent order by pos) as w1 from tok)", query="select doc_id, pos as start_pos from z where w = 'in' and w1 = 'the' and last_long > pos + 1"))
+def following_content(t):
+    """SEQ-10, SEQ-15: expressions that content must follow before the sentence ends."""
+    return matching.matches(t("documents"), [matching.Rule("in_the", (matching.atom("in"), matching.atom("the")), follow=9)]).select("doc_id", "start_pos")
+
+
+@query(with_(TOKENS, _AHEAD, query="""select doc_id, pos as start_pos, case when w2 = 'and' then 3 else 2 end::bigint as width from a where w = 'of' and w1 = 'the'"""))
+def longest_merge_rule(t):
+    """SEQ-16, DML-7: of merge rules that begin at one word, the longest."""
+    a = matching.atom
+    rules = [matching.Rule("of_the", (a("of"), a("the"))), matching.Rule("of_the_and", (a("of"), a("the"), a("and")))]
+    return matching.longest(matching.matches(t("documents"), rules)).select("doc_id", "start_pos", "width")
 
 
 @query(with_(TOKENS, _AHEAD, query="select doc_id, case when w1 is null then 'no_follower' when w1 in ('of', 'and') then 'rejected' else 'accepted' end as status, count(*) as n from a where w = 'the' group by 1, 2"))
@@ -294,7 +361,7 @@ def negative_context_reject(t):
 
 def _ranges(t) -> DataFrame:
     """Ranges around long words: id is their place."""
-    rows = text.tokens(t("documents")).where(F.length("w") >= 9)
+    rows = text.tokens(t("documents"), 9)
     return rows.select("doc_id", "sent", F.greatest(F.col("start") - F.length("w"), F.lit(0)).alias("start"), (F.col("end") + F.pmod("pos", F.lit(7)) * 3).alias("end"), F.col("pos").alias("id"))
 
 
@@ -351,12 +418,17 @@ def best_path_segmentation(t):
 
 @query(with_(TOKENS, LINES, query="select t.doc_id, l.line_no, count(*) as n, min(t.start - l.start) as first_column from tok t join lines l on l.doc_id = t.doc_id and t.start >= l.start and t.start < l.start + length(l.line) + 1 group by 1, 2"))
 def point_in_range_join(t):
-    """JOIN-13, JOIN-14, INT-12: tokens to the lines that hold them; starts and points are merged in one sorted pass."""
-    lines = tables.lines(t("documents")).select("doc_id", F.col("start").alias("at"), F.struct("line_no", F.col("start").alias("from")).alias("l"))
-    points = text.tokens(t("documents")).select("doc_id", F.col("start").alias("at"), F.lit(None).cast("struct<line_no:bigint,from:bigint>").alias("l"))
-    w = W.partitionBy("doc_id").orderBy("at", F.col("l").isNull()).rowsBetween(W.unboundedPreceding, 0)
-    rows = lines.withColumn("point", F.lit(False)).unionByName(points.withColumn("point", F.lit(True))).withColumn("l", F.last("l", ignorenulls=True).over(w)).where("point")
-    return rows.groupBy("doc_id", F.col("l.line_no").alias("line_no")).agg(F.count("*").alias("n"), F.min(F.col("at") - F.col("l.from")).alias("first_column"))
+    """JOIN-13, JOIN-14, INT-12: tokens to the lines that hold them; a token carries its line, so no ranges are joined."""
+    rows = text.tokens(t("documents")).groupBy("doc_id", F.col("line").alias("line"))
+    return rows.agg(F.count("*").alias("n"), F.min("column").alias("first_column")).select("doc_id", (F.col("line") + 1).alias("line_no"), "n", "first_column")
+
+
+@query(with_(TOKENS, LINES, "d as (select t.doc_id, l.line_no, t.pos from tok t join lines l on l.doc_id = t.doc_id and t.start >= l.start and t.start < l.start + length(l.line) + 1 where length(t.w) >= 9)", query="select doc_id, pos, line_no from d"))
+def points_to_ranges(t):
+    """JOIN-14, INT-12: any points to the ranges that hold them; ranges and points go through one sorted pass."""
+    docs = t("documents")
+    lines = tables.lines(docs).select("doc_id", "start", "line_no")
+    return intervals.located(text.tokens(docs, 9).select("doc_id", F.col("start").alias("at"), "pos"), lines, ["doc_id"], "line_no").select("doc_id", "pos", "line_no")
 
 
 # snapshots ----------------------------------------------------------------------------------------------------------
@@ -522,9 +594,7 @@ both("library_upsert", "select c_custkey, greatest(a, coalesce(b, 0)) as n from
   select doc_id, sent, count(*) as cost, count(*) - cast(sum(case when length(w) >= 6 then length(w) * length(w) else 0 end) as bigint) as rank_score from tok group by doc_id, sent)) where rank <= 3"""))
 def nbest_rerank(t):
     """SEQ-4, SRT-6: sentences as candidates, reranked by their long words."""
-    rows = text.tokens(t("documents")).groupBy("doc_id", "sent").agg(F.count("*").alias("cost"), F.sum(F.when(F.length("w") >= 6, F.length("w") * F.length("w")).otherwise(0)).alias("gain"))
-    w = W.partitionBy("doc_id").orderBy(F.col("cost") - F.col("gain"), "cost", "sent")
-    return rows.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 3").select("doc_id", "sent", "cost", "rank")
+    return matching.reranked(t("documents"), 6, 3)
 
 
 @query("""select conv_id, turn, role, cast(least(length(text), 800) as bigint) as used, cast(before as bigint) as before from (select *, sum(least(length(text), 800)) over (partition by conv_id order by turn, role, text) - least(length(text), 800) as before from conversations) where before < 1600""")
