@@ -80,3 +80,32 @@ def fold_confidence(events: DataFrame, known: str, unknown: str) -> DataFrame:
     steps = events.where(F.col("event_type").isin(known, unknown)).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", (F.col("event_type") == known).alias("up")))).alias("e"))
     value = F.aggregate("e", F.lit(0.0), lambda s, x: F.when(x["up"], F.least(F.lit(1.0), s + 0.8)).otherwise(F.greatest(F.lit(0.0), s - 0.2)))
     return steps.select("user_id", F.round(value, 6).alias("confidence"))
+
+
+def stats(entries: DataFrame, keys: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(dict, entries, aliases, forms, readings): what each dictionary holds; null where it has no key or alias."""
+    count = lambda kind: F.count_distinct(F.when(F.col("kind") == kind, F.col("value")))
+    out = entries.groupBy("dict").agg(F.count("*").alias("entries"))
+    return out.join(aliases.groupBy("dict").agg(F.count("*").alias("aliases")), "dict", "left").join(keys.groupBy("dict").agg(count("form").alias("forms"), count("reading").alias("readings")), "dict", "left")
+
+
+def search_feed(keys: DataFrame) -> DataFrame:
+    """(dict, entry_id, feed): the distinct form keys of each entry, in order, in one string."""
+    return keys.where("kind = 'form'").groupBy("dict", "entry_id").agg(F.array_join(F.array_sort(F.collect_set("value")), " ").alias("feed"))
+
+
+def trigrams(word: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - 2, F.lit(1))), lambda i: F.substring(word, i, F.lit(3))))
+
+
+def substring_search(queries: DataFrame, entries: DataFrame) -> DataFrame:
+    """(query_id, dict, entry_id) of the entries whose headword holds what's wanted, of three letters or more.
+
+    A query looks up its rarest trigram only, so that common ones make no long
+    lists; what is found there is checked in full.
+    """
+    index = entries.where(F.length("headword") >= 3).select("dict", "entry_id", "headword", F.explode(trigrams(F.col("headword"))).alias("gram"))
+    sizes = index.groupBy("gram").agg(F.count("*").alias("n"))
+    asked = queries.where(F.length("wanted") >= 3).select("query_id", "wanted", F.explode(trigrams(F.col("wanted"))).alias("gram")).join(sizes, "gram", "left")
+    rarest = asked.groupBy("query_id", "wanted").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram"))
+    return rarest.join(index, "gram").where(F.contains("headword", "wanted")).select("query_id", "dict", "entry_id")

@@ -175,19 +175,6 @@ def dict_cascade_lookup(t):
     return dictionary.cascade(text.words(t("documents")).select("w").distinct(), vocabulary(t))
 
 
-_SCORE = "case when p_size <= 10 then 160 when p_size <= 25 then 120 else 105 end + case when p_type like '%STEEL%' then 45 else 0 end - case when p_retailprice > 1500 then 60 else 0 end"
-
-
-@query(f"""select p_brand, p_partkey, cast(score as bigint) as score, rank, rank = 1 and score >= 80 and score - coalesce(nxt, 0) >= 16 as preferred from (
-  select *, row_number() over w as rank, lead(score) over w as nxt from (select *, {_SCORE} as score from part) window w as (partition by p_brand order by score desc, p_partkey))""")
-def dict_rank_preferred(t):
-    """SCL-6, WIN-6, SRT-3: ranks and the preferred entry."""
-    return dictionary.ranked(t("part"), ["p_brand"], F.expr(_SCORE).cast("long"), [F.col("p_partkey")]).select("p_brand", "p_partkey", "score", "rank", "preferred")
-
-
-both("form_matrix", "select p_brand, r_name, count(l_partkey) > 0 as available, count(l_partkey) as n from (select distinct p_brand from {part}) b cross join {region} r left join (select pp.p_brand as brand, r_regionkey as rk, l_partkey from {lineitem} join {part} pp on p_partkey = l_partkey join {supplier} on s_suppkey = l_suppkey join {nation} on n_nationkey = s_nationkey join {region} on r_regionkey = n_regionkey) x on x.brand = b.p_brand and x.rk = r.r_regionkey group by p_brand, r_name")  # JOIN-9
-
-
 @query(with_(WORDS, VOCABULARY, query="select count(*) as n, cast(sum(case when v.w is null then 0 else 1 end) as bigint) as matched, round(coalesce(sum(case when v.w is null then 0 else 1 end) / nullif(count(*), 0), 1.0), 6) as coverage from words left join vocab v using (w)"))
 def coverage_audit(t):
     """AGG-2: coverage, 1 where there's nothing to cover."""
@@ -668,9 +655,9 @@ def uncovered_tokens(t):
 
 both("page_batches", "select c_custkey, cast(ceil(k / 20.0) as bigint) as page, cast(ceil(n / 20.0) as bigint) as pages from (select c_custkey, row_number() over (partition by c_nationkey order by c_custkey) as k, count(*) over (partition by c_nationkey) as n from {customer}) x")  # SRT-8
 both("size_budget", "select s_nationkey, s_suppkey from (select s_nationkey, s_suppkey, sum(case when s_acctbal between 0 and 6000 then s_acctbal else 0 end) over (partition by s_nationkey order by s_suppkey) as total, s_acctbal from {supplier}) x where s_acctbal between 0 and 6000 and total <= 20000")  # SRC-11, WIN-10
-both("user_order", "select s_suppkey, cast(row_number() over (partition by s_nationkey order by coalesce(position, 2147483647), s_acctbal desc, s_suppkey) as bigint) as place from {supplier} left join (select r_regionkey as nk, 10 - r_regionkey as position from {region}) p on nk = s_nationkey")  # SRT-4, DML-6
 both("newest_kept", "select user_id, event_id from (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id) as k from {events}) x where k <= 3")  # SNK-2, SRT-11
 both("distinct_rules", "select event_type, count(*) as n, count(distinct user_id) as users from {events} group by event_type")  # AGG-8, AGG-12
-both("form_seeds", "select l_suppkey, l_partkey, cast(240 * max(case when l_returnflag = 'N' then 1 else 0 end) + 180 * max(case when l_linestatus = 'O' then 1 else 0 end) + 40 * max(case when l_tax > 0.04 then 1 else 0 end) as bigint) as seed, count(*) as n from {lineitem} group by l_suppkey, l_partkey")  # SCL-8, AGG-9
 both("consecutive_removed", "select conv_id, turn, role from (select conv_id, turn, role, lag(role) over (partition by conv_id order by turn, role) as p from {conversations}) x where p is null or p <> role")  # WIN-9
-both("sense_confidence", "select p_partkey, cast(90 - 4 * (n - 1) as bigint) as confidence from (select p_partkey, count(*) over (partition by p_brand, p_size) as n from {part}) x")  # SCL-27
+
+
+from lexiflow.plans import lookups  # noqa: E402, F401  (register their queries here)
