@@ -45,7 +45,7 @@ HOT, SALT = 500, 32
 #: Texts that a task compares with as many others at a time.
 BLOCK = 256
 #: Word hashes that a task remembers at most.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 

@@ -33,8 +33,8 @@ NORMAL, UNKNOWN, CONTROL, BYTE = range(4)
 NEVER, NONE = 1 << 60, np.iinfo(np.int32).max
 #: Chunks of up to so many symbols are merged many at a time.
 SHORT = 48
-#: Chunks that a task remembers at most; then it forgets them all.
-REMEMBERED = 500_000
+#: Bytes of chunks and ids that a Python worker remembers at most, where each chunk counts ENTRY bytes besides its own.
+REMEMBERED, ENTRY = 64_000_000, 250
 #: Texts whose chunks are held at a time.
 SLICE = 400
 
@@ -229,19 +229,22 @@ class Memory(dict):
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary, self.odd, self.wrong = vocabulary, {}, set()
+        self.vocabulary, self.odd, self.wrong, self.size = vocabulary, {}, set(), 0
 
     def learn(self, chunks: set[str]) -> None:
         """Encode, decode and remember these; those for which the library gives other ids or another text go to ``wrong``."""
-        if len(self) > REMEMBERED:
+        if self.size > REMEMBERED:
             self.clear()
             self.odd.clear()
+            self.wrong.clear()
+            self.size = 0
         new = [c for c in chunks if c not in self]
         if not new:
             return
         v = self.vocabulary
         coded = v.merge_many(new)
         self.update(zip(new, coded))
+        self.size += sum(map(len, new)) + sum(map(len, coded)) + ENTRY * len(new)
         ids = [np.frombuffer(x, "<i4").tolist() for x in coded]
         texts = list(map(v.decode_ids, ids))
         self.odd |= {c: t for c, t in zip(new, texts) if t != c.replace(MARK, " ")}

@@ -49,8 +49,8 @@ CHAIN = 200
 WIDTH = 1 << 18
 #: Fit parameters: labelled documents of either class, precision, contexts and prior of a lexicon entry, chains kept for each document, parts of the sample.
 CLEAN, TOXIC, PRECISION, CONTEXTS, PRIOR, CHAINS_KEPT, PARTS = 2000, 2000, 0.9, 5, 0.3, 3, 2
-#: Words that a task remembers at most.
-REMEMBERED = 500_000
+#: Words or features that a task remembers at most.
+REMEMBERED = 150_000
 
 
 def features(word: str) -> list[str]:
