@@ -214,7 +214,7 @@ def lexicon(counts: DataFrame, prior: float) -> set[str]:
     """Words, beginnings and endings that mark toxic documents: those whose share of toxic documents, with ``prior`` clean ones more, is PRECISION or more."""
     summed = counts.groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_or("seen").alias("seen"))
     chosen = summed.where((F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean") + prior)) & (F.bit_count("seen") >= CONTEXTS))
-    return {r[0] for r in chosen.select("f").toLocalIterator()}
+    return {r[0] for r in chosen.select("f").collect()}
 
 
 def labelled_chains(sample: DataFrame, marks: set[str]) -> list[tuple[list[str], list[int], float]]:
@@ -240,7 +240,7 @@ def labelled_chains(sample: DataFrame, marks: set[str]) -> list[tuple[list[str],
                         tags.append((hits[a : a + n] & bool(y)).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array(tags, pa.binary()), pa.array(weights, pa.float64())], ["tokens", "tags", "weight"])
 
-    found = sample.select("y", "weight", "text").mapInArrow(run, "tokens string, tags binary, weight double").toLocalIterator()
+    found = sample.select("y", "weight", "text").mapInArrow(run, "tokens string, tags binary, weight double").collect()
     return sorted((r[0].split(" "), list(bytes(r[1])), r[2]) for r in found)
 
 
@@ -324,7 +324,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, clean: int = CLEAN, t
         tagged = []
         for k in range(PARTS):
             other = fitted(sample.where(F.col("part") != k), counts.where(F.col("part") != k))
-            tagged += sample.where(F.col("part") == k).select("y", "weight", tagger(other, True)("text").alias("s")).select("y", "weight", "s.most", "s.total").toLocalIterator()
+            tagged += sample.where(F.col("part") == k).select("y", "weight", tagger(other, True)("text").alias("s")).select("y", "weight", "s.most", "s.total").collect()
         field.curve = fit_curve(sorted(tuple(r) for r in tagged))
         return field
     finally:
