@@ -83,3 +83,9 @@ def analysed(texts: DataFrame, lexicon: DataFrame, costs: DataFrame, n: int = 1,
             yield pa.array([[{"cost": c, "morphemes": [dict(zip(("surface", "feature", "start", "end"), m)) for m in ms]} for c, ms in lattice.best(x or "", n)] for x in b.to_pylist()], _ARROW)
 
     return texts.withColumn(out, paths(F.col(text)))
+
+
+def candidates(found: DataFrame, id_col: str, paths: str = "paths") -> DataFrame:
+    """(id, rank, cost, relative_cost, morphemes): a row for each path, and how much it costs beyond the best one."""
+    rows = found.select(id_col, F.array_min(F.transform(paths, lambda p: p["cost"])).alias("_best"), F.posexplode(paths).alias("_k", "_p"))
+    return rows.select(id_col, (F.col("_k") + 1).cast("long").alias("rank"), F.col("_p.cost").alias("cost"), (F.col("_p.cost") - F.col("_best")).alias("relative_cost"), F.col("_p.morphemes").alias("morphemes"))
