@@ -15,8 +15,9 @@ named by their smallest id. The benchmark is taken in blocks of at most
 ``BLOCK`` hashes, each of which is broadcast, so that its size is bounded for
 any benchmark; only hits are shuffled.
 
-Null and empty texts overlap with nothing; documents and items with a null id
-are reported under the null id; repeated rows count once. Extra columns are ignored.
+Null and empty texts overlap with nothing; long ones are read whole; documents
+and items with a null id are reported under the null id; repeated rows count
+once; of equally good runs the one farthest left counts. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,8 +38,10 @@ LEAST, SHARE = 10, 0.6
 MISMATCH = -2
 #: Hashes of the benchmark that are broadcast at a time (about 40 bytes each).
 BLOCK = 500_000
-#: Hits (documents, items and shifts; under 600 bytes each) that are broadcast at most; beyond that they're shuffled to the documents.
-BROADCAST = 100_000
+#: Bytes of items, or of hits with their items' words, that are broadcast at most; beyond that they're shuffled.
+BYTES = 32_000_000
+#: Documents with hits (24 bytes each) whose ids are broadcast at most.
+DOCUMENTS = 1_000_000
 
 
 def unbroken(n: int) -> int:
@@ -94,7 +97,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     # the text's own hash keeps apart rows that repeat an id or have none
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("own"), F.col(text_col).alias("text"))
     given = texts.select("doc_id", "own", hashed_words(F.col("text")).alias("h"))
+    items = checkpointed(items)
     lengths = items.groupBy(F.least(F.size("item"), F.lit(SPAN))).agg(F.sum(F.size("item"))).collect()  # at most SPAN rows
+    passes = sum(-(-n * (len(MASKS) if length == SPAN else 1) // BLOCK) for length, n in lengths)
+    if passes > 1:
+        given = checkpointed(given)  # words are hashed once, however often they're looked at
     found = []
     for n, total in sorted(tuple(r) for r in lengths):
         masks = MASKS if n == SPAN else ("1" * unbroken(n),)
@@ -107,9 +114,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     if not found:
         return docs.sparkSession.createDataFrame([], RESULT)
     hits = checkpointed(reduce(DataFrame.unionByName, found).distinct())
-    beside = hits.join(items, "key").groupBy("doc_id", "own").agg(F.collect_list(F.struct("key", "item_id", "copies", "item", "shift")).alias("hits"))
-    if hits.count() <= BROADCAST:
+    size = F.size("item").cast("long") * 8 + 100
+    held = items.agg(F.sum(size)).first()[0]
+    # a hit needs its item's words; while all items are small they go to the hits, so that an item in many documents is no hot key
+    beside = hits.join(F.broadcast(items) if held <= BYTES else items, "key")
+    total = beside.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    beside = beside.groupBy("doc_id", "own").agg(F.collect_list(F.struct("key", "item_id", "copies", "item", "shift")).alias("hits"))
+    wanted = hits.select("doc_id", "own").distinct()
+    if total <= BYTES:
         beside = F.broadcast(beside)
+    else:  # only documents with hits are shuffled
+        ids = checkpointed(wanted)
+        few = F.broadcast(ids) if ids.count() <= DOCUMENTS else ids
+        texts = texts.alias("t").join(few.alias("w"), F.expr("t.doc_id <=> w.doc_id and t.own = w.own"), "left_semi")
     both = texts.alias("t").join(beside.alias("b"), F.expr("t.doc_id <=> b.doc_id and t.own = b.own")).select("t.doc_id", "hits", hashed_words(F.col("text")).alias("h"))
 
     def verified(h: Column) -> Column:
