@@ -14,6 +14,10 @@ from lexiflow.sources.shared import checkpointed
 ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaceeeeiiiinoooooouuuuyy"
 
 
+# fixed value: novelty under which a word is known
+KNOWN = 0.2
+
+
 def plain(w: Column) -> Column:
     return F.translate(w, ACCENTED, PLAIN)
 
@@ -109,3 +113,15 @@ def substring_search(queries: DataFrame, entries: DataFrame) -> DataFrame:
     asked = queries.where(F.length("wanted") >= 3).select("query_id", "wanted", F.explode(trigrams(F.col("wanted"))).alias("gram")).join(sizes, "gram", "left")
     rarest = asked.groupBy("query_id", "wanted").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram"))
     return rarest.join(index, "gram").where(F.contains("headword", "wanted")).select("query_id", "dict", "entry_id")
+
+
+def scored_novelty(words: DataFrame, profile: DataFrame, characters: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, w, times, novelty, known): half of it falls with the exposures of a word, half with what ``characters`` (w, confidence) says of it.
+
+    Words among ``known`` (w) aren't new at all; under KNOWN a word counts as known.
+    """
+    own = words.groupBy("doc_id", "w").agg(F.count("*").alias("times"))
+    rows = own.join(profile, "w", "left").join(characters, "w", "left").join(known.select("w").withColumn("_known", F.lit(True)), "w", "left")
+    value = 0.5 * (1 - F.coalesce("confidence", F.lit(0.0))) + 0.5 * F.exp(-F.coalesce("n", F.lit(0)) / F.lit(5.0))
+    rows = rows.withColumn("novelty", F.when(F.col("_known"), 0.0).otherwise(F.round(value, 6)))
+    return rows.select("doc_id", "w", "times", "novelty", (F.col("novelty") < KNOWN).alias("known"))

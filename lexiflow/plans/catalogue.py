@@ -660,4 +660,4 @@ both("distinct_rules", "select event_type, count(*) as n, count(distinct user_id
 both("consecutive_removed", "select conv_id, turn, role from (select conv_id, turn, role, lag(role) over (partition by conv_id order by turn, role) as p from {conversations}) x where p is null or p <> role")  # WIN-9
 
 
-from lexiflow.plans import lookups, morphemes, qualities, sessions  # noqa: E402, F401  (register their queries here)
+from lexiflow.plans import lookups, morphemes, qualities, readings, sessions  # noqa: E402, F401  (register their queries here)
