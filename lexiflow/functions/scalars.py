@@ -172,3 +172,86 @@ def prepared(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 def without_images(s: Column) -> Column:
     """Markdown images go."""
     return F.regexp_replace(s, r"!\[[^\]]*\]\([^)]*\)", "")
+
+
+# fixed values: marks of senses
+CIRCLED = "①②③④⑤⑥⑦⑧⑨"
+PLACEHOLDERS = "―～〜"
+
+
+def definition_note(s: Column) -> Column:
+    """What stands in brackets at the end of a definition; null without it."""
+    return F.nullif(F.regexp_extract(s, r"（([^（）]*)）\s*$", 1), F.lit(""))
+
+
+def cleaned_definition(s: Column, headword: Column) -> Column:
+    """A definition without the note at its end, with the headword for its placeholders, and with plain numbers for circled ones."""
+    body = F.trim(F.regexp_replace(s, r"（[^（）]*）\s*$", ""))
+    numbered = F.translate(body, CIRCLED, "123456789")
+    return F.replace(F.translate(numbered, PLACEHOLDERS, PLACEHOLDERS[0] * len(PLACEHOLDERS)), F.lit(PLACEHOLDERS[0]), headword)
+
+
+def plain_inline(s: Column, depth: int = 4) -> Column:
+    """Text without inline Markdown and tags: emphasis, code, links and images give their text, up to ``depth`` of them within each other; then entities are decoded."""
+    out = without_images(s)
+    for _ in range(depth):
+        out = F.regexp_replace(out, r"\[([^\[\]]*)\]\([^()]*\)", "$1")
+        out = F.regexp_replace(out, r"(\*\*|__|~~)([^*_~]+)\1", "$2")
+        out = F.regexp_replace(out, r"(\*|_|`)([^*_`]+)\1", "$2")
+    out = F.regexp_replace(out, r"</?[A-Za-z][^<>]*>", "")
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        out = F.replace(out, F.lit(name), F.lit(char))
+    return F.trim(out)
+
+
+def lookup_target(unit: Column, formation: Column, head: Column, surface: Column, functional: Column) -> Column:
+    """What to look up for a token: its lexical unit, else the head of its formation, else its head word; a functional word's own surface."""
+    return F.when(functional, surface).otherwise(F.coalesce(F.nullif(unit, F.lit("")), F.nullif(formation, F.lit("")), F.nullif(head, F.lit("")), surface))
+
+
+def headword_parts(s: Column) -> Column:
+    """Struct of reading and forms of ``かな【表記・別表記】``; editorial marks go, each form once in its order; without brackets the word is its own form and reading."""
+    inner = F.regexp_extract(s, "【([^】]*)】", 1)
+    clean = lambda c: F.regexp_replace(c, r"[▽▼△×〈〉《》\s‐-]", "")
+    reading = clean(F.regexp_replace(s, "【.*$", ""))
+    forms = F.array_distinct(F.filter(F.transform(F.split(inner, "[・，,]"), clean), lambda f: f != ""))
+    return F.struct(reading.alias("reading"), F.when(F.size(forms) > 0, forms).otherwise(F.array(reading)).alias("forms"))
+
+
+def expanded_form(s: Column) -> Column:
+    """Spellings of a form: alternatives between dots if each has a kanji, and with and without kana in brackets."""
+    trimmed = F.trim(s)
+    parts = F.split(trimmed, "・")
+    parts = F.when((F.size(parts) > 1) & F.forall(parts, has_kanji), parts).otherwise(F.array(trimmed))
+    optional = r"^([^（]*)（([\x{3041}-\x{30FF}]+)）(.*)$"
+    each = F.transform(parts, lambda p: F.when(p.rlike(optional), F.array(F.regexp_replace(p, optional, "$1$2$3"), F.regexp_replace(p, optional, "$1$3"))).otherwise(F.array(p)))
+    return F.filter(F.array_distinct(F.flatten(each)), lambda p: p != "")
+
+
+def despaced_title(s: Column) -> Column:
+    """A title without the spaces between characters that aren't ASCII."""
+    return F.trim(F.regexp_replace(s, r"(?<=[^\x00-\x7F])[\s\x{3000}]+(?=[^\x00-\x7F])", ""))
+
+
+def heading_key(s: Column) -> Column:
+    """A title for comparison: lower case, without spaces and punctuation."""
+    return F.regexp_replace(F.lower(s), r"[\s\x{3000}\p{P}]+", "")
+
+
+def is_chapter_title(s: Column) -> Column:
+    """Whether a heading counts chapters, or names a part that has no number."""
+    return F.coalesce(heading_key(s).rlike(r"^(第[0-9一二三四五六七八九十百]+[章話部巻]|chapter[0-9ivxlc]+|part[0-9ivxlc]+|prologue|epilogue|序章|終章|あとがき)"), F.lit(False))
+
+
+def merged_unique(*lists: Column) -> Column:
+    """Lists after each other, each value once, in the order in which it first comes."""
+    return F.array_distinct(F.concat(*lists))
+
+
+def cjk_evidence(s: Column) -> Column:
+    """Struct of language, han, kana and hangul: Japanese with kana, Korean with hangul, Chinese with han alone; undetermined without any, or where most letters are others."""
+    han, kana, hangul = (F.regexp_count(s, F.lit(p)) for p in (r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]", r"[\x{3041}-\x{309F}\x{30A0}-\x{30FF}]", r"[\x{AC00}-\x{D7AF}]"))
+    letters = F.regexp_count(s, F.lit(r"\p{L}"))
+    own = han + kana + hangul
+    language = F.when((own == 0) | (own * 2 < letters), "und").when((kana >= hangul) & (kana > 0), "ja").when(hangul > 0, "ko").otherwise("zh")
+    return F.struct(language.alias("language"), han.alias("han"), kana.alias("kana"), hangul.alias("hangul"))

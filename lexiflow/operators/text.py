@@ -115,7 +115,11 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 
 def context(docs: DataFrame, word: str, width: int) -> DataFrame:
-    """(doc_id, at, shown): the first place of ``word`` in each text, with what stands around it and the word in brackets."""
-    at = F.instr("text", word)
-    shown = F.concat(F.substring("text", F.greatest(at - width, F.lit(1)), at - F.greatest(at - width, F.lit(1))), F.lit("【" + word + "】"), F.substring(F.col("text"), at + len(word), F.lit(width)))
-    return docs.where(at > 0).select("doc_id", at.cast("long").alias("at"), shown.alias("shown"))
+    """(doc_id, at, shown): each place of ``word`` in each text, with what stands around it and the word in brackets."""
+    pieces = F.split("text", "\\Q" + word + "\\E", -1)
+    # places from the lengths of what lies between, in one fold
+    places = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("out")), lambda s, p: F.struct((s["next"] + F.length(p) + len(word)).alias("next"), F.concat(s["out"], F.array(s["next"] + F.length(p))).alias("out")), lambda s: s["out"])
+    rows = docs.select("doc_id", "text", F.explode(places).alias("at"))
+    begin = F.greatest(F.col("at") - width, F.lit(1))
+    shown = F.concat(F.substring(F.col("text"), begin, F.col("at") - begin), F.lit("【" + word + "】"), F.substring(F.col("text"), F.col("at") + len(word), F.lit(width)))
+    return rows.select("doc_id", F.col("at").cast("long").alias("at"), shown.alias("shown"))

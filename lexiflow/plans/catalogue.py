@@ -6,25 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lexiflow.operators import dictionary, grammar, html, intervals, matching, snapshots, text
+from lexiflow.functions import scalars
+from lexiflow.operators import dictionary, grammar, html, intervals, matching, occurrences, snapshots, text
 from lexiflow.plans.registry import ORACLES, QUERIES, query
 from lexiflow.plans.sql import LINES, PIECES, TOKENS, VOCABULARY, WORD, WORDS, with_
 from lexiflow.sources import tables
 from lexiflow.streaming import session
 
-NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-
-
-def both(name: str, sql: str) -> None:
-    """Register a query that is the same SQL text for both engines."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(sql, **{n: tables.table(spark, sf_dir, n) for n in NAMES if "{" + n + "}" in sql})
-
-    QUERIES[name] = run
-    ORACLES[name] = sql.format(**{n: n for n in NAMES})
-
-
 def vocabulary(t) -> DataFrame:
     return text.words(t("benchmark").withColumnRenamed("item_id", "doc_id")).select("w").distinct()
 
@@ -66,9 +54,9 @@ def sentence_split(t):
     return text.sentences(t("documents"))
 
 
-@query("""select doc_id, cast(p as bigint) as "at", substring(text, greatest(p - 24, 1), p - greatest(p - 24, 1)) || '【the】' || substring(text, p + 3, 24) as shown from (select *, instr(text, 'the') as p from documents) where p > 0""")
+@query("""select doc_id, cast(p as bigint) as "at", substring(text, greatest(p - 24, 1), p - greatest(p - 24, 1)) || '【the】' || substring(text, p + 3, 24) as shown from (select doc_id, text, unnest(list_filter(range(1, length(text) - 1), lambda i: substring(text, i, 3) = 'the')) as p from documents)""")
 def sentence_context(t):
-    """PRJ-25: a word in context."""
+    """PRJ-25: each place of a word in context."""
     return text.context(t("documents"), "the", 24)
 
 
@@ -84,9 +72,22 @@ def sampled_lines(t):
     return tables.sampled_lines(t("documents"), 3)
 
 
-both("char_limit", "select doc_id, substring(text, 1, 100) as head, length(text) > 100 as truncated from {documents}")  # SRC-5, SCL-24
-both("cjk_counts", "select doc_id, cast(length(text) - length(regexp_replace(text, '[぀-ヿ一-鿿]', '', 'g')) as bigint) as cjk from {documents}")  # PRJ-16
-QUERIES["cjk_counts"] = lambda spark, d: tables.table(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit("[぀-ヿ一-鿿]")).cast("long").alias("cjk"))
+@query("select doc_id, substring(text, 1, 100) as head, length(text) > 100 as truncated from documents")
+def char_limit(t):
+    """SRC-5, SCL-24: the first characters, and whether there are more; the limit is the feature."""
+    return t("documents").select("doc_id", F.substring("text", 1, 100).alias("head"), (F.length("text") > 100).alias("truncated"))
+
+
+_MIXED = "(select doc_id, case doc_id % 4 when 0 then substring(text, 1, 9) || '山川の水が流れるところ' when 1 then '漢字之文' || substring(text, 1, 2) when 2 then '한국어 글' else text end as s from documents)"
+
+
+@query(f"""with c as (select doc_id, len(regexp_extract_all(s, '[㐀-䶿一-鿿]')) as han, len(regexp_extract_all(s, '[ぁ-ゟ゠-ヿ]')) as kana, len(regexp_extract_all(s, '[가-힯]')) as hangul, len(regexp_extract_all(s, '\\p{{L}}')) as letters from {_MIXED} m)
+select doc_id, case when han + kana + hangul = 0 or 2 * (han + kana + hangul) < letters then 'und' when kana >= hangul and kana > 0 then 'ja' when hangul > 0 then 'ko' else 'zh' end as language, han::int as han, kana::int as kana, hangul::int as hangul from c""")
+def cjk_detection(t):
+    """PRJ-16: language by its letters, with the evidence; what isn't clear stays undetermined."""
+    k = F.col("doc_id")
+    mixed = F.when(k % 4 == 0, F.concat(F.substring("text", 1, 9), F.lit("山川の水が流れるところ"))).when(k % 4 == 1, F.concat(F.lit("漢字之文"), F.substring("text", 1, 2))).when(k % 4 == 2, "한국어 글").otherwise(F.col("text"))
+    return t("documents").select("doc_id", scalars.cjk_evidence(mixed).alias("e")).select("doc_id", "e.*")
 
 
 @query(with_(TOKENS, query="""select doc_id, pos, 't:' || start || ':' || "end" || ':' || w || ':' || (row_number() over (partition by doc_id, w order by pos) - 1) as token_id from tok"""))
@@ -558,18 +559,6 @@ def reader_blocks(t):
 
 # catalogues, libraries, exports -------------------------------------------------------------------------------------
 
-both("export_entries", "select o_custkey, o_orderkey, o_orderpriority, sha256(concat(cast(o_custkey as varchar), ':', cast(o_orderkey as varchar), ':', o_orderpriority)) as id from (select *, row_number() over (partition by o_custkey, o_orderpriority order by o_orderdate, o_orderkey) as k from {orders}) x where k = 1")  # SNK-3, SCL-11
-QUERIES["export_entries"] = lambda spark, d: (
-    tables.table(spark, d, "orders")
-    .withColumn("k", F.row_number().over(W.partitionBy("o_custkey", "o_orderpriority").orderBy("o_orderdate", "o_orderkey")))
-    .where("k = 1")
-    .select("o_custkey", "o_orderkey", "o_orderpriority", F.sha2(F.concat_ws(":", F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string"), "o_orderpriority"), 256).alias("id"))
-)
-both("library_order", "select c_custkey, c_name, cast(last_opened as varchar(32)) as last_opened, cast(rank as bigint) as rank from (select c_custkey, c_name, cast(last_opened as date) as last_opened, row_number() over (partition by c_nationkey order by last_opened desc nulls last, c_custkey) as rank from {customer} left join (select o_custkey, max(o_orderdate) as last_opened from {orders} where o_orderkey % 3 = 0 group by o_custkey) o on o_custkey = c_custkey) x where rank <= 5")  # SRT-9, SRC-21
-both("progress_percent", "select o_custkey, round(case when sum(o_totalprice) > 0 then least(sum(case when o_orderstatus = 'F' then o_totalprice else 0 end), sum(o_totalprice)) / sum(o_totalprice) else 0 end, 4) as progress from {orders} group by o_custkey")  # SCL-22
-both("library_upsert", "select c_custkey, greatest(a, coalesce(b, 0)) as n from (select c_custkey, cast(c_nationkey as bigint) as a from {customer}) c left join (select o_custkey, count(*) as b from {orders} group by o_custkey) o on o_custkey = c_custkey")  # DML-8
-
-
 @query(with_(TOKENS, query="""select doc_id, sent, cost, rank from (select *, row_number() over (partition by doc_id order by rank_score, cost, sent) as rank from (
   select doc_id, sent, count(*) as cost, count(*) - cast(sum(case when length(w) >= 6 then length(w) * length(w) else 0 end) as bigint) as rank_score from tok group by doc_id, sent)) where rank <= 3"""))
 def nbest_rerank(t):
@@ -639,6 +628,31 @@ def pair_unmatched(t):
     return grammar.pair_unmatched(o.where("key % 2 = 0"), o.where("key % 2 <> 0"), ["o_custkey"])
 
 
+_OCC = 'o as (select doc_id, pos as id, start, "end" from tok where length(w) = 3)'
+
+
+def _occurrences(t) -> DataFrame:
+    return text.tokens(t("documents"), 3).where("length(w) = 3").select("doc_id", F.col("pos").alias("id"), "start", "end")
+
+
+@query(with_(TOKENS, _RANGES, _OCC, query='select o.doc_id, o.id, least(o.start, coalesce(min(r.start), o.start)) as start, greatest(o."end", coalesce(max(r."end"), o."end")) as "end", coalesce(bool_or(r.start <= o.start and r."end" >= o."end"), false) as absorbed from o left join r on r.doc_id = o.doc_id and r.start < o."end" and r."end" > o.start group by o.doc_id, o.id, o.start, o."end"'))
+def expanded_occurrences(t):
+    """INT-14: occurrences with the chains that they touch; those within a chain are absorbed."""
+    return occurrences.expanded(_occurrences(t), _ranges(t).select("doc_id", "start", "end"))
+
+
+@query(with_(TOKENS, _RANGES, _OCC, query='select r.doc_id, r.id as unit, o.id, o.start >= r.start and o.start < r."end" as badge from r join o on o.doc_id = r.doc_id and o.start < r."end" and o."end" > r.start'))
+def attached_occurrences(t):
+    """INT-15: occurrences on each unit that they touch, the badge where they begin."""
+    return occurrences.attached(_occurrences(t), _ranges(t).select("doc_id", F.col("id").alias("unit"), "start", "end"), "unit")
+
+
+@query(with_(TOKENS, _RANGES, _OCC, query="""select doc_id, id, arg_max(rid, struct_pack(w := w, b := -rid)) as chain from (select o.doc_id, o.id, r.id as rid, r."end" - r.start as w from o join r on r.doc_id = o.doc_id and r.start <= o.start and r."end" >= o."end") group by 1, 2"""))
+def head_chains(t):
+    """PRJ-15: the widest chain that holds a head."""
+    return occurrences.widest(_occurrences(t), _ranges(t).select("doc_id", F.col("id").alias("chain"), "start", "end"), "chain")
+
+
 @query(with_(TOKENS, _RANGES, query='select doc_id, pos from tok where not exists (select 1 from r where r.doc_id = tok.doc_id and r.start <= tok.start and r."end" > tok.start)'))
 def uncovered_tokens(t):
     """SEQ-17: tokens that no range covers."""
@@ -646,11 +660,6 @@ def uncovered_tokens(t):
     return grammar.residuals(text.tokens(docs), _ranges(t))
 
 
-both("page_batches", "select c_custkey, cast(ceil(k / 20.0) as bigint) as page, cast(ceil(n / 20.0) as bigint) as pages from (select c_custkey, row_number() over (partition by c_nationkey order by c_custkey) as k, count(*) over (partition by c_nationkey) as n from {customer}) x")  # SRT-8
-both("size_budget", "select s_nationkey, s_suppkey from (select s_nationkey, s_suppkey, sum(case when s_acctbal between 0 and 6000 then s_acctbal else 0 end) over (partition by s_nationkey order by s_suppkey) as total, s_acctbal from {supplier}) x where s_acctbal between 0 and 6000 and total <= 20000")  # SRC-11, WIN-10
-both("newest_kept", "select user_id, event_id from (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id) as k from {events}) x where k <= 3")  # SNK-2, SRT-11
-both("distinct_rules", "select event_type, count(*) as n, count(distinct user_id) as users from {events} group by event_type")  # AGG-8, AGG-12
-both("consecutive_removed", "select conv_id, turn, role from (select conv_id, turn, role, lag(role) over (partition by conv_id order by turn, role) as p from {conversations}) x where p is null or p <> role")  # WIN-9
 
 
-from lexiflow.plans import catalogs, lookups, morphemes, qualities, readings, sessions  # noqa: E402, F401  (register their queries here)
+from lexiflow.plans import catalogs, libraries, lookups, morphemes, qualities, readings, sessions  # noqa: E402, F401  (register their queries here)
