@@ -94,26 +94,34 @@ class Book:
     def spine(self) -> list[str]:
         return [posixpath.normpath(posixpath.join(self.base, unquote(self.items[r.get("idref")].get("href")))) for r in _all(self.root, "itemref") if r.get("idref") in self.items]
 
-    def images(self) -> int:
-        """How many images fit the budgets, in the order of the manifest."""
-        total = n = 0
+    def images(self) -> list[tuple[str, str, int, str | None]]:
+        """(name, media type, size, warning) in the order of the manifest; what is missing or over a budget has a warning and isn't taken."""
+        total, out = 0, []
         for e in self.items.values():
             if (e.get("media-type") or "").startswith("image/"):
-                name = self.names.get(posixpath.normpath(posixpath.join(self.base, unquote(e.get("href")))).lower())
-                size = self.zip.getinfo(name).file_size if name else IMAGE + 1
-                if size <= IMAGE and total + size <= IMAGES:
-                    total, n = total + size, n + 1
-        return n
+                href = posixpath.normpath(posixpath.join(self.base, unquote(e.get("href") or "")))
+                name = self.names.get(href.lower())
+                size = self.zip.getinfo(name).file_size if name else 0
+                warning = "missing" if not name else "image too large" if size > IMAGE else "images too large" if total + size > IMAGES else None
+                total += 0 if warning else size
+                out.append((href, e.get("media-type"), size, warning))
+        return out
 
 
 def kind_of(href: str, title: str, text: str, page: str) -> str:
-    """Cover, toc, notice, titlepage, illustration or content, by names and sizes."""
+    """Cover, toc, notice, titlepage, backmatter, illustration, blank or content: by names where the text is short, then by what the page is made of."""
     name = f"{posixpath.basename(href)} {title}".lower()
-    if not text.strip():
-        return "illustration" if re.search(r"<(img|image|svg)\b", page) else "blank"
-    for kind, words in (("cover", "cover"), ("toc", r"toc|contents|nav\b"), ("notice", "copyright|colophon|notice"), ("titlepage", "title-?page")):
+    images, links = len(re.findall(r"<(?:img|image|svg)\b", page, re.IGNORECASE)), len(re.findall(r"<a\b", page, re.IGNORECASE))
+    lines = [x for x in text.split("\n") if x.strip()]
+    if not lines:
+        return "illustration" if images else "blank"
+    for kind, words in (("cover", "cover"), ("toc", r"toc|contents|nav\b"), ("notice", "copyright|colophon|notice"), ("titlepage", "title-?page"), ("backmatter", "afterword|appendix|about the author|backmatter")):
         if re.search(words, name) and len(text) < 4000:
             return kind
+    if links >= 5 and links >= 0.8 * len(lines):
+        return "toc"
+    if images and len(text) < 40 * images:
+        return "illustration"
     return "content"
 
 
@@ -121,7 +129,7 @@ def rows_of(path: str, data: bytes) -> list[tuple]:
     try:
         book = Book(data)
         head = (path, hashlib.sha256(data).hexdigest()[:32], book.meta("title"), book.author(), book.meta("language"))
-        titles, images, out = book.titles(), book.images(), []
+        titles, images, out = book.titles(), sum(w is None for *_, w in book.images()), []
         for k, href in enumerate(book.spine()):
             try:
                 page = book.read(href).decode("utf-8", "replace")
@@ -136,8 +144,18 @@ def rows_of(path: str, data: bytes) -> list[tuple]:
         return [(path, hashlib.sha256(data).hexdigest()[:32], None, None, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}")]
 
 
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of the EPUB files of a folder."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(path).select("path", "content")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Rows of SCHEMA for the EPUB files of a folder."""
+    return chapters(files(spark, path))
+
+
+def chapters(files: DataFrame) -> DataFrame:
+    """Rows of SCHEMA for EPUB files (path, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string()] * 5 + [pa.int32()] + [pa.string()] * 3 + [pa.int32(), pa.string(), pa.int32(), pa.string()]
@@ -147,5 +165,25 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 rows = rows_of(p, data)
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(path).select("path", "content")
-    return files.mapInArrow(run, SCHEMA)
+    return files.select("path", "content").mapInArrow(run, SCHEMA)
+
+
+IMAGE_ROWS = "path string, name string, media_type string, size long, warning string, content binary"
+
+
+def images(files: DataFrame) -> DataFrame:
+    """IMAGE_ROWS of all images of EPUB files (path, content); those with a warning have no content."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string()] * 3 + [pa.int64(), pa.string(), pa.binary()]
+        names = [c.split()[0] for c in IMAGE_ROWS.split(", ")]
+        for b in batches:
+            for p, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    book = Book(data)
+                    rows = [(p, n, m, size, w, None if w else book.read(n)) for n, m, size, w in book.images()]
+                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, AttributeError):
+                    rows = []
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+
+    return files.select("path", "content").mapInArrow(run, IMAGE_ROWS)
