@@ -59,6 +59,21 @@ def has_kanji(s: Column) -> Column:
     return s.rlike(KANJI)
 
 
+def is_han(s: Column) -> Column:
+    """All of it ideographs of the three main blocks: the rule for forms of entries."""
+    return s.rlike(r"^[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]+$")
+
+
+def is_kana_form(s: Column) -> Column:
+    """All of it kana of both blocks, with the small ones for other languages: the rule for forms of entries."""
+    return s.rlike(r"^[\x{3040}-\x{30FF}\x{31F0}-\x{31FF}]+$")
+
+
+def is_kana_query(s: Column) -> Column:
+    """At least one kana, and nothing but kana, long marks, dots and hyphens: the rule for what is asked."""
+    return s.rlike(r"^[\x{3041}-\x{30FF}ー・-]+$") & s.rlike(r"[\x{3041}-\x{30FA}]")
+
+
 def morae(reading: Column) -> Column:
     """A small kana belongs to the one before it."""
     return F.regexp_extract_all(reading, F.lit(f"(.[{SMALL}]?)"), 1)

@@ -140,3 +140,93 @@ def reader_blocks(pages: DataFrame) -> DataFrame:
 def page_text(pages: DataFrame) -> DataFrame:
     """(page_id, text): the blocks' texts, a line for each."""
     return pages.select("page_id", F.array_join(F.transform(blocks_of("html"), lambda b: b["text"]), "\n").alias("text"))
+
+
+_ELEMENT = {"path": T.StringType(), "parent": T.StringType(), "name": T.StringType(), "classes": T.ArrayType(T.StringType()), "href": T.StringType(), "text": T.StringType()}
+# fixed values: elements that end an open one of the same kind
+CLOSING = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+
+
+class Tree(HTMLParser):
+    """All elements of a page in document order, with their place in the tree and their visible text."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.rows: list[dict] = []
+        self.open: list[dict] = []
+        self.children = [0]
+
+    def handle_starttag(self, tag, attrs):
+        ends = CLOSING.get(tag, set())
+        while self.open and self.open[-1]["name"] in ends:
+            self.close_last()
+        given = dict(attrs)
+        parent = self.open[-1]["path"] if self.open else ""
+        row = {"path": f"{parent}.{self.children[-1]}".lstrip("."), "parent": parent, "name": tag, "classes": (given.get("class") or "").split(), "href": given.get("href"), "text": []}
+        self.children[-1] += 1
+        self.rows.append(row)
+        if tag not in VOID:
+            self.open.append(row)
+            self.children.append(0)
+
+    def close_last(self):
+        self.open.pop()
+        self.children.pop()
+
+    def handle_endtag(self, tag):
+        if any(r["name"] == tag for r in self.open):
+            while self.open[-1]["name"] != tag:
+                self.close_last()
+            self.close_last()
+
+    def handle_data(self, data):
+        if not any(r["name"] in HIDDEN - {"title"} for r in self.open):
+            for r in self.open:
+                r["text"].append(data)
+
+
+def _tree(page: str | None) -> list[dict]:
+    parser = Tree()
+    parser.feed(page or "")
+    parser.close()
+    for r in parser.rows:
+        r["text"] = " ".join("".join(r["text"]).split())
+    return parser.rows
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField(n, kind) for n, kind in _ELEMENT.items()])))
+def elements_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    kind = pa.list_(pa.struct([(n, pa.list_(pa.string()) if n == "classes" else pa.string()) for n in _ELEMENT]))
+    for b in batches:
+        yield pa.array([_tree(x.as_py()) for x in b], kind)
+
+
+def elements(pages: DataFrame) -> DataFrame:
+    """(page_id, n, path, parent, name, classes, href, text): a row for each element, in document order."""
+    return pages.select("page_id", F.posexplode(elements_of("html")).alias("n", "e")).select("page_id", "n", "e.*")
+
+
+def selected(selector: str):
+    """A condition on element structs: ``name``, ``.class``, or ``name.class``."""
+    name, _, cls = selector.partition(".")
+
+    def test(e):
+        out = F.lit(True)
+        if name:
+            out = out & (e["name"] == name)
+        if cls:
+            out = out & F.array_contains(e["classes"], cls)
+        return out
+
+    return test
+
+
+def adapted(pages: DataFrame, config: dict[str, str]) -> DataFrame:
+    """(page_id, header, senses, sections, links) by the selectors of ``config``: the first header, and the texts or targets of all others, each target once.
+
+    One adapter for all kinds of pages; what a dictionary's pages look like is in the config.
+    """
+    rows = pages.select("page_id", elements_of("html").alias("e"))
+    texts = lambda key: F.filter(F.transform(F.filter("e", selected(config[key])), lambda x: x["text"]), lambda x: x != "") if key in config else F.array().cast("array<string>")
+    links = F.array_distinct(F.array_compact(F.transform(F.filter("e", selected(config.get("links", "a"))), lambda x: x["href"])))
+    return rows.select("page_id", F.get(texts("header"), F.lit(0)).alias("header"), texts("senses").alias("senses"), texts("sections").alias("sections"), links.alias("links"))

@@ -81,8 +81,11 @@ def exact(wanted: DataFrame, keys: DataFrame, entries: DataFrame) -> DataFrame:
     return found.unionByName(by_head.select(*found.columns))
 
 
-def discovered(queries: DataFrame, entries: DataFrame, keys: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(query_id, dict, entry_id, match_type): exact forms, then targets of aliases; readings in dictionaries where neither gives an entry that can be read."""
+def discovered(queries: DataFrame, entries: DataFrame, keys: DataFrame, aliases: DataFrame, compatible: DataFrame | None = None) -> DataFrame:
+    """(query_id, dict, entry_id, match_type): exact forms, then targets of aliases; readings in dictionaries where neither gives an entry that can be read.
+
+    ``compatible`` (alias, target) is for queries that find nothing at all.
+    """
     q = queries.where("headword <> ''").withColumn("value", scalars.normalized_form(F.col("headword")))
     q = q.withColumn("wanted", F.coalesce(F.nullif(F.nullif("reading", F.lit("*")), F.lit("")), F.when(scalars.is_kana(F.col("headword")), F.col("headword"))))
     q = checkpointed(q)
@@ -104,7 +107,13 @@ def discovered(queries: DataFrame, entries: DataFrame, keys: DataFrame, aliases:
     back = back.join(first, ["query_id", "dict", "try"]).select("query_id", "dict", "entry_id")
     stages = [df.withColumn("stage", F.lit(n)) for n, df in enumerate((direct, hopped, back))]
     types = F.element_at(F.array(F.lit("exact_form"), F.lit("explicit_alias"), F.lit("reading_fallback")), F.col("stage") + 1)
-    return reduce(DataFrame.unionByName, stages).groupBy("query_id", "dict", "entry_id").agg(F.min("stage").alias("stage")).select("query_id", "dict", "entry_id", types.alias("match_type"))
+    found = reduce(DataFrame.unionByName, stages).groupBy("query_id", "dict", "entry_id").agg(F.min("stage").alias("stage")).select("query_id", "dict", "entry_id", types.alias("match_type"))
+    if compatible is None:
+        return found
+    found = checkpointed(found)
+    left = q.join(found.select("query_id").distinct(), "query_id", "left_anti").join(compatible.select(scalars.normalized_form(F.col("alias")).alias("value"), "target"), "value")
+    last = exact(left.select("query_id", F.col("target").alias("headword"), scalars.normalized_form(F.col("target")).alias("value")), keys, entries)
+    return found.unionByName(last.select("query_id", "dict", "entry_id").distinct().withColumn("match_type", F.lit("compatibility_alias")))
 
 
 def matched(form: Column, wanted: Column) -> Column:

@@ -8,6 +8,8 @@ and gate rules are small tables of the caller and are data, not code.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -270,3 +272,39 @@ def unit_metrics(lines: DataFrame, units: DataFrame) -> DataFrame:
     counts = units.groupBy("doc_id", "line_no").agg(F.count("*").alias("k"))
     rows = lines.join(counts, ["doc_id", "line_no"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
     return rows.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum("k").alias("units"), F.sum(F.greatest(F.col("k") - 1, F.lit(0))).alias("boundaries"), F.count_if(F.col("k") == 0).alias("failures"))
+
+
+def capture(stages: dict[str, DataFrame], folder: str) -> str:
+    """Write each stage's rows under ``folder`` by run, and a manifest of their counts and digests; the run's id is the digest of these.
+
+    A digest is the sum of the rows' own hashes, so it's the same whatever the order and the partitions, and takes one pass.
+    """
+    spark = next(iter(stages.values())).sparkSession
+    facts = []
+    for name, df in sorted(stages.items()):
+        h = F.conv(F.substring(F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+        n, total = df.agg(F.count("*"), F.sum(h)).first()
+        facts.append((name, n, hashlib.sha256(f"{n}:{total or 0}".encode()).hexdigest()))
+    run = hashlib.sha256(repr(facts).encode()).hexdigest()[:20]
+    for name, df in stages.items():
+        df.write.mode("overwrite").parquet(f"{folder}/run_id={run}/stage={name}")
+    rows = spark.createDataFrame(facts, "stage string, rows long, sha256 string")
+    rows.coalesce(1).write.mode("overwrite").json(f"{folder}/run_id={run}/manifest")
+    return run
+
+
+def history_index(runs: DataFrame) -> DataFrame:
+    """(place, path, run_id, changes, status) of complete runs (path, manifest, summary), the newest run id first; what their JSON lacks is null."""
+    rows = runs.select("path", F.get_json_object("manifest", "$.run_id").alias("run_id"), F.get_json_object("summary", "$.changes").cast("long").alias("changes"), F.get_json_object("summary", "$.status").alias("status"))
+    place = F.row_number().over(W.orderBy(F.desc_nulls_last("run_id"), "path"))  # a row for each run: few
+    return rows.select(place.cast("long").alias("place"), "path", "run_id", "changes", "status")
+
+
+def aligned_lines(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """(key, op, a0, a1, b0, b1): how the lines of one version become those of the other, from (key, lines array<string>) of both; a document that only one has is all new or all gone."""
+    from lexiflow.functions.scalars import opcodes
+
+    none = F.array().cast("array<string>")
+    rows = before.select(key, F.col("lines").alias("a")).join(after.select(key, F.col("lines").alias("b")), key, "full_outer")
+    ops = rows.select(key, F.explode(opcodes(F.coalesce("a", none), F.coalesce("b", none))).alias("o"))
+    return ops.select(key, F.col("o.tag").alias("op"), "o.a0", "o.a1", "o.b0", "o.b1")

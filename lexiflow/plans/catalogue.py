@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lexiflow.functions import scalars
-from lexiflow.operators import dictionary, grammar, html, intervals, matching, occurrences, snapshots, text
+from lexiflow.operators import dictionary, grammar, html, intervals, matching, occurrences, quality, snapshots, text
 from lexiflow.plans.registry import ORACLES, QUERIES, query
 from lexiflow.plans.sql import LINES, PIECES, TOKENS, VOCABULARY, WORD, WORDS, with_
 from lexiflow.sources import tables
@@ -551,6 +551,25 @@ def html_sanitize(t):
     return t("pages").select("page_id", html.sanitized("html").alias("clean"))
 
 
+_INNER = "replace(replace(replace(replace(trim(regexp_replace(regexp_replace({}, '<[^<>]*>', '', 'g'), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')"
+
+
+@query(f"""select page_id, {_INNER.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} as header, len(regexp_extract_all(html, '<li>')) as items, len(regexp_extract_all(html, '(?s)<div class="ad">')) as sections, len(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1))) as links from pages""")
+def page_adapter(t):
+    """PRJ-17, PRJ-20, PRJ-21: headers, senses, sections and links of pages, by selectors."""
+    rows = html.adapted(t("pages"), {"header": "h1", "senses": "li", "sections": "div.ad", "links": "a"})
+    return rows.select("page_id", "header", *[F.size(c).cast("long").alias(n) for c, n in (("senses", "items"), ("sections", "sections"), ("links", "links"))])
+
+
+@query(with_(LINES, query="select doc_id, 'kept' as op, count(*) as n from lines where line_no % 5 <> 4 group by 1 union all select doc_id, 'gone', count(*) from lines where line_no % 5 = 4 group by 1"))
+def line_alignment(t):
+    """QA-4: lines of two versions side by side."""
+    rows = tables.lines(t("documents"))
+    lines = lambda df: df.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.concat_ws(":", F.col("line_no").cast("string"), "line").alias("line")))), lambda x: x["line"]).alias("lines"))
+    ops = quality.aligned_lines(lines(rows), lines(rows.where("line_no % 5 <> 4")), "doc_id")
+    return ops.groupBy("doc_id", F.when(F.col("op") == "equal", "kept").otherwise("gone").alias("op")).agg(F.sum(F.col("a1") - F.col("a0")).alias("n"))
+
+
 @query()
 def reader_blocks(t):
     """SRC-24, PRJ-29: blocks with their places."""

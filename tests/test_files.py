@@ -183,3 +183,65 @@ def test_engine_and_sql_functions(spark):
     assert engine.open(docs, 1, 10).select("batch").distinct().count() == 1
     assert [tuple(r) for r in spark.sql("select * from lex_words('One two. Three')").collect()] == [(0, 0, "one"), (1, 0, "two"), (2, 1, "three")]
     assert spark.sql("select lex_nfkc('ﬁ') as x, lex_canonical_json('{\"b\": 1, \"a\": 2}') as j").first() == ("fi", '{"a":2,"b":1}')
+
+
+def test_snapshots_are_captured_by_content(spark, tmp_path):
+    rows = spark.createDataFrame([(k, f"v{k}") for k in range(20)], "n long, v string")
+    a = quality.capture({"words": rows, "none": rows.where("false")}, str(tmp_path))
+    assert quality.capture({"none": rows.where("false"), "words": rows.orderBy("v").repartition(3)}, str(tmp_path)) == a
+    assert quality.capture({"words": rows.where("n > 0"), "none": rows.where("false")}, str(tmp_path)) != a
+    assert spark.read.parquet(f"{tmp_path}/run_id={a}/stage=words").count() == 20 and len(os.listdir(tmp_path)) == 2
+    runs = spark.createDataFrame([("p/1", '{"run_id": "a"}', '{"changes": 3, "status": "changed"}'), ("p/2", '{"run_id": "b"}', "{}"), ("p/3", "{}", "broken")], "path string, manifest string, summary string")
+    assert [tuple(r) for r in quality.history_index(runs).orderBy("place").collect()] == [(1, "p/2", "b", None, None), (2, "p/1", "a", 3, "changed"), (3, "p/3", None, None, None)]
+
+
+def test_lines_are_aligned(spark):
+    a = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["x"])], "k long, lines array<string>")
+    b = spark.createDataFrame([(1, ["a", "B", "c", "d"]), (3, ["y", "z"])], "k long, lines array<string>")
+    found = sorted(tuple(r) for r in quality.aligned_lines(a, b, "k").collect())
+    assert found == [(1, "equal", 0, 1, 0, 1), (1, "equal", 2, 3, 2, 3), (1, "insert", 3, 3, 3, 4), (1, "replace", 1, 2, 1, 2), (2, "delete", 0, 1, 0, 0), (3, "insert", 0, 0, 0, 2)]
+
+
+def test_elements_and_selectors(spark):
+    from lexiflow.operators import html
+
+    page = '<div class="a b"><p>one<p>two<ul><li>x<li>y <b>z</b></ul></div><script>no</script><img src="q"><a href="/l">t</a><a href="/l">u</a></span>'
+    rows = html.elements(spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")).orderBy("n").collect()
+    assert [(r.path, r.name, r.text) for r in rows][:4] == [("0", "div", "onetwoxy z"), ("0.0", "p", "one"), ("0.1", "p", "twoxy z"), ("0.1.0", "ul", "xy z")]
+    assert [r.path for r in rows if r.name == "li"] == ["0.1.0.0", "0.1.0.1"] and [r.text for r in rows if r.name == "script"] == [""]
+    (x,) = html.adapted(spark.createDataFrame([(1, page)], "page_id long, html string"), {"header": "p", "senses": "li", "sections": ".b"}).collect()
+    assert (x.header, x.senses, x.sections, x.links) == ("one", ["x", "y z"], ["onetwoxy z"], ["/l"])
+
+
+def test_profile_tables(spark, tmp_path):
+    from lexiflow.sources import profile
+
+    folder = str(tmp_path)
+    assert all(profile.read(spark, folder, n).count() == 0 for n in profile.TABLES)
+    profile.write(spark.createDataFrame([("d", 1)], profile.TABLES["dictionary_order"]), folder, "dictionary_order")
+    more = profile.read(spark, folder, "dictionary_order").union(spark.createDataFrame([("e", 2)], profile.TABLES["dictionary_order"]))
+    profile.write(more, folder, "dictionary_order")
+    assert profile.read(spark, folder, "dictionary_order").count() == 2
+    spark.range(1).write.parquet(f"{folder}/rules")
+    with pytest.raises(ValueError):
+        profile.read(spark, folder, "rules")
+
+
+def test_readings_and_compatible_aliases(spark):
+    """Inflected readings, kana queries, and aliases that count only where nothing else does."""
+    from lexiflow.functions import scalars
+    from lexiflow.operators import lookup
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("書く", "カキ"), ("書く", "カク"), ("食べる", "タベ"), ("本", "ホン"), ("読む", "ヨン")], "h string, r string")
+    assert [r.c for r in rows.select(lookup.reading_candidates(F.col("h"), F.col("r")).alias("c")).collect()] == [["カキ", "カク"], ["カク"], ["タベ", "タベル"], ["ホン"], ["ヨン", "ヨム"]]
+    entries = spark.createDataFrame([("d", "e1", 1, "ださい", "ダサイ", "word", ["形"], ["ださい"], True), ("d", "e2", 2, "書く", "カク", "word", ["動五"], ["書く"], True)], "dict string, entry_id string, record_index int, headword string, reading string, kind string, labels array<string>, forms array<string>, content boolean")
+    keys = spark.createDataFrame([("d", "e1", "form", "ださい", 0), ("d", "e1", "reading", "ダサイ", 0), ("d", "e2", "form", "書く", 0), ("d", "e2", "reading", "カク", 0)], "dict string, entry_id string, kind string, value string, rank int")
+    queries = spark.createDataFrame([(1, "だっせえ", None, None, None), (2, "かく", None, "動詞", None), (3, "ない", None, None, None), (4, "", None, None, None), (5, None, None, None, None), (6, "だ さ い", None, None, None)], "query_id long, headword string, reading string, pos string, observed string")
+    none = spark.createDataFrame([], "dict string, alias string, target string")
+    old = spark.createDataFrame([("だっせえ", "ださい"), ("かく", "ださい")], "alias string, target string")
+    found = {(r.query_id, r.entry_id): r.match_type for r in lookup.discovered(queries, entries, keys, none, old).collect()}
+    assert found == {(1, "e1"): "compatibility_alias", (2, "e2"): "reading_fallback", (6, "e1"): "exact_form"}
+    words = spark.createDataFrame([("漢",), ("々",), ("かナ",), ("カー・",), ("a",), ("ㇰ",)], "w string")
+    rules = [[getattr(scalars, f)(F.col("w")).alias(f) for f in ("is_han", "has_kanji", "is_kana", "is_kana_form", "is_kana_query")]]
+    assert [tuple(r) for r in words.select(*rules[0]).collect()] == [(True, True, False, False, False), (False, True, False, False, False), (False, False, True, True, True), (False, False, True, True, True), (False, False, False, False, False), (False, False, False, True, False)]
