@@ -9,8 +9,9 @@ passages speak for the label, and the weighted mean of the encoded passages is
 scored.
 
 The network is fitted on at most ``PER_CLASS`` labelled documents of each class
-(a bounded sample of labelled rows), both classes having equal weight, and
-scores every whole text. Null and empty texts are one empty passage and get
+(a bounded sample of labelled rows), of long ones on ``FITTED`` passages spread
+over the whole text, both classes having equal weight, and scores every whole
+text with all of its passages. Null and empty texts are one empty passage and get
 that passage's score. Without labels of both classes every score is 0.5.
 Repeated rows and null ids are scored like others; extra columns pass through.
 """
@@ -29,6 +30,8 @@ from lexiflow.llm.common import held_out, labelled_sample, outside, table
 
 PASSAGE = 400
 PER_CLASS = 2000
+#: Passages of a labelled document that are fitted at most (of 320 bytes each); all of them are scored.
+FITTED = 64
 ENCODED, GATES = 24, 12
 CLASSES = 12
 EXTRA = 5
@@ -143,7 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [passages(t, table_).astype(np.float16).tobytes() for t in b.column(2).to_pylist()]
+            bags = (passages(t, table_) for t in b.column(2).to_pylist())
+            rows = [bag[np.unique(np.linspace(0, len(bag) - 1, min(len(bag), FITTED)).astype(int))].astype(np.float16).tobytes() for bag in bags]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.binary())], ["doc_id", "y", "bag"])
 
     sample = labelled_sample(docs, labels, "quality", learn, per_class, per_class).select("doc_id", "y", "text")

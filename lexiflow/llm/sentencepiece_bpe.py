@@ -35,8 +35,8 @@ NEVER, NONE = 1 << 60, np.iinfo(np.int32).max
 SHORT = 48
 #: Bytes of chunks and ids that a Python worker remembers at most, where each chunk counts ENTRY bytes besides its own.
 REMEMBERED, ENTRY = 64_000_000, 250
-#: Texts whose chunks are held at a time.
-SLICE = 400
+#: Texts, and characters of them but for one long text, whose chunks are held at a time.
+SLICE, CHARACTERS = 400, 2_000_000
 
 
 class Vocabulary:
@@ -284,6 +284,21 @@ def coded_slice(memory: Memory, given: list[str | None]) -> pa.StructArray:
     return pa.StructArray.from_arrays([ids, pa.array(texts, pa.string()), pa.array(differ, pa.int32())], ["ids", "decoded", "mismatches"])
 
 
+def sliced(batch: pa.Array) -> Iterator[list[str | None]]:
+    """The texts of a batch, some at a time."""
+    part: list[str | None] = []
+    size = 0
+    for x in batch:
+        t = x.as_py()
+        if part and (len(part) == SLICE or size + len(t or "") > CHARACTERS):
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t or "")
+    if part:
+        yield part
+
+
 def coder(model: bytes):
     """Arrow UDF: text -> struct of ids, decoded text and the number of places where the library differs."""
 
@@ -291,7 +306,7 @@ def coder(model: bytes):
     def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memory = memory_of(model)
         for batch in batches:
-            slices = [coded_slice(memory, batch.slice(k, SLICE).to_pylist()) for k in range(0, len(batch), SLICE)]
+            slices = [coded_slice(memory, part) for part in sliced(batch)]
             yield pa.concat_arrays(slices) if slices else coded_slice(memory, [])
 
     return coded.asNondeterministic()  # else a filter on its output would run it twice

@@ -401,6 +401,49 @@ def test_classifiers_with_nothing_to_learn(spark):
     assert toxicity.score(documents(spark, []), None).collect() == [] and quality.score(documents(spark, []), None).collect() == []
 
 
+def test_languages_equal_trying_every_centroid(spark, sf01):
+    """The query against cosines with all centroids by plain sums over n-grams of one to three letters."""
+    docs = spark.read.parquet(f"{sf01}/documents.parquet")
+    model = language.fit(docs, ~language.held_out("doc_id", 4, 2) & F.col("doc_id").isNotNull())
+    rows = {x.doc_id: x for x in language.op1_language(spark, sf01).collect()}
+    texts = {x.doc_id: x.text for x in docs.collect()}
+    assert set(rows) == set(texts) and len(model.languages) > len(set(model.languages)), "several centroids a language"
+    letter = language.letters()
+    for k in sorted(texts)[::7]:
+        counts = language.ngrams(texts[k], letter)
+        if counts is None:
+            assert (rows[k].lang_pred, rows[k].score) == ("und", 0)
+            continue
+        v = {i: np.log1p(float(c)) * model.idf[i] for i, c in enumerate(counts.tolist()) if c}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        cosines = [sum(x * float(model.vectors[i, j]) for i, x in v.items()) / norm for j in range(len(model.languages))]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert rows[k].lang_pred == model.languages[best] or cosines[best] - max(c for c, n in zip(cosines, model.languages) if n == rows[k].lang_pred) < 1e-6
+        assert abs(rows[k].score - min(1, max(0, cosines[best]))) < 1e-5
+        assert rows[k].accepted == (1 - cosines[best] <= model.reach[best]) or abs(1 - cosines[best] - model.reach[best]) < 1e-5
+
+
+def test_attention_equals_plain_sums(spark):
+    """Scores of a fitted network against the formulas written out passage by passage."""
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["good text here", "1234 5678", "AB|CD", "and so on"]) for _ in range(r.randrange(1, 150))) for _ in range(60)]
+    known = labels(spark, [(k, int("1234" not in t[: len(t) // 2]), 0) for k, t in enumerate(texts)] + [(k, k % 2, 0) for k in range(0, 60, 3)])
+    network = quality.fit(documents(spark, texts), known, F.lit(True))
+    rows = {x.doc_id: x.s for x in quality.score(documents(spark, texts + [LONG]), network, score_col="s").collect()}
+    table, w = quality.classes(), network.weights
+    logistic = lambda x: 1 / (1 + np.exp(-x))
+    for k, t in enumerate(texts + [LONG]):
+        encoded, weights = [], []
+        for passage in quality.passages(t, table):
+            x = np.clip((passage - network.mean) / network.scale, -8, 8)
+            e = np.tanh(x @ w["encode"] + w["encode0"])
+            encoded.append(e)
+            weights.append(float((np.tanh(e @ w["tanh"]) * logistic(e @ w["gate"])) @ w["attend"]))
+        share = np.exp(weights) / np.exp(weights).sum()
+        z = sum(a * e for a, e in zip(share, encoded))
+        assert abs(rows[k] - logistic(float(z @ w["out"] + w["out0"][0]))) < 1e-4
+
+
 def test_language_without_letters(spark):
     docs = spark.createDataFrame([(1, "the and of", "en"), (2, "der die das", "de"), (3, None, "en"), (4, "12 !", None), (5, "𝒶", None)], "doc_id long, text string, lang string")
     out = {x.doc_id: x for x in language.predict(docs, language.fit(docs, F.lit(True))).collect()}
