@@ -111,10 +111,10 @@ def fingerprint(table: DataFrame, key: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["j"]), "\n"), 256).alias("sha256"))
 
 
-def compile_catalog(t: dict[str, DataFrame], folder: str, check: bool = False) -> bool:
+def compile_catalog(t: dict[str, DataFrame], folder: str, check: bool = False, order: tuple[str, ...] = ("rule_id",)) -> bool:
     """Write the published rules, the search index and a manifest of their digests; with ``check`` write nothing. True if what was there is up to date."""
     spark = t["concepts"].sparkSession
-    parts = {"rules": (published(t), "rule_id"), "index": (search_index(t), "concept_id")}
+    parts = {"rules": (published(t, order), "rule_id"), "index": (search_index(t), "concept_id")}
     digests = {n: fingerprint(df, key).first()["sha256"] for n, (df, key) in parts.items()}
     try:
         old = {r["name"]: r["sha256"] for r in spark.read.json(f"{folder}/manifest").collect()}

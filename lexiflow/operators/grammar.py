@@ -143,3 +143,9 @@ def explained(occurrences: DataFrame, by_sense: DataFrame, by_concept: DataFrame
     """``occurrences`` (concept, sense, explicit) with ``explanation``: its own, else its sense's, else its concept's."""
     rows = occurrences.join(by_sense.withColumnRenamed("explanation", "s"), "sense", "left").join(by_concept.withColumnRenamed("explanation", "c"), "concept", "left")
     return rows.withColumn("explanation", F.coalesce("explicit", "s", "c")).drop("s", "c")
+
+
+def sense_confidence(candidates: DataFrame, by: list[str], confidence: str, step: int = 4) -> DataFrame:
+    """``candidates`` with their confidence less ``step`` for each other sense of the same concept, and not under 0."""
+    n = F.count("*").over(W.partitionBy(*by))
+    return candidates.withColumn(confidence, F.greatest(F.col(confidence) - step * (n - 1), F.lit(0)).cast("long"))

@@ -73,7 +73,10 @@ def redirect_targets(t):
     return catalog.targets(_tables(t)["redirects"])
 
 
-@query(with_(_TABLES, _ENDS, query="select rule_id, c.concept_id, c.label, coalesce(n, 0) as senses, case when r.status = 'verified' and c.status = 'verified' and coalesce(told, false) then 'accepted' else 'pending' end as status, row_number() over (order by priority desc, rule_id, c.concept_id, label) as place from rules r left join ends e on e.source = r.concept_id join concepts c on c.concept_id = coalesce(e.target, r.concept_id) left join (select concept_id, count(*) as n, bool_and(trim(text) <> '') as told from senses group by 1) s on s.concept_id = c.concept_id"))
+catalog_published_sql = with_(_TABLES, _ENDS, query="select rule_id, c.concept_id, c.label, coalesce(n, 0) as senses, case when r.status = 'verified' and c.status = 'verified' and coalesce(told, false) then 'accepted' else 'pending' end as status, row_number() over (order by priority desc, rule_id, c.concept_id, label) as place from rules r left join ends e on e.source = r.concept_id join concepts c on c.concept_id = coalesce(e.target, r.concept_id) left join (select concept_id, count(*) as n, bool_and(trim(text) <> '') as told from senses group by 1) s on s.concept_id = c.concept_id")
+
+
+@query(catalog_published_sql)
 def catalog_published(t):
     """QA-3, JOIN-17, SRT-2: rules with their concepts, what is published, in the order in which rules are tried."""
     return catalog.published(_tables(t), ("rule_id", "concept_id", "label"))

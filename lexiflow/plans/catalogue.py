@@ -681,4 +681,4 @@ def uncovered_tokens(t):
 
 
 
-from lexiflow.plans import catalogs, files, libraries, lookups, morphemes, qualities, readings, sessions  # noqa: E402, F401  (register their queries here)
+from lexiflow.plans import catalogs, files, functions, libraries, lookups, morphemes, qualities, readings, sessions  # noqa: E402, F401  (register their queries here)

@@ -47,7 +47,7 @@ def literal_tokens(t):
 @query(with_(TOKENS, _PARSED, "n as (select *, lag(surface) over x as ps, lead(surface) over x as ns, lag(major) over x as pm, lead(major) over x as nm, lead(\"end\") over x as ne from mo window x as (partition by doc_id, sent order by pos))", query="""select doc_id, sent, pos, 0 as part, case when surface = 'in' and ns = 'the' then 'inthe' else surface end as surface, case when surface = 'in' and ns = 'the' then '連体詞' else major end as major, start, case when surface = 'in' and ns = 'the' then ne else "end" end as "end" from n where not coalesce(surface = 'the' and ps = 'in', false) and not coalesce(surface = 'of' and pm = '名詞' and nm = '名詞', false)
 union all select doc_id, sent, pos, k, case k when 0 then 'o' else 'f' end, case k when 0 then '名詞' else '助詞' end, start + k, start + k + 1 from n, unnest([0, 1]) as u(k) where surface = 'of' and pm = '名詞' and nm = '名詞'"""))
 def morpheme_rewrites(t):
-    """PRJ-6: pairs that are merged, and words that come apart between nouns."""
+    """PRJ-6, WIN-3: pairs that are merged, and words that come apart between nouns."""
     rows = _rows(t)
     spark = rows.sparkSession
     merges = spark.createDataFrame([("in", "the", "連体詞", "*", "in the")], "first string, second string, major string, sub1 string, base string")
