@@ -8,6 +8,10 @@ are expressions over that array.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -156,3 +160,165 @@ def chain_candidates(chains: DataFrame, confidence: dict[str, int], other: int)
     each = chains.select("doc_id", "sent", "start_pos", F.explode(F.split("operators", " ")).alias("operator")).withColumn("confidence", sure)
     whole = each.groupBy("doc_id", "sent", "start_pos").agg(F.min("confidence").alias("confidence")).join(chains, ["doc_id", "sent", "start_pos"])
     return each.select("doc_id", "sent", "start_pos", F.lit("operator").alias("kind"), F.col("operator").alias("concept"), "confidence").unionByName(whole.select("doc_id", "sent", "start_pos", F.lit("chain").alias("kind"), F.col("operators").alias("concept"), "confidence"))
+
+
+#: Weights of boundary decisions, and morphemes of a phrase at most.
+WEIGHTS = {"hard": 1000, "structural": 200, "split": 80, "join": 40}
+LONGEST = 64
+#: Kinds of shape: confidence, and whether a candidate of that shape is accepted without more.
+SHAPES = {"nominal_compound": (94, True), "compound_predicate": (92, True), "derived_adjective": (90, True), "ambiguous_lexical_sequence": (60, False)}
+LEXICAL = (NOUN, PREFIX, VERB, ADJECTIVE)
+
+
+@dataclass(frozen=True)
+class BoundaryRule:
+    """Of a boundary before the morpheme ``current``: decision (join or split) and weight, where ``kind`` fits.
+
+    Kinds: ``symbol`` (either side is one), ``after_predicate`` (current's base
+    is among ``words``, and the span so far has a predicate), ``after_no``
+    (among ``words``, after ``の``), ``do_after_noun`` (``する`` after a noun),
+    ``negated`` (base among ``words``, and nothing independent since the span's
+    last formal noun, one of ``formal``), ``functional``, ``after_prefix``,
+    ``core`` (current can begin a phrase), ``default``.
+    """
+
+    id: str
+    kind: str
+    decision: str
+    weight: str
+    words: frozenset[str] = frozenset()
+    formal: frozenset[str] = frozenset()
+
+
+def _fits(rule: BoundaryRule, ms: list[dict], start: int, at: int, seen: tuple[list[int], list[int]]) -> bool:
+    before, current = ms[at - 1], ms[at]
+    predicates, cores = seen
+    match rule.kind:
+        case "symbol":
+            return SYMBOL in (before["major"], current["major"])
+        case "after_predicate":
+            return current["base"] in rule.words and predicates[at] > predicates[start]
+        case "after_no":
+            return before["base"] == ADNOMINAL and current["base"] in rule.words
+        case "do_after_noun":
+            return current["base"] == DO and next((m["major"] for m in reversed(ms[start:at]) if m["major"] != SYMBOL), "") == NOUN
+        case "negated":
+            last = next((k for k in range(at - 1, start - 1, -1) if ms[k]["base"] in rule.formal), None)
+            return current["base"] in rule.words and last is not None and cores[at] <= last
+        case "functional":
+            return current["major"] in (PARTICLE, AUXILIARY) or current["sub1"] in ("非自立", SUFFIX)
+        case "after_prefix":
+            return before["major"] == PREFIX
+        case "core":
+            return _independent(current)
+    return rule.kind == "default"
+
+
+def _independent(m: dict) -> bool:
+    return (m["major"] == VERB and m["sub1"] == INDEPENDENT) or m["major"] == ADJECTIVE or (m["major"] == NOUN and m["sub1"] not in BOUND) or m["major"] in ALONE
+
+
+def best_phrases(ms: list[dict], rules: list[BoundaryRule], joins: frozenset[int] = frozenset()) -> tuple[int, int, list[int]]:
+    """(score, unresolved, ends) of the best cut of a sentence's morphemes into phrases.
+
+    At each boundary the first rule that fits prefers a decision and gives its
+    weight for it; the other decision gives nothing, and against a hard rule,
+    or within ``joins``, it can't be taken. The largest score counts, then the
+    fewest boundaries where both decisions are worth the same, the fewest
+    phrases, and the earliest ends.
+    """
+    n = len(ms)
+    predicates, cores = [0], [-1]
+    for k, m in enumerate(ms):
+        predicates.append(predicates[-1] + (m["major"] in (VERB, ADJECTIVE, AUXILIARY)))
+        cores.append(k if _independent(m) else cores[-1])
+
+    def worth(start: int, at: int) -> tuple[str, int, bool]:
+        if at in joins:
+            return "join", WEIGHTS["hard"], True
+        rule = next(r for r in rules if _fits(r, ms, start, at, (predicates, cores)))
+        return rule.decision, WEIGHTS[rule.weight], rule.weight == "hard"
+
+    # by end: sort key (smaller is better) and the end before; ends themselves are compared only where all else is equal
+    best: list[tuple[tuple[int, int, int], int] | None] = [None] * (n + 1)
+    best[0] = ((0, 0, 0), 0)
+
+    def ends(e: int) -> list[int]:
+        out = []
+        while e:
+            out.append(e)
+            e = best[e][1]
+        return out[::-1]
+
+    for start in range(n):
+        if best[start] is None:
+            continue
+        score, unresolved, spans = best[start][0]
+        for end in range(start + 1, min(n, start + LONGEST) + 1):
+            if end > start + 1:
+                decision, weight, hard = worth(start, end - 1)
+                if decision == "split" and hard:
+                    break
+                score -= weight if decision == "join" else 0
+                unresolved += weight == 0
+            value = (score, unresolved, spans + 1)
+            if end < n:
+                decision, weight, hard = worth(start, end)
+                if decision == "join" and hard:
+                    continue
+                value = (score - (weight if decision == "split" else 0), unresolved + (weight == 0), spans + 1)
+            if best[end] is None or value < best[end][0] or (value == best[end][0] and [*ends(start), end] < ends(end)):
+                best[end] = (value, start)
+    if best[n] is None:
+        return 0, 0, list(range(1, n + 1))  # hard rules against each other: every morpheme alone
+    return -best[n][0][0], best[n][0][1], ends(n)
+
+
+PATH = "doc_id long, sent long, score long, unresolved long, ends array<long>"
+
+
+def phrase_paths(rows: DataFrame, rules: list[BoundaryRule]) -> DataFrame:
+    """PATH for each sentence of ``rows`` (doc_id, sent, pos, m); a sentence is one task's work. The last rule must be the default."""
+    if not rules or rules[-1].kind != "default":
+        raise ValueError("the last rule must be the default")
+
+    def run(group: pa.Table) -> pa.Table:
+        order = np.argsort(group.column("pos").to_numpy(), kind="stable")
+        ms = group.column("m").to_pylist()
+        score, unresolved, ends = best_phrases([ms[k] for k in order], rules)
+        return pa.table({"doc_id": group.column("doc_id")[:1], "sent": group.column("sent")[:1], "score": pa.array([score], pa.int64()), "unresolved": pa.array([unresolved], pa.int64()), "ends": pa.array([ends], pa.list_(pa.int64()))})
+
+    return rows.select("doc_id", "sent", "pos", F.struct("m.major", "m.sub1", "m.base").alias("m")).groupBy("doc_id", "sent").applyInArrow(run, PATH)
+
+
+def lexical_windows(rows: DataFrame, longest: int) -> DataFrame:
+    """(doc_id, sent, start_pos, width, surface, query, shape): windows of 2 to ``longest`` adjacent lexical morphemes of a sentence.
+
+    ``query`` is the window's surface, with the base form for a verb or
+    adjective at its end.
+    """
+    w = W.partitionBy("doc_id", "sent").orderBy("pos")
+    ahead = [F.lead("m", k).over(w) if k else F.col("m") for k in range(longest)]
+    rows = rows.select("doc_id", "sent", "pos", F.array(*ahead).alias("a")).where(F.col("a")[0]["major"].isin(*LEXICAL))
+    usable = F.coalesce(F.nullif(F.array_position(F.transform("a", lambda m: F.coalesce(m["major"].isin(*LEXICAL), F.lit(False))), F.lit(False)), F.lit(0)) - 1, F.lit(longest)).cast("int")
+    rows = rows.withColumn("n", usable).where("n >= 2").select("doc_id", "sent", "pos", F.explode(F.transform(F.sequence(F.lit(2), F.col("n")), lambda k: F.slice(F.col("a"), F.lit(1), k))).alias("ms"))
+    last, rest = F.element_at("ms", -1), F.slice("ms", F.lit(1), F.size("ms") - 1)
+    text = lambda c: F.array_join(F.transform(c, lambda m: m["surface"]), "")
+    nominal = F.forall("ms", lambda m: m["major"].isin(NOUN, PREFIX))
+    verbal = (last["major"] == VERB) & F.forall(rest, lambda m: (m["major"] == VERB) & m["cform"].startswith("連用"))
+    derived = (last["major"] == ADJECTIVE) & (last["sub1"] == SUFFIX) & F.forall(rest, lambda m: m["major"] == NOUN)
+    shape = F.when(nominal, "nominal_compound").when(verbal, "compound_predicate").when(derived, "derived_adjective").otherwise("ambiguous_lexical_sequence")
+    ending = F.when(last["major"].isin(VERB, ADJECTIVE) & (last["base"] != "*"), last["base"]).otherwise(last["surface"])
+    return rows.select("doc_id", "sent", F.col("pos").alias("start_pos"), F.size("ms").cast("long").alias("width"), text("ms").alias("surface"), F.concat(text(rest), ending).alias("query"), shape.alias("shape"))
+
+
+def lexical_candidates(rows: DataFrame, entries: DataFrame, longest: int) -> DataFrame:
+    """(doc_id, sent, start_pos, width, surface, query, shape, confidence, accepted): the lexical windows that are entries (query).
+
+    ``longest`` is the number of words of the longest entry, so no entry is missed.
+    """
+    rows = lexical_windows(rows, longest).join(entries.select("query").distinct(), "query", "left_semi")
+    sure, ok = F.lit(0), F.lit(False)
+    for name, (confidence, accepted) in SHAPES.items():
+        sure, ok = F.when(F.col("shape") == name, confidence).otherwise(sure), F.when(F.col("shape") == name, accepted).otherwise(ok)
+    return rows.select("doc_id", "sent", "start_pos", "width", "surface", "query", "shape", sure.alias("confidence"), ok.alias("accepted"))

@@ -125,3 +125,48 @@ def lattice_candidates(t):
     lexicon = spark.createDataFrame([(w, 0, 0, 100 + 10 * len(w), "word") for w in words], "surface string, left int, right int, cost int, feature string")
     found = lattice.analysed(names, lexicon, spark.createDataFrame([], "right int, left int, cost int"), 3)
     return lattice.candidates(found, "text").select("text", "cost", "relative_cost", "rank")
+
+
+#: Boundary rules of these queries, the first that fits decides.
+BOUNDARIES = [
+    phrases.BoundaryRule("formal_noun", "after_predicate", "join", "structural", frozenset(["with", "mit", "pour", "por"])),
+    phrases.BoundaryRule("relational_noun", "after_no", "join", "structural", frozenset(["thing", "ein", "un"])),
+    phrases.BoundaryRule("do", "do_after_noun", "join", "structural"),
+    phrases.BoundaryRule("negated", "negated", "join", "structural", frozenset(["for", "von"]), frozenset(["with", "mit"])),
+    phrases.BoundaryRule("functional", "functional", "join", "join"),
+    phrases.BoundaryRule("prefix", "after_prefix", "join", "hard"),
+    phrases.BoundaryRule("core", "core", "split", "split"),
+    phrases.BoundaryRule("default", "default", "join", "join"),
+]
+
+
+@query()
+def phrase_paths(t):
+    """INT-5, INT-6: the best cut of each sentence by boundary rules, and how many boundaries stay open."""
+    return phrases.phrase_paths(_rows(t), BOUNDARIES).withColumn("ends", F.array_join(F.col("ends").cast("array<string>"), ","))
+
+
+_LEXICAL = "('名詞', '接頭詞', '動詞', '形容詞')"
+
+
+def _windows(table: str, out: str) -> str:
+    """Windows of two and three lexical morphemes."""
+    ahead = ", ".join(f"lead({{'s': surface, 'm': major, 'c': cform, 'b': base, 'u': sub1}}, {k}) over x as a{k}" for k in (1, 2))
+    tail = lambda a: f"case when {a}.m in ('動詞', '形容詞') and {a}.b <> '*' then {a}.b else {a}.s end"
+    return f"""{out}0 as (select *, {{'s': surface, 'm': major, 'c': cform, 'b': base, 'u': sub1}} as a0, {ahead} from {table} window x as (partition by doc_id, sent order by pos)),
+{out} as (select doc_id, sent, pos as start_pos, 2::bigint as width, a0.s || a1.s as surface, a0.s || {tail('a1')} as query, [a0, a1] as ms from {out}0 where a0.m in {_LEXICAL} and a1.m in {_LEXICAL} union all select doc_id, sent, pos, 3, a0.s || a1.s || a2.s, a0.s || a1.s || {tail('a2')}, [a0, a1, a2] from {out}0 where a0.m in {_LEXICAL} and a1.m in {_LEXICAL} and a2.m in {_LEXICAL})"""
+
+
+_BENCH = _PARSED.replace("from tok)", "from btok)").replace("fe as", "bfe as").replace("from fe)", "from bfe)").replace("mo as", "bmo as")
+_BTOK = TOKENS.replace("documents", "(select item_id as doc_id, text from benchmark) b").replace("pieces", "bpieces").replace("placed", "bplaced").replace("tok as", "btok as")
+
+
+@query(with_(TOKENS, _PARSED, _BTOK, _BENCH, _windows("mo", "dw"), _windows("bmo", "bw"), query="""select doc_id, sent, start_pos, width, surface, query, shape, case shape when 'nominal_compound' then 94 when 'compound_predicate' then 92 when 'derived_adjective' then 90 else 60 end as confidence, shape <> 'ambiguous_lexical_sequence' as accepted
+from (select *, case when len(list_filter(ms, lambda m: m.m not in ('名詞', '接頭詞'))) = 0 then 'nominal_compound' when ms[-1].m = '動詞' and len(list_filter(list_slice(ms, 1, len(ms) - 1), lambda m: m.m = '動詞' and m.c like '連用%')) = len(ms) - 1 then 'compound_predicate' when ms[-1].m = '形容詞' and ms[-1].u = '接尾' and len(list_filter(list_slice(ms, 1, len(ms) - 1), lambda m: m.m = '名詞')) = len(ms) - 1 then 'derived_adjective' else 'ambiguous_lexical_sequence' end as shape
+from dw where query in (select query from bw))"""))
+def lexical_candidates(t):
+    """SEQ-6: windows of lexical morphemes that are entries, and their shapes."""
+    m = phrases.morpheme(F.col("surface"), F.expr(FEATURES), F.col("start"), F.col("end"))
+    bench = text.tokens(t("benchmark").withColumnRenamed("item_id", "doc_id")).select("doc_id", "sent", "pos", m.alias("m"))
+    entries = phrases.lexical_windows(bench, 3).select("query")
+    return phrases.lexical_candidates(_rows(t), entries, 3)

@@ -209,3 +209,73 @@ def test_pages(spark):
     for r in catalogue.QUERIES["html_sanitize"](spark, SF).collect():
         assert set(re.findall(r"</?([a-z0-9]+)", r.clean)) <= set("a b blockquote br code div em h1 h2 h3 h4 h5 h6 i li ol p pre ruby rb rt rp span strong sub sup table tbody td th tr ul".split())
         assert not re.search(r"<[^>]*\s(on\w+|style|class)=", r.clean) and "javascript:" not in r.clean
+
+
+def cuts(n):
+    """All ways to cut n morphemes, as lists of ends."""
+    for mask in range(2 ** (n - 1)):
+        yield [k + 1 for k in range(n - 1) if mask >> k & 1] + [n]
+
+
+def worth_of(ms, ends, rules):
+    """(score, unresolved) of a cut by looking at each boundary of each span; None if a hard rule is broken."""
+    from lexiflow.operators import phrases as p
+
+    score = unresolved = start = 0
+    for end in ends:
+        for at in range(start + 1, min(end, len(ms) - 1) + 1):
+            span = ms[start:at]
+            before, current = ms[at - 1], ms[at]
+            for r in rules:
+                formal = [k for k, m in enumerate(span) if m["base"] in r.formal]
+                fits = {
+                    "symbol": "記号" in (before["major"], current["major"]),
+                    "after_predicate": current["base"] in r.words and any(m["major"] in ("動詞", "形容詞", "助動詞") for m in span),
+                    "after_no": before["base"] == "の" and current["base"] in r.words,
+                    "do_after_noun": current["base"] == "する" and [m["major"] for m in span if m["major"] != "記号"][-1:] == ["名詞"],
+                    "negated": current["base"] in r.words and bool(formal) and not any(p._independent(m) for m in span[formal[-1] + 1 :]),
+                    "functional": current["major"] in ("助詞", "助動詞") or current["sub1"] in ("非自立", "接尾"),
+                    "after_prefix": before["major"] == "接頭詞",
+                    "core": p._independent(current),
+                    "default": True,
+                }[r.kind]
+                if fits:
+                    break
+            decision = "split" if at == end else "join"
+            if decision == r.decision:
+                score += p.WEIGHTS[r.weight]
+            elif r.weight == "hard":
+                return None
+            unresolved += p.WEIGHTS[r.weight] == 0
+        start = end
+    return score, unresolved
+
+
+def test_best_phrases_of_random_sentences():
+    """Against all cuts: score, then open boundaries, then fewer phrases, then earlier ends."""
+    import random
+
+    from lexiflow.operators import phrases as p
+    from lexiflow.plans.morphemes import BOUNDARIES
+
+    r = random.Random(11)
+    kinds = [("動詞", "自立"), ("名詞", "一般"), ("名詞", "接尾"), ("助詞", "格助詞"), ("助動詞", "*"), ("接頭詞", "名詞接続"), ("形容詞", "自立"), ("記号", "一般")]
+    rules = [p.BoundaryRule("s", "symbol", "split", "hard"), *BOUNDARIES]
+    for _ in range(400):
+        ms = []
+        for _ in range(r.randrange(1, 9)):
+            major, sub1 = r.choice(kinds)
+            ms.append({"major": major, "sub1": sub1, "base": r.choice(["x", "with", "の", "thing", "する", "for"])})
+        own = r.choice([rules, BOUNDARIES])
+        tried = [(-w[0], w[1], len(c), c) for c in cuts(len(ms)) if (w := worth_of(ms, c, own))]
+        score, unresolved, ends = p.best_phrases(ms, own)
+        assert (-score, unresolved, len(ends), ends) == min(tried)
+
+
+def test_phrase_paths_query(spark):
+    rows = catalogue.QUERIES["phrase_paths"](spark, SF).collect()
+    sentences = {(r.doc_id, r.sent): r.n for r in catalogue.QUERIES["morpheme_features"](spark, SF).join(catalogue.QUERIES["boundary_features"](spark, SF).select("doc_id", "pos", "sent"), ["doc_id", "pos"]).groupBy("doc_id", "sent").count().withColumnRenamed("count", "n").collect()}
+    assert {(r.doc_id, r.sent) for r in rows} == set(sentences)
+    for r in rows:
+        ends = [int(x) for x in r.ends.split(",")]
+        assert ends == sorted(set(ends)) and ends[-1] == sentences[r.doc_id, r.sent] and ends[0] > 0
