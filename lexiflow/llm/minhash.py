@@ -43,7 +43,7 @@ KEYS = 2_000_000
 #: Rows of one key beyond which a join deals them over SALT parts.
 HOT, SALT = 500, 32
 #: Texts that a task compares with as many others at a time.
-BLOCK = 256
+BLOCK = 128
 #: Word hashes that a task remembers at most.
 REMEMBERED = 200_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)

@@ -34,7 +34,7 @@ NEVER, NONE = 1 << 60, np.iinfo(np.int32).max
 #: Chunks of up to so many symbols are merged many at a time.
 SHORT = 48
 #: Bytes of chunks and ids that a Python worker remembers at most, where each chunk counts ENTRY bytes besides its own.
-REMEMBERED, ENTRY = 64_000_000, 250
+REMEMBERED, ENTRY = 125_000_000, 250
 #: Texts, and characters of them but for one long text, whose chunks are held at a time.
 SLICE, CHARACTERS = 400, 2_000_000
 

@@ -49,8 +49,8 @@ CHAIN = 200
 WIDTH = 1 << 18
 #: Fit parameters: labelled documents of either class, precision, contexts and prior of a lexicon entry, chains kept for each document, parts of the sample.
 CLEAN, TOXIC, PRECISION, CONTEXTS, PRIOR, CHAINS_KEPT, PARTS = 2000, 2000, 0.9, 5, 0.3, 3, 2
-#: Words or features that a task remembers at most.
-REMEMBERED = 150_000
+#: Features that a task counts at a time, and words whose weights it remembers, at most.
+REMEMBERED, WORDS = 150_000, 400_000
 
 
 def features(word: str) -> list[str]:
@@ -349,7 +349,7 @@ def tagger(field: Field | None, raw: bool = False):
                     c = field.curve if field else None
                     score = 1 / (1 + np.exp(-(c[0] + c[1] * most + c[2] * np.log1p(total)))) if c else 0.0
                     out.append({"most": most, "total": total, "score": float(score), "spans": [{"start": a, "end": e, "marginal": m} for a, e, m in spans]})
-                if words is not None and len(words) > REMEMBERED:
+                if words is not None and len(words) > WORDS:
                     words = Words(field)
             yield pa.array(out, made)
 
