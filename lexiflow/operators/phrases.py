@@ -29,10 +29,14 @@ FIELDS = ("major", "sub1", "sub2", "sub3", "ctype", "cform", "base", "reading")
 
 def morpheme(surface: Column, features: Column, start: Column, end: Column) -> Column:
     """The struct for a string of comma-separated features; missing ones are ``*``, and without a base form the surface is it."""
-    parts = F.split(features, ",")
-    get = {n: F.coalesce(F.get(parts, F.lit(k)), F.lit("*")) for k, n in enumerate(FIELDS)}
-    get["base"] = F.coalesce(F.nullif(F.nullif(get["base"], F.lit("*")), F.lit("")), surface)
-    return F.struct(surface.alias("surface"), *[get[n].alias(n) for n in FIELDS], start.alias("start"), end.alias("end"))
+
+    def made(parts: Column) -> Column:
+        get = {n: F.coalesce(F.get(parts, F.lit(k)), F.lit("*")) for k, n in enumerate(FIELDS)}
+        get["base"] = F.coalesce(F.nullif(F.nullif(get["base"], F.lit("*")), F.lit("")), surface)
+        return F.struct(surface.alias("surface"), *[get[n].alias(n) for n in FIELDS], start.alias("start"), end.alias("end"))
+
+    # a lambda's variable is evaluated once, however often it's used
+    return F.element_at(F.transform(F.array(F.split(features, ",")), made), 1)
 
 
 def independent(m: Column) -> Column:
@@ -137,10 +141,14 @@ def with_function(rows: DataFrame) -> DataFrame:
 
 def anchor_form(form: Column) -> Column:
     """Struct of kind, value and confidence that a conjugation form stands for; null for others."""
-    out = F.lit(None).cast("struct<kind:string,value:string,confidence:int>")
-    for part, kind, value, confidence in reversed(FORMS):
-        out = F.when(F.contains(form, F.lit(part)), F.struct(F.lit(kind).alias("kind"), F.lit(value).alias("value"), F.lit(confidence).alias("confidence"))).otherwise(out)
-    return out
+
+    def said(f: Column) -> Column:
+        out = F.lit(None).cast("struct<kind:string,value:string,confidence:int>")
+        for part, kind, value, confidence in reversed(FORMS):
+            out = F.when(F.contains(f, F.lit(part)), F.struct(F.lit(kind).alias("kind"), F.lit(value).alias("value"), F.lit(confidence).alias("confidence"))).otherwise(out)
+        return out
+
+    return F.element_at(F.transform(F.array(form), said), 1)
 
 
 def audit(rows: DataFrame, sentences: DataFrame) -> DataFrame:
