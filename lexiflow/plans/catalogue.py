@@ -551,7 +551,7 @@ def html_sanitize(t):
     return t("pages").select("page_id", html.sanitized("html").alias("clean"))
 
 
-_INNER = "replace(replace(replace(replace(trim(regexp_replace(regexp_replace({}, '<[^<>]*>', '', 'g'), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')"
+_INNER = "regexp_replace(replace(replace(replace(trim(regexp_replace(regexp_replace({}, '<[^<>]*>', '', 'g'), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;?', '&', 'g')"
 
 
 @query(f"""select page_id, {_INNER.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} as header, len(regexp_extract_all(html, '<li>')) as items, len(regexp_extract_all(html, '(?s)<div class="ad">')) as sections, len(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1))) as links from pages""")
