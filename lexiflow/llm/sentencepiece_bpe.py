@@ -20,6 +20,7 @@ import heapq
 import re
 import sys
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -233,11 +234,13 @@ class Memory(dict):
 
     def learn(self, chunks: set[str]) -> None:
         """Encode, decode and remember these; those for which the library gives other ids or another text go to ``wrong``."""
-        if self.size > REMEMBERED:
+        if self.size > REMEMBERED:  # frequent chunks come early, so those that came first stay
+            kept = list(islice(self.items(), len(self) // 2))
             self.clear()
-            self.odd.clear()
-            self.wrong.clear()
-            self.size = 0
+            self.update(kept)
+            self.size = sum(len(c) + len(x) + ENTRY for c, x in kept)
+            self.odd = {c: t for c, t in self.odd.items() if c in self}
+            self.wrong = {c for c in self.wrong if c in self}
         new = [c for c in chunks if c not in self]
         if not new:
             return
