@@ -44,8 +44,8 @@ KEYS = 2_000_000
 HOT, SALT = 500, 32
 #: Texts that a task compares with as many others at a time.
 BLOCK = 128
-#: Word hashes that a task remembers at most.
-REMEMBERED = 200_000
+#: Word hashes that a task remembers at most, and rows that are Python objects at a time.
+REMEMBERED, SLICE = 200_000, 500
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -119,12 +119,19 @@ class Shingler:
             return mixed(bands + np.arange(self.bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of SLICE rows at most, so that few texts and sets are Python objects at a time."""
+    for b in batches:
+        for k in range(0, max(1, len(b)), SLICE):
+            yield b.slice(k, SLICE)
+
+
 def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n_shingles, digest, keys): digest names the word sequence; it is null, and keys empty, for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Shingler(words)
-        for b in batches:
+        for b in sliced(batches):
             n, digests, keys, offsets = [], [], [], [0]
             for t in b.column(1).to_pylist():
                 w = s.words(t)
@@ -146,7 +153,7 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Shingler(words)
-        for b in batches:
+        for b in sliced(batches):
             found = [s.words(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([s.digest(w) for w in found], pa.binary()), pa.array([s.set_of(w).tobytes() for w in found], pa.binary())], ["digest", "shingles"])
 
@@ -157,8 +164,8 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
 def similar(a: pa.Array, b: pa.Array, percent: pa.Array) -> pa.Array:
     """100 * intersection >= percent * union of two sorted sets."""
     out = []
-    for x, y, p in zip(a.to_pylist(), b.to_pylist(), percent.to_pylist()):
-        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    for k in range(len(a)):
+        x, y, p = np.frombuffer(a[k].as_buffer(), np.uint64), np.frombuffer(b[k].as_buffer(), np.uint64), percent[k].as_py()
         if len(x) > len(y):
             x, y = y, x
         both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0

@@ -50,7 +50,7 @@ WIDTH = 1 << 18
 #: Fit parameters: labelled documents of either class, precision, contexts and prior of a lexicon entry, chains kept for each document, parts of the sample.
 CLEAN, TOXIC, PRECISION, CONTEXTS, PRIOR, CHAINS_KEPT, PARTS = 2000, 2000, 0.9, 5, 0.3, 3, 2
 #: Features that a task counts at a time, and words whose weights it remembers, at most.
-REMEMBERED, WORDS = 150_000, 400_000
+REMEMBERED, WORDS = 150_000, 150_000
 
 
 def features(word: str) -> list[str]:
