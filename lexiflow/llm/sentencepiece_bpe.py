@@ -35,7 +35,9 @@ NEVER, NONE = 1 << 60, np.iinfo(np.int32).max
 #: Chunks of up to so many symbols are merged many at a time.
 SHORT = 48
 #: Bytes of chunks and ids that a Python worker remembers at most, where each chunk counts ENTRY bytes besides its own.
-REMEMBERED, ENTRY = 125_000_000, 250
+REMEMBERED, ENTRY = 170_000_000, 250
+#: Chunks that it keeps from task to task.
+CARRIED = 100_000
 #: Texts, and characters of them but for one long text, whose chunks are held at a time.
 SLICE, CHARACTERS = 400, 2_000_000
 
@@ -232,15 +234,21 @@ class Memory(dict):
         super().__init__()
         self.vocabulary, self.odd, self.wrong, self.size = vocabulary, {}, set(), 0
 
+    def keep(self, n: int) -> None:
+        """Forget all but the n chunks that came first: frequent ones come early."""
+        if len(self) <= n:
+            return
+        kept = list(islice(self.items(), n))
+        self.clear()
+        self.update(kept)
+        self.size = sum(len(c) + len(x) + ENTRY for c, x in kept)
+        self.odd = {c: t for c, t in self.odd.items() if c in self}
+        self.wrong = {c for c in self.wrong if c in self}
+
     def learn(self, chunks: set[str]) -> None:
         """Encode, decode and remember these; those for which the library gives other ids or another text go to ``wrong``."""
-        if self.size > REMEMBERED:  # frequent chunks come early, so those that came first stay
-            kept = list(islice(self.items(), len(self) // 2))
-            self.clear()
-            self.update(kept)
-            self.size = sum(len(c) + len(x) + ENTRY for c, x in kept)
-            self.odd = {c: t for c, t in self.odd.items() if c in self}
-            self.wrong = {c for c in self.wrong if c in self}
+        if self.size > REMEMBERED:
+            self.keep(len(self) // 2)
         new = [c for c in chunks if c not in self]
         if not new:
             return
@@ -311,6 +319,7 @@ def coder(model: bytes):
         for batch in batches:
             slices = [coded_slice(memory, part) for part in sliced(batch)]
             yield pa.concat_arrays(slices) if slices else coded_slice(memory, [])
+        memory.keep(CARRIED)
 
     return coded.asNondeterministic()  # else a filter on its output would run it twice
 
