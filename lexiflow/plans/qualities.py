@@ -27,7 +27,7 @@ def _before_after(t) -> tuple[DataFrame, DataFrame]:
         common = lambda df, stage, key, value, status, end: df.select(F.col("doc_id").alias("document"), F.lit(stage).alias("stage"), F.col(key).alias("key"), "start", end.cast("long").alias("end"), value.alias("value"), status.alias("status"))
         own_lines = common(lines, "lines", "line_no", edit(F.col("line_no") % 5 == 2, F.concat("line", F.lit("!")), F.col("line")), F.lit("accepted"), F.col("start") + F.length("line"))
         status = F.when(F.col("pos") % 3 == 0, "accepted").otherwise("pending")
-        words = tok.where(F.length("w") >= 9).where(F.col("pos") % 7 != (1 if after else 2))
+        words = text.tokens(docs, 9).where(F.col("pos") % 7 != (1 if after else 2))
         own_words = common(words, "words", "pos", F.col("w"), edit(F.col("pos") % 11 == 3, F.lit("rejected"), status), F.col("end"))
         own_sents = common(sents, "sentences", "sent", F.col("n").cast("string"), F.lit("accepted"), edit(F.col("sent") % 4 == 1, F.col("end") - 1, F.col("end")))
         return own_lines.unionByName(own_words).unionByName(own_sents)

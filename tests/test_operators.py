@@ -202,3 +202,13 @@ def test_closure_of_long_chains_and_cycles(spark):
     want = {(a, b): b - a for a in range(51) for b in range(a + 1, 51)} | {(100 + a, 100 + (a + d) % 3): d for a in range(3) for d in (1, 2, 3)}
     assert rows == want
     assert snapshots.closure(edges.where("false")).collect() == []
+
+
+def test_blocks_of_pieces_and_tokens_are_bounded():
+    import pyarrow as pa
+
+    batch = pa.array(["One two. Three\nfour"] * 10_000 + [None, ""])
+    for f, each in ((text.pieces_of, 7), (text._words_of(1), 4)):
+        sizes = [(len(x), len(x.flatten())) for x in f.func(iter([batch, batch[:0], batch]))]
+        assert sum(n for n, _ in sizes) == 2 * len(batch) and sum(k for _, k in sizes) == 2 * 10_000 * each
+        assert max(k for _, k in sizes) < text.BLOCK + 9
