@@ -70,14 +70,14 @@ def targets(redirects: DataFrame) -> DataFrame:
 
 
 def published(t: dict[str, DataFrame], order: tuple[str, ...] = ("rule_id",)) -> DataFrame:
-    """(rule_id, concept_id, label, senses, status, place): rules with their concept after redirects; accepted only if rule and concept are verified and all senses have a text; placed by priority, then id."""
+    """(rule_id, concept_id, label, senses, status, place): rules with their concept after redirects; accepted only if rule and concept are verified and all senses have a text; placed by priority, then ``order``; of rules that are equal in all of it the later concept's before redirects comes first."""
     moved = targets(t["redirects"])
-    rules = t["rules"].join(moved.select(F.col("source").alias("concept_id"), F.col("target").alias("_to")), "concept_id", "left").withColumn("concept_id", F.coalesce("_to", "concept_id")).drop("_to")
+    rules = t["rules"].withColumn("_source", F.col("concept_id")).join(moved.select(F.col("source").alias("concept_id"), F.col("target").alias("_to")), "concept_id", "left").withColumn("concept_id", F.coalesce("_to", "concept_id")).drop("_to")
     senses = t["senses"].groupBy("concept_id").agg(F.count("*").alias("senses"), F.every(F.coalesce(F.trim("text"), F.lit("")) != "").alias("_told"))
     rows = rules.join(t["concepts"].select("concept_id", "label", F.col("status").alias("_concept")), "concept_id").join(senses, "concept_id", "left")
     sound = (F.col("status") == "verified") & (F.col("_concept") == "verified") & F.coalesce("_told", F.lit(False))
     # a catalogue is a small table: its order needs one window over all of it
-    place = F.row_number().over(W.orderBy(F.desc("priority"), *order))
+    place = F.row_number().over(W.orderBy(F.desc("priority"), *order, F.desc("_source"), F.desc("status")))
     return rows.select("rule_id", "concept_id", "label", F.coalesce("senses", F.lit(0)).alias("senses"), F.when(sound, "accepted").otherwise("pending").alias("status"), place.cast("long").alias("place"))
 
 

@@ -245,3 +245,15 @@ def test_readings_and_compatible_aliases(spark):
     words = spark.createDataFrame([("漢",), ("々",), ("かナ",), ("カー・",), ("a",), ("ㇰ",)], "w string")
     rules = [[getattr(scalars, f)(F.col("w")).alias(f) for f in ("is_han", "has_kanji", "is_kana", "is_kana_form", "is_kana_query")]]
     assert [tuple(r) for r in words.select(*rules[0]).collect()] == [(True, True, False, False, False), (False, True, False, False, False), (False, False, True, True, True), (False, False, True, True, True), (False, False, False, False, False), (False, False, False, True, False)]
+
+
+def test_rules_of_one_place_in_the_order_keep_it(spark):
+    from lexiflow.operators import catalog
+
+    frame = spark.createDataFrame
+    concepts = frame([("c1", "x", "verified"), ("c2", "y", "verified")], "concept_id string, label string, status string")
+    senses, redirects = frame([("c1", "text")], "concept_id string, text string"), frame([("c2", "c1")], "source string, target string")
+    for way in (1, -1):
+        rules = frame([("r1", "c1", 5, "pending"), ("r1", "c2", 5, "verified")][::way], "rule_id string, concept_id string, priority int, status string").coalesce(1)
+        rows = catalog.published({"concepts": concepts, "senses": senses, "rules": rules, "redirects": redirects}, ("rule_id", "concept_id", "label")).collect()
+        assert sorted((r.place, r.status) for r in rows) == [(1, "accepted"), (2, "pending")]
