@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lexiflow.operators.groups import by_group
+
 
 def chains(tokens: DataFrame, is_root: Column, is_auxiliary: Column) -> DataFrame:
     """(doc_id, sent, start_pos, n_aux, operators): each root with the unbroken run of auxiliaries after it, roots without any left out.
@@ -75,14 +77,15 @@ REFINED = "concept string, start long, `end` long, priority long, refines string
 def refined(occurrences: DataFrame, keys: list[str]) -> DataFrame:
     """``occurrences`` (REFINED and keys) with ``resolved``; sequential within a group, whose rows are taken by priority, start and id."""
 
-    def run(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: (-r["priority"], r["start"], r["id"]))
-        for r, s in zip(rows, refine(rows)):
-            r["resolved"] = s
-        return pa.Table.from_pylist(rows, schema=group.schema.append(pa.field("resolved", pa.string())))
+    columns = occurrences.columns
+    names = [*keys, *(c for c in columns if c not in keys)]
+
+    def run(group: list[tuple]) -> list[tuple]:
+        rows = sorted((dict(zip(names, r)) for r in group), key=lambda r: (-r["priority"], r["start"], r["id"]))
+        return [(*r.values(), s) for r, s in zip(rows, refine(rows))]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in occurrences.schema) + ", resolved string"
-    return occurrences.groupBy(*keys).applyInArrow(run, schema)
+    schema = ", ".join(f"`{c}` {occurrences.schema[c].dataType.simpleString()}" for c in names) + ", resolved string"
+    return by_group(occurrences, keys, [], schema, run).select(*columns, "resolved")
 
 
 def pair(before: list[dict], after: list[dict]) -> list[tuple[int, int, int]]:
