@@ -9,6 +9,7 @@ from lexiflow.operators import quality, text
 from lexiflow.plans.registry import query
 from lexiflow.plans.sql import LINES, TOKENS, with_
 from lexiflow.sources import tables
+from lexiflow.sources.shared import checkpointed
 
 STAGES = [("source", 0), ("lines", 1), ("words", 2), ("sentences", 3), ("expressions", 4)]
 NEEDS = [("words", "lines", 1), ("sentences", "lines", 1), ("sentences", "words", 2)]
@@ -59,7 +60,8 @@ def _changes(t) -> DataFrame:
 
 def _caused(t) -> DataFrame:
     spark = t("documents").sparkSession
-    return quality.causes(_changes(t), spark.createDataFrame(NEEDS, "stage string, ancestor string, place int"))
+    # changes are read three times here, and made from two versions of all texts
+    return quality.causes(checkpointed(_changes(t)), spark.createDataFrame(NEEDS, "stage string, ancestor string, place int"))
 
 
 @query(with_(TOKENS, LINES, _CHANGES, query='select document, stage, key, start, "end", operation, scope, severity, status_before, status_after from c'))
@@ -83,9 +85,10 @@ summary as (select *, case when units = 0 then 0.0 else round(changes / units, 8
 def _summary(t) -> tuple[DataFrame, DataFrame]:
     before, after = _before_after(t)
     spark = before.sparkSession
-    caused = _caused(t)
+    caused = checkpointed(_caused(t).drop("causes", "fields"))
     stages = spark.createDataFrame(STAGES, "stage string, place int")
-    return quality.stage_summary(stages, before, after, caused, spark.createDataFrame([], "stage string")), caused
+    summary = quality.stage_summary(stages, before, after, caused, spark.createDataFrame([], "stage string"))
+    return checkpointed(summary), caused
 
 
 @query(with_(TOKENS, LINES, _CHANGES, _CAUSES, _SUMMARY, query="""select stage, place, coverage, before_n, after_n, changes, roots, units, rate, coalesce(round(greatest((q + z * z / (2 * units) - z * sqrt(q * (1 - q) / units + z * z / (4.0 * units * units))) / (1 + z * z / units), 0), 8), 0) as low,

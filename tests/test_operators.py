@@ -251,3 +251,13 @@ def test_readings_of_documents_are_not_broadcast(spark):
     rows = ruby.with_map(heads, spark.createDataFrame([(1, "ab", "r1"), (1, "a", "r2")], "doc_id long, base string, reading string"))
     assert sorted((r.doc_id, r.surface, r.reading) for r in rows.collect()) == [(1, "ab", "r1"), (1, "x", "r2"), (2, "ab", "no")]
     assert "BroadcastHashJoin" not in ruby.with_map(heads, heads.select("doc_id", "base", "reading"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_comparisons_read_the_texts_a_few_times(spark):
+    from conftest import SF
+
+    from lexiflow.plans import catalogue
+
+    for n in ("stage_summary", "gate_rules", "gate_verdict"):
+        assert "ArrowEvalPython" not in catalogue.QUERIES[n](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert catalogue.QUERIES["change_causes"](spark, SF)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 0
