@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, learn: Colu
     return texts.join(F.broadcast(chosen), "doc_id")
 
 
+def released() -> None:
+    """Give back what Arrow and C hold without need: a Python worker stays for later tasks and stages, beside an executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(c := ctypes.CDLL(None), "malloc_trim"):
+        c.malloc_trim(0)
+
+
 def outside(df: DataFrame, wanted: str) -> str:
     """A column name that ``df`` doesn't have yet (without regard to case)."""
     names = {c.lower() for c in df.columns}

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiflow.llm.common import checkpointed, table
+from lexiflow.llm.common import checkpointed, released, table
 
 BANDS, ROWS = 32, 5
 #: Keys (16 bytes each) that are broadcast at most.
@@ -143,6 +143,8 @@ def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
                 offsets.append(offsets[-1] + s.bands * bool(len(w)))
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["doc_id", "n_shingles", "digest", "keys"])
+        s = w = shingles = n = digests = keys = flat = None
+        released()
 
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return given.mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>")
@@ -156,6 +158,8 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
         for b in sliced(batches):
             found = [s.words(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([s.digest(w) for w in found], pa.binary()), pa.array([s.set_of(w).tobytes() for w in found], pa.binary())], ["digest", "shingles"])
+        s = found = None
+        released()
 
     return texts.select("text").mapInArrow(run, "digest binary, shingles binary")
 
@@ -188,6 +192,7 @@ def solitary(sets: DataFrame) -> DataFrame:
                 h = b.column(0).slice(k, 256).to_numpy()
                 shingles = [np.frombuffer(x, np.int64) for x in b.column(1).slice(k, 256).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(h, [len(x) for x in shingles])), pa.array(np.concatenate(shingles))], ["h", "shingle"])
+        released()
 
     rows = sets.select(F.xxhash64("digest").alias("h"), "shingles").mapInArrow(run, "h long, shingle long")
     return rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("h").alias("h")).where("n = 1").groupBy("h").agg(F.count("*").alias("own"))

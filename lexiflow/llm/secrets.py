@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import outside, table
+from lexiflow.llm.common import outside, released, table
 
 # fixed values: kinds in their order, patterns, least lengths
 KINDS = ("assign", "access", "hex", "novel")
@@ -130,13 +130,15 @@ def scanner():
         novelty = Novelty()
         made = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            out = []
-            for text in batch:
-                t = text.as_py() or ""
-                base = fixed_spans(t)
-                spans = sorted(base + novelty.spans(t, base))
-                out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans])
-            yield pa.array(out, made)
+            for k in range(0, len(batch), 500):
+                out = []
+                for text in batch.slice(k, 500):
+                    t = text.as_py() or ""
+                    base = fixed_spans(t)
+                    spans = sorted(base + novelty.spans(t, base))
+                    out.append([{"kind": KINDS[kind], "start": a, "end": b} for a, kind, b in spans])
+                yield pa.array(out, made)
+        released()
 
     return scanned.asNondeterministic()  # else a filter on its output would run it twice
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import outside, table
+from lexiflow.llm.common import outside, released, table
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = range(4)
@@ -317,9 +317,10 @@ def coder(model: bytes):
     def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memory = memory_of(model)
         for batch in batches:
-            slices = [coded_slice(memory, part) for part in sliced(batch)]
-            yield pa.concat_arrays(slices) if slices else coded_slice(memory, [])
+            for part in sliced(batch):
+                yield coded_slice(memory, part)
         memory.keep(CARRIED)
+        released()
 
     return coded.asNondeterministic()  # else a filter on its output would run it twice
 

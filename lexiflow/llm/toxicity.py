@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import held_out, labelled_sample, outside, table
+from lexiflow.llm.common import held_out, labelled_sample, outside, released, table
 
 TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
 ENDS = ".!?\n"
@@ -200,6 +200,8 @@ def feature_counts(sample: DataFrame) -> DataFrame:
                 yield rows(found)
                 found = {}
         yield rows(found)
+        found = None
+        released()
 
     def rows(found: dict[tuple[int, str], list[float]]) -> pa.RecordBatch:
         kinds = (pa.float64(), pa.float64(), pa.int64())
@@ -341,8 +343,8 @@ def tagger(field: Field | None, raw: bool = False):
         words = Words(field) if field else None
         made = pa.struct([("most", pa.float64()), ("total", pa.float64()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())])))])
         for b in batches:
-            out = []
             for k in range(0, len(b), 500):
+                out = []
                 texts = b.slice(k, 500).to_pylist()
                 found = tag(texts, words) if words is not None else [(0.0, 0.0, [])] * len(texts)
                 for most, total, spans in found:
@@ -351,7 +353,9 @@ def tagger(field: Field | None, raw: bool = False):
                     out.append({"most": most, "total": total, "score": float(score), "spans": [{"start": a, "end": e, "marginal": m} for a, e, m in spans]})
                 if words is not None and len(words) > WORDS:
                     words = Words(field)
-            yield pa.array(out, made)
+                yield pa.array(out, made)
+        words = out = texts = found = None
+        released()
 
     return tagged.asNondeterministic()  # else a filter on its output would run it twice
 

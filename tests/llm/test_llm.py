@@ -695,3 +695,14 @@ def test_warc_of_real_servers():
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_equal_their_sql(spark, name):
     assert differences(spark, queries.QUERIES[name], queries.ORACLES[name], SF) == ""
+
+
+def test_results_leave_python_some_texts_at_a_time(spark):
+    """A batch of Spark has 10,000 texts; their results aren't held together."""
+    import pyarrow as pa
+
+    batch = pa.array(["a b c password = abcdefghijklmnop", None, ""] * 700)
+    model = sentencepiece_bpe.read_model(sentencepiece_bpe.default_model_path())
+    for f in (sentencepiece_bpe.coder(model), secrets.scanner(), toxicity.tagger(None)):
+        sizes = [len(x) for x in f.func(iter([batch, batch[:0]]))]
+        assert sum(sizes) == len(batch) and max(sizes) <= 500
