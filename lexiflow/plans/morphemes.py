@@ -28,8 +28,7 @@ hd as (select *, case when len(readings) = 0 then '*' else array_to_string(readi
 
 
 def _rows(t) -> DataFrame:
-    m = phrases.morpheme(F.col("surface"), F.expr(FEATURES), F.col("start"), F.col("end"))
-    return text.tokens(t("documents")).select("doc_id", "sent", "pos", m.alias("m"))
+    return phrases.morphemes(t("documents"), FEATURES)
 
 
 @query(with_(TOKENS, _PARSED, query="select doc_id, pos, major, sub1, sub2, sub3, ctype, cform, base, reading from mo"))
@@ -94,8 +93,8 @@ def phrase_audit(t):
 @query(with_(TOKENS, _PARSED, query="select doc_id, pos, case cform when '仮定形' then 'conditional' when '未然ウ接続' then 'volitional' when '連用形' then 'continuative' end as value, case cform when '連用形' then 96 else 95 end as confidence from mo where cform in ('仮定形', '未然ウ接続', '連用形')"))
 def anchor_forms(t):
     """PRJ-23: what a conjugation form says."""
-    rows = _rows(t).select("doc_id", "pos", phrases.anchor_form(F.col("m.cform")).alias("f")).where("f is not null")
-    return rows.select("doc_id", "pos", "f.value", "f.confidence")
+    rows = phrases.morphemes(t("documents"), FEATURES, lambda m: phrases.anchor_form(m["cform"])).where("m is not null")
+    return rows.select("doc_id", "pos", "m.value", "m.confidence")
 
 
 _AUX = ("of", "the", "and", "to", "in", "is")

@@ -300,3 +300,21 @@ def test_texts_with_ruby_are_made_without_an_exchange(spark):
     for name in ("ruby_texts", "ruby_annotations"):
         plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan
+
+
+def test_features_are_taken_apart_once_for_the_words_in_a_row(spark, monkeypatch):
+    from conftest import SF
+    from pyspark.sql import functions as F
+
+    from lexiflow.operators import phrases, text
+    from lexiflow.plans import catalogue
+
+    monkeypatch.setattr(text, "SHARED", 3)
+    docs = spark.createDataFrame([(1, "Aa bb. aa\nCC dd Aa"), (2, None), (None, "x, "), (3, ""), (4, "Éa 12 bb Éa")], "doc_id long, text string")
+    want = text.tokens(docs).select("doc_id", "sent", "pos", phrases.morpheme(F.col("surface"), F.expr("concat('v,', w)"), F.col("start"), F.col("end")).alias("m"))
+    got = phrases.morphemes(docs, "concat('v,', w)")
+    key = lambda r: (r.doc_id or 0, r.pos)
+    assert got.columns == want.columns and sorted(got.collect(), key=key) == sorted(want.collect(), key=key) and got.count() == 11
+    # features in the plan of a query that filters by them
+    plan = catalogue.QUERIES["anchor_forms"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(CASE WHEN") == 1
